@@ -152,10 +152,12 @@ class Family:
     open_tail: bool = False
     #: text that every match contains; tested before the pattern
     literal: str = ""
+    #: False if a match can do without any digit
+    has_digit: bool = True
 
 
 FAMILIES = (
-    Family("email", "email", "EMAIL", literal="@"),
+    Family("email", "email", "EMAIL", literal="@", has_digit=False),
     Family("salary", "salary", "SALARY", ignore_case=True),
     Family("birth_date", "date", "DATE", ignore_case=True),
     Family("address_fr", "address", "ADDRESS", ignore_case=True, open_tail=True),
@@ -166,7 +168,7 @@ FAMILIES = (
     Family("card", "creditCard", "CARD"),
     Family("cvv", "creditCard", "CARD", ignore_case=True),
     Family("expiry", "creditCard", "CARD", ignore_case=True),
-    Family("bic", "iban", "IBAN", cancelled_by=("vat",)),
+    Family("bic", "iban", "IBAN", cancelled_by=("vat",), has_digit=False),
     Family("nir", "governmentId", "NIR"),
     Family("siret", "governmentId", "SIRET"),
     Family("siren", "governmentId", "GOV_ID", cancelled_by=("siret",)),
@@ -175,18 +177,18 @@ FAMILIES = (
     Family("passport", "passport", "PASSPORT", ignore_case=True),
     Family("driver_licence", "driverLicense", "LICENSE", ignore_case=True),
     Family("ipv4", "ipAddress", "IP", cancelled_by=("phone",)),
-    Family("ipv6", "ipAddress", "IP"),
-    Family("mac", "macAddress", "MAC"),
-    Family("url", "url", "URL", literal="://"),
-    Family("handle", "socialHandle", "HANDLE", cancelled_by=("email",), literal="@"),
+    Family("ipv6", "ipAddress", "IP", has_digit=False),
+    Family("mac", "macAddress", "MAC", has_digit=False),
+    Family("url", "url", "URL", literal="://", has_digit=False),
+    Family("handle", "socialHandle", "HANDLE", cancelled_by=("email",), literal="@", has_digit=False),
     Family("date_dmy", "date", "DATE", cancelled_by=("expiry",)),
     Family("date_fr_long", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",)),
     Family("date_iso", "date", "DATE"),
     Family("date_en", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",)),
-    Family("api_key", "apiKey", "API_KEY", open_tail=True),
-    Family("jwt", "apiKey", "API_KEY", open_tail=True, literal="eyJ"),
-    Family("bearer", "apiKey", "API_KEY", open_tail=True, literal="Bearer"),
-    Family("password_line", "password", "PASSWORD", ignore_case=True),
+    Family("api_key", "apiKey", "API_KEY", open_tail=True, has_digit=False),
+    Family("jwt", "apiKey", "API_KEY", open_tail=True, literal="eyJ", has_digit=False),
+    Family("bearer", "apiKey", "API_KEY", open_tail=True, literal="Bearer", has_digit=False),
+    Family("password_line", "password", "PASSWORD", ignore_case=True, has_digit=False),
     Family("phone", "phone", "PHONE", cancelled_by=("iban", "url", "price")),
     Family("price", "price", "PRICE", cancelled_by=("email", "iban", "url", "salary")),
     Family("code", "internalCode", "ID", ignore_case=True, cancelled_by=("url", "price")),

@@ -43,7 +43,8 @@ def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str],
 
     Two projections: the matched strings come first, under codegen. The second one
     refers to them more than once, so Catalyst keeps the two apart and each pattern
-    scans the text once, and a second time only where it matched.
+    scans the text once, and a second time only where it matched. A gate is a cheap
+    condition that every text with a match meets.
     """
     gates = gates or {}
 
@@ -61,12 +62,14 @@ def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str],
 
 
 def _with_families(df: DataFrame, text_col: str, config: MaskConfig) -> DataFrame:
-    patterns = {f.name: java_pattern(f, config.id_min_length) for f in config.families()}
-    gates = {
-        f.name: f"contains({text_col}, {S.quote(f.literal)})"
-        for f in config.families() if f.literal
-    }
-    return with_matches(df, text_col, patterns, gates)
+    """``with_matches`` for the enabled families, gated by a literal or by the mere
+    presence of a digit, which is tested once per text."""
+    families = config.families()
+    gates = {f.name: "_digits" for f in families if f.has_digit}
+    gates |= {f.name: f"contains({text_col}, {S.quote(f.literal)})" for f in families if f.literal}
+    gated = df.select("*", F.expr(f"{text_col} RLIKE '[0-9]'").alias("_digits"))
+    patterns = {f.name: java_pattern(f, config.id_min_length) for f in families}
+    return with_matches(gated, text_col, patterns, gates)
 
 
 def family_spans(family: Family, active: set[str]) -> str:

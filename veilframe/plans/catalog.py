@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from veilframe.plans import detection
+from veilframe.plans import detection, masking
 
 CATALOG = {
     **detection.QUERIES,
+    **masking.QUERIES,
 }

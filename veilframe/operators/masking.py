@@ -91,7 +91,8 @@ def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "bracket
     A scope may hold a large share of all rows, so there is no window over a whole
     scope: entries are ranked inside buckets of consecutive items, and a bucket adds
     the number of entries in the buckets before it. Only those per-bucket counts,
-    one row per ``items_per_bucket`` items, are summed in order.
+    one row per ``items_per_bucket`` items, are summed in order. ``spans`` is read
+    twice and should be a written table.
     """
     entries = (
         spans.groupBy(scope, F.lower("value").alias("key"))

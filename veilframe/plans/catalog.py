@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilframe.plans import detection, masking
+from veilframe.plans import detection, masking, records
 
 CATALOG = {
     **detection.QUERIES,
     **masking.QUERIES,
+    **records.QUERIES,
 }

@@ -9,6 +9,7 @@ from veilframe.operators import detect as D
 from veilframe.operators import masking as M
 from veilframe.plans import oracle as O
 from veilframe.plans.detection import CHECKED, RULES, _DOCS, _NOTES, documents
+from veilframe.sources.session import materialise
 from veilframe.sources.tables import order_notes, order_notes_sql, text_table
 
 CURLY = MaskConfig(off=CHECKED.off, placeholder_style="curly")
@@ -88,14 +89,15 @@ def _notes_by_customer(spark, sf_dir):
 
 def build_mapping_by_customer(spark, sf_dir):
     detected = D.detect_sensitive(_notes_by_customer(spark, sf_dir), config=CHECKED)
-    spans = D.span_rows(detected, ["custkey", "note_id"])
+    spans = materialise(D.span_rows(detected, ["custkey", "note_id"]), "spans")
     return M.build_mapping(spans, "custkey", "note_id").drop("first_item", "first_idx")
 
 
 def build_mapping_few_scopes(spark, sf_dir):
     """Three scopes hold everything, numbered in many small buckets."""
     notes = order_notes(spark, sf_dir).withColumn("scope", F.col("custkey") % 3)
-    spans = D.span_rows(D.detect_sensitive(notes, config=CHECKED), ["scope", "note_id"])
+    spans = materialise(
+        D.span_rows(D.detect_sensitive(notes, config=CHECKED), ["scope", "note_id"]), "spans")
     return M.build_mapping(spans, "scope", "note_id", items_per_bucket=256).drop(
         "first_item", "first_idx")
 

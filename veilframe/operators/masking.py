@@ -82,19 +82,11 @@ def restore(df: DataFrame, text_col: str = "masked", mapping_col: str = "mapping
     )
 
 
-def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "brackets",
-                  items_per_bucket: int = ITEMS_PER_BUCKET) -> DataFrame:
-    """One entry per ``(scope, lower(value))``. The first occurrence by ``(item,
-    start_idx)`` fixes spelling, category and source; ``count`` is the number of
-    occurrences; categories count up in order of first appearance.
-
-    A scope may hold a large share of all rows, so there is no window over a whole
-    scope: entries are ranked inside buckets of consecutive items, and a bucket adds
-    the number of entries in the buckets before it. Only those per-bucket counts,
-    one row per ``items_per_bucket`` items, are summed in order. ``spans`` is read
-    twice and should be a written table.
-    """
-    entries = (
+def first_entries(spans: DataFrame, scope: str, item: str) -> DataFrame:
+    """One row per ``(scope, lower(value))`` with its first occurrence by ``(item,
+    start_idx)`` and the number of occurrences. Mergeable aggregates, so a value that
+    fills a third of the spans is reduced before the shuffle."""
+    return (
         spans.groupBy(scope, F.lower("value").alias("key"))
         .agg(
             F.min(F.struct(F.col(item).alias("item"), "start_idx", "value", "category", "source"))
@@ -104,11 +96,24 @@ def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "bracket
         .select(
             scope, "key", "first.item", "first.start_idx",
             F.col("first.value").alias("original"), "first.category", "first.source", "count",
-            F.floor(F.col("first.item") / items_per_bucket).alias("_bucket"),
         )
     )
+
+
+def number_entries(entries: DataFrame, scope: str, style: str = "brackets",
+                   items_per_bucket: int = ITEMS_PER_BUCKET,
+                   taken: DataFrame | None = None) -> DataFrame:
+    """Give entries their placeholders: per scope and category in order of appearance,
+    after the numbers already ``taken (scope, category, _taken)``.
+
+    A scope may hold a large share of all rows, so there is no window over a whole
+    scope: entries are ranked inside buckets of consecutive items, and a bucket adds
+    the number of entries in the buckets before it. Only those per-bucket counts,
+    one row per ``items_per_bucket`` items, are summed in order.
+    """
     group = [scope, "category"]
-    sizes = entries.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    bucketed = entries.withColumn("_bucket", F.floor(F.col("item") / items_per_bucket))
+    sizes = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1,
     )
@@ -116,16 +121,29 @@ def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "bracket
         *group, "_bucket", F.sum("_n").over(before).alias("_before"),
     ).where("_before > 0")
     inside = Window.partitionBy(*group, "_bucket").orderBy("item", "start_idx")
-    ranked = entries.withColumn("_rank", F.row_number().over(inside))
-    index = "cast(_rank + coalesce(_before, 0) as bigint)"
-    return ranked.join(offsets, [*group, "_bucket"], "left").select(
+    ranked = bucketed.withColumn("_rank", F.row_number().over(inside)).join(
+        offsets, [*group, "_bucket"], "left")
+    index = "_rank + coalesce(_before, 0)"
+    if taken is not None:
+        ranked = ranked.join(taken, group, "left")
+        index += " + coalesce(_taken, 0)"
+    return ranked.select(
         scope, "key", "original",
-        F.expr(P.format_placeholder("category", index, style)).alias("placeholder"),
+        F.expr(P.format_placeholder("category", f"cast({index} as bigint)", style))
+        .alias("placeholder"),
         "category", "source", "count",
         F.col("item").alias("first_item"), F.col("start_idx").alias("first_idx"),
     )
 
 
+def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "brackets",
+                  items_per_bucket: int = ITEMS_PER_BUCKET) -> DataFrame:
+    """The mapping of every scope. The first occurrence of a value fixes spelling,
+    category and source; ``count`` is its number of occurrences. ``spans`` is read
+    twice and should be a written table."""
+    return number_entries(first_entries(spans, scope, item), scope, style, items_per_bucket)
+
+
 def place(df: DataFrame, pieces: DataFrame, keys: Sequence[str], text_col: str,
           out: str) -> DataFrame:
     """Splice ``pieces`` (rows of keys, start_idx, end_idx, placeholder) into the

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veilframe.plans import detection, masking, records
+from veilframe.plans import detection, masking, records, streams
 
 CATALOG = {
     **detection.QUERIES,
     **masking.QUERIES,
     **records.QUERIES,
+    **streams.QUERIES,
 }

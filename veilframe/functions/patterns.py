@@ -150,47 +150,58 @@ class Family:
     cancelled_by: tuple[str, ...] = ()
     #: the last character of a match may be a non-word character
     open_tail: bool = False
-    #: text that every match contains; tested before the pattern
-    literal: str = ""
-    #: False if a match can do without any digit
-    has_digit: bool = True
+    #: cheap conditions of any match, tested before the pattern: one of these texts
+    #: (in lower case under ``ignore_case``) and at least one digit, or nine digits
+    #: with at most one character between neighbours
+    any_of: tuple[str, ...] = ()
+    digits: str = "some"
 
 
 FAMILIES = (
-    Family("email", "email", "EMAIL", literal="@", has_digit=False),
-    Family("salary", "salary", "SALARY", ignore_case=True),
-    Family("birth_date", "date", "DATE", ignore_case=True),
-    Family("address_fr", "address", "ADDRESS", ignore_case=True, open_tail=True),
-    Family("address_en", "address", "ADDRESS"),
-    Family("zip_us", "address", "ADDRESS", ignore_case=True, cancelled_by=("address_en",)),
-    Family("rib", "iban", "IBAN", ignore_case=True),
+    Family("email", "email", "EMAIL", any_of=("@",), digits="none"),
+    Family("salary", "salary", "SALARY", ignore_case=True,
+           any_of=("gagne", "touche", "perçoit", "percoit", "earn", "make", "paid")),
+    Family("birth_date", "date", "DATE", ignore_case=True, any_of=("born", "le")),
+    Family("address_fr", "address", "ADDRESS", ignore_case=True, open_tail=True,
+           any_of=("rue", "avenue", "av.", "boulevard", "bd", "chemin", "impasse", "place", "allée",
+                   "allee", "route")),
+    Family("address_en", "address", "ADDRESS", any_of=(",",)),
+    Family("zip_us", "address", "ADDRESS", ignore_case=True, cancelled_by=("address_en",), any_of=("zip",)),
+    Family("rib", "iban", "IBAN", ignore_case=True, any_of=("banque",)),
     Family("iban", "iban", "IBAN"),
-    Family("card", "creditCard", "CARD"),
-    Family("cvv", "creditCard", "CARD", ignore_case=True),
-    Family("expiry", "creditCard", "CARD", ignore_case=True),
-    Family("bic", "iban", "IBAN", cancelled_by=("vat",), has_digit=False),
+    Family("card", "creditCard", "CARD", digits="nine"),
+    Family("cvv", "creditCard", "CARD", ignore_case=True, any_of=("cv",)),
+    Family("expiry", "creditCard", "CARD", ignore_case=True, any_of=("exp",)),
+    Family("bic", "iban", "IBAN", cancelled_by=("vat",), digits="none"),
     Family("nir", "governmentId", "NIR"),
-    Family("siret", "governmentId", "SIRET"),
-    Family("siren", "governmentId", "GOV_ID", cancelled_by=("siret",)),
+    Family("siret", "governmentId", "SIRET", digits="nine"),
+    Family("siren", "governmentId", "GOV_ID", cancelled_by=("siret",), digits="nine"),
     Family("vat", "governmentId", "VAT", ignore_case=True),
-    Family("ssn_us", "governmentId", "SSN"),
-    Family("passport", "passport", "PASSPORT", ignore_case=True),
-    Family("driver_licence", "driverLicense", "LICENSE", ignore_case=True),
-    Family("ipv4", "ipAddress", "IP", cancelled_by=("phone",)),
-    Family("ipv6", "ipAddress", "IP", has_digit=False),
-    Family("mac", "macAddress", "MAC", has_digit=False),
-    Family("url", "url", "URL", literal="://", has_digit=False),
-    Family("handle", "socialHandle", "HANDLE", cancelled_by=("email",), literal="@", has_digit=False),
-    Family("date_dmy", "date", "DATE", cancelled_by=("expiry",)),
-    Family("date_fr_long", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",)),
-    Family("date_iso", "date", "DATE"),
-    Family("date_en", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",)),
-    Family("api_key", "apiKey", "API_KEY", open_tail=True, has_digit=False),
-    Family("jwt", "apiKey", "API_KEY", open_tail=True, literal="eyJ", has_digit=False),
-    Family("bearer", "apiKey", "API_KEY", open_tail=True, literal="Bearer", has_digit=False),
-    Family("password_line", "password", "PASSWORD", ignore_case=True, has_digit=False),
-    Family("phone", "phone", "PHONE", cancelled_by=("iban", "url", "price")),
-    Family("price", "price", "PRICE", cancelled_by=("email", "iban", "url", "salary")),
+    Family("ssn_us", "governmentId", "SSN", any_of=("-",), digits="nine"),
+    Family("passport", "passport", "PASSPORT", ignore_case=True, any_of=("pass",)),
+    Family("driver_licence", "driverLicense", "LICENSE", ignore_case=True,
+           any_of=("permis", "driver", "dl")),
+    Family("ipv4", "ipAddress", "IP", cancelled_by=("phone",), any_of=(".",)),
+    Family("ipv6", "ipAddress", "IP", digits="none", any_of=(":",)),
+    Family("mac", "macAddress", "MAC", digits="none", any_of=(":", "-")),
+    Family("url", "url", "URL", any_of=("://",), digits="none"),
+    Family("handle", "socialHandle", "HANDLE", cancelled_by=("email",), any_of=("@",), digits="none"),
+    Family("date_dmy", "date", "DATE", cancelled_by=("expiry",), any_of=("/",)),
+    Family("date_fr_long", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",),
+           any_of=("janvier", "vrier", "mars", "avril", "mai", "juin", "juillet", "ao", "septembre",
+                   "octobre", "novembre", "cembre")),
+    Family("date_iso", "date", "DATE", any_of=("-",)),
+    Family("date_en", "date", "DATE", ignore_case=True, cancelled_by=("birth_date",),
+           any_of=("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")),
+    Family("api_key", "apiKey", "API_KEY", open_tail=True, digits="none",
+           any_of=("sk", "xox", "gh", "AKIA", "ASIA", "pk_", "rk_", "AIza")),
+    Family("jwt", "apiKey", "API_KEY", open_tail=True, any_of=("eyJ",), digits="none"),
+    Family("bearer", "apiKey", "API_KEY", open_tail=True, any_of=("Bearer",), digits="none"),
+    Family("password_line", "password", "PASSWORD", ignore_case=True, digits="none",
+           any_of=("pass", "pwd", "mot", "mdp")),
+    Family("phone", "phone", "PHONE", cancelled_by=("iban", "url", "price"), any_of=("+", "0")),
+    Family("price", "price", "PRICE", cancelled_by=("email", "iban", "url", "salary"),
+           any_of=("€", "$", "£", "EUR", "USD", "CAD", "GBP", "CHF")),
     Family("code", "internalCode", "ID", ignore_case=True, cancelled_by=("url", "price")),
 )
 SEQ = {f.name: i + 1 for i, f in enumerate(FAMILIES)}

@@ -44,6 +44,6 @@ def restore_tokens(text: str, lookup: str, style: str = "brackets") -> str:
     """Replace every known token once, from a ``placeholder -> original`` map column.
     What was put in is never looked at again and is taken literally."""
     rx = quote(token_pattern(style))
-    return f"""array_join(zip_with(
+    return f"""CASE WHEN size({lookup}) = 0 THEN {text} ELSE array_join(zip_with(
       split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0),
-      (gap, token) -> concat(gap, coalesce({lookup}[token], token, ''))), '')"""
+      (gap, token) -> concat(gap, coalesce({lookup}[token], token, ''))), '') END"""

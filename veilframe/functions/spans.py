@@ -12,15 +12,18 @@ build than nested ``Column`` calls.
 
 from __future__ import annotations
 
-RAW_TYPE = "array<struct<s:int,e:int,v:string>>"
 SPAN_STRUCT = (
     "struct<start_idx:int,seq:int,end_idx:int,category:string,source:string,value:string>"
 )
 SPAN_TYPE = f"array<{SPAN_STRUCT}>"
-NO_RAW = f"cast(array() as {RAW_TYPE})"
 NO_SPANS = f"cast(array() as {SPAN_TYPE})"
 NO_STRINGS = "cast(array() as array<string>)"
 
+#: U+FFFF, not a character: marks both ends of every match
+MARK = "\uffff"
+#: U+FFFE, likewise: stands in for a U+FFFF of the text itself
+STAND_IN = "\ufffe"
+
 
 def quote(text: str) -> str:
     """A SQL string literal."""
@@ -31,44 +34,59 @@ def extract_all(text: str, pattern: str, group: int = 0) -> str:
     return f"regexp_extract_all({text}, {quote(pattern)}, {group})"
 
 
-def locate_matches(text: str, pattern: str, matches: str) -> str:
-    """Give each extracted match its place: ``split`` yields the gaps between the
-    matches, so a running sum of gap and match lengths is the offset. The text is
-    only split where there is something to place. ``matches`` must be a column."""
+def markable(text: str) -> str:
+    """The text without the mark. Code points and matches stay where they are."""
+    return f"CASE WHEN contains({text}, '{MARK}') THEN translate({text}, '{MARK}', '{STAND_IN}') ELSE {text} END"
+
+
+def mark_matches(text: str, pattern: str) -> str:
+    """The text with every match of a Java pattern between marks: one pass that both
+    tests and locates, under codegen and with the pattern compiled once."""
+    return f"regexp_replace({text}, {quote(pattern)}, '{MARK}$0{MARK}')"
+
+
+def split_marked(marked: str, text: str) -> str:
+    """Gap, match, gap, ... or null without a match."""
+    return f"CASE WHEN {marked} != {text} THEN split({marked}, '{MARK}', -1) END"
+
+
+def locate(pieces: str, seq: int, category: str, source: str) -> str:
+    """Spans from the pieces of a marked text: every second piece is a match, and the
+    running length is its offset."""
     return f"""
-      CASE WHEN size({matches}) > 0 THEN aggregate(
-        zip_with(
-          {matches}, slice(split({text}, {quote(pattern)}, -1), 1, size({matches})),
-          (v, g) -> named_struct('v', v, 'gap', length(g), 'len', length(v))
-        ),
-        named_struct('at', 0, 'found', {NO_RAW}),
+      CASE WHEN {pieces} IS NULL THEN {NO_SPANS} ELSE aggregate({pieces},
+        named_struct('at', 0, 'hit', false, 'found', {NO_SPANS}),
         (acc, x) -> named_struct(
-          'at', acc.at + x.gap + x.len,
-          'found', concat(acc.found, array(named_struct(
-            's', acc.at + x.gap, 'e', acc.at + x.gap + x.len, 'v', x.v)))
-        ),
-        acc -> acc.found
-      ) ELSE {NO_RAW} END"""
+          'at', acc.at + length(x), 'hit', NOT acc.hit,
+          'found', CASE WHEN acc.hit THEN concat(acc.found, array(named_struct(
+            'start_idx', acc.at, 'seq', {seq}, 'end_idx', acc.at + length(x),
+            'category', {quote(category)}, 'source', {quote(source)}, 'value', x)))
+            ELSE acc.found END),
+        acc -> acc.found) END"""
 
 
 def find_all(text: str, pattern: str) -> str:
-    """Every non-overlapping match of a Java pattern as ``ARRAY<STRUCT<s,e,v>>``."""
-    return f"""get(transform(
-      array({extract_all(text, pattern)}), m -> {locate_matches(text, pattern, 'm')}), 0)"""
+    """Every non-overlapping match of a Java pattern, as spans with an empty category."""
+    return f"""get(transform(array({markable(text)}), t ->
+      get(transform(array({mark_matches('t', pattern)}), m ->
+        get(transform(array({split_marked('m', 't')}), p -> {locate('p', 0, '', '')}), 0)), 0)), 0)"""
 
 
-def drop_overlapping(raw: str, rivals: list[str]) -> str:
-    """The raw matches that no match of the rival columns touches."""
-    rival = rivals[0] if len(rivals) == 1 else f"concat({', '.join(rivals)})"
-    return f"""
-      CASE WHEN size({rival}) = 0 THEN {raw}
-      ELSE filter({raw}, x -> NOT exists({rival}, o -> x.s < o.e AND o.s < x.e)) END"""
+def own_values(text: str, spans: str) -> str:
+    """Values as they stand in a text that held the mark itself."""
+    return f"""CASE WHEN contains({text}, '{MARK}') THEN transform({spans}, x -> named_struct(
+        'start_idx', x.start_idx, 'seq', x.seq, 'end_idx', x.end_idx, 'category', x.category,
+        'source', x.source,
+        'value', substring({text}, x.start_idx + 1, x.end_idx - x.start_idx)))
+      ELSE {spans} END"""
 
 
-def tag(raw: str, seq: int, category: str, source: str) -> str:
-    return f"""transform({raw}, x -> named_struct(
-      'start_idx', x.s, 'seq', {seq}, 'end_idx', x.e,
-      'category', {quote(category)}, 'source', {quote(source)}, 'value', x.v))"""
+def drop_overlapping(spans: str, rivals: list[str]) -> str:
+    """The spans that no span of the rival columns touches."""
+    rival = rivals[0] if len(rivals) == 1 else f"concat({', '.join(rivals)})"
+    return f"""
+      CASE WHEN size({rival}) = 0 THEN {spans} ELSE filter({spans}, x -> NOT exists({rival},
+        o -> x.start_idx < o.end_idx AND o.start_idx < x.end_idx)) END"""
 
 
 def concat_spans(parts: list[str]) -> str:

@@ -37,51 +37,87 @@ class Rule:
             raise ValueError("a rule needs a term")
 
 
-def with_matches(df: DataFrame, text_col: str, patterns: dict[str, str],
-                 gates: dict[str, str] | None = None) -> DataFrame:
-    """Add ``_r_<name>``, the located matches of each pattern.
-
-    Two projections: the matched strings come first, under codegen. The second one
-    refers to them more than once, so Catalyst keeps the two apart and each pattern
-    scans the text once, and a second time only where it matched. A gate is a cheap
-    condition that every text with a match meets.
-    """
-    gates = gates or {}
+@dataclass(frozen=True)
+class Search:
+    """One pattern to look for, and how its spans are labelled."""
+
+    name: str
+    pattern: str
+    seq: int
+    category: str
+    source: str
+    #: a cheap SQL condition that every text with a match meets
+    gate: str | None = None
 
-    def found(name: str, rx: str) -> str:
-        hit = S.extract_all(text_col, rx)
-        return f"CASE WHEN {gates[name]} THEN {hit} ELSE {S.NO_STRINGS} END" if name in gates else hit
 
-    matched = df.select("*", *[
-        F.expr(found(n, rx)).alias(f"_m_{n}") for n, rx in patterns.items()
+def with_matches(df: DataFrame, text_col: str, searches: Sequence[Search]) -> DataFrame:
+    """Add ``_r_<name>``, the spans of each search.
+
+    Three projections: mark the matches, cut the marked texts, and turn the pieces
+    into spans. The first two run under codegen. Each refers more than once to what
+    the one before computed, so Catalyst keeps them apart and a pattern runs once.
+    """
+    def marked(s: Search) -> str:
+        hit = S.mark_matches("_markable", s.pattern)
+        return f"CASE WHEN {s.gate} THEN {hit} END" if s.gate else hit
+
+    work = df.select("*", F.expr(S.markable(text_col)).alias("_markable"))
+    marks = work.select("*", *[F.expr(marked(s)).alias(f"_x_{s.name}") for s in searches])
+    pieces = marks.select(*df.columns, *[
+        F.expr(S.split_marked(f"_x_{s.name}", "_markable")).alias(f"_p_{s.name}")
+        for s in searches
     ])
-    return matched.select(*df.columns, *[
-        F.expr(S.locate_matches(text_col, rx, f"_m_{n}")).alias(f"_r_{n}")
-        for n, rx in patterns.items()
+    return pieces.select(*df.columns, *[
+        F.expr(S.locate(f"_p_{s.name}", s.seq, s.category, s.source)).alias(f"_r_{s.name}")
+        for s in searches
     ])
 
 
+_NINE_DIGITS = "[0-9](?:[^0-9]?[0-9]){8}"
+
+
+def _gate(family: Family, text_col: str) -> str | None:
+    tests = {"none": [], "some": ["_some_digits"], "nine": ["_nine_digits"]}[family.digits]
+    where = "_lower" if family.ignore_case else text_col
+    texts = [f"contains({where}, {S.quote(t)})" for t in family.any_of]
+    if texts:
+        tests.append(f"({' OR '.join(texts)})")
+    return " AND ".join(tests) or None
+
+
 def _with_families(df: DataFrame, text_col: str, config: MaskConfig) -> DataFrame:
-    """``with_matches`` for the enabled families, gated by a literal or by the mere
-    presence of a digit, which is tested once per text."""
+    """``with_matches`` for the enabled families. What the gates share is computed
+    once per text: its lower case and whether it has digits."""
     families = config.families()
-    gates = {f.name: "_digits" for f in families if f.has_digit}
-    gates |= {f.name: f"contains({text_col}, {S.quote(f.literal)})" for f in families if f.literal}
-    gated = df.select("*", F.expr(f"{text_col} RLIKE '[0-9]'").alias("_digits"))
-    patterns = {f.name: java_pattern(f, config.id_min_length) for f in families}
-    return with_matches(gated, text_col, patterns, gates)
+    shared = df.select(
+        "*", F.expr(f"lower({text_col})").alias("_lower"),
+        F.expr(f"{text_col} RLIKE '[0-9]'").alias("_some_digits"),
+        F.expr(f"{text_col} RLIKE {S.quote(_NINE_DIGITS)}").alias("_nine_digits"),
+    )
+    found = with_matches(shared, text_col, [
+        Search(f.name, java_pattern(f, config.id_min_length), SEQ[f.name], f.category, "regex",
+               _gate(f, text_col))
+        for f in families
+    ])
+    return found.drop("_lower", "_some_digits", "_nine_digits")
 
 
 def family_spans(family: Family, active: set[str]) -> str:
-    """The matches of one family that no raw match of its cancelling families touches."""
-    raw = f"_r_{family.name}"
-    if family.name == "code":
-        mails = f"NOT exists(_r_email, m -> m.v = x.v) AND" if "email" in active else ""
-        raw = f"filter({raw}, x -> {mails} NOT x.v RLIKE '^[0-9]+$')"
+    """The spans of one family that no raw match of its cancelling families touches."""
+    spans = f"_r_{family.name}"
     rivals = [f"_r_{n}" for n in family.cancelled_by if n in active]
     if rivals:
-        raw = S.drop_overlapping(raw, rivals)
-    return S.tag(raw, SEQ[family.name], family.category, "regex")
+        spans = S.drop_overlapping(spans, rivals)
+    if family.name == "code":
+        mails = "NOT exists(_r_email, m -> m.value = x.value) AND" if "email" in active else ""
+        spans = f"filter({spans}, x -> {mails} NOT x.value RLIKE '^[0-9]+$')"
+    return spans
+
+
+def _collect(found: DataFrame, keep: Sequence[str], text_col: str, parts: list[str],
+             out: str) -> DataFrame:
+    together = found.select(*keep, F.expr(S.concat_spans(parts)).alias("_together"))
+    return together.select(*keep, F.expr(S.own_values(text_col, "_together")).alias(out))
 
 
 def detect_patterns(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskConfig(),
@@ -89,17 +125,15 @@ def detect_patterns(df: DataFrame, text_col: str = "text", config: MaskConfig =
     """Spans of the enabled pattern families after cancellation, before the merge."""
     families = config.families()
     active = {f.name for f in families}
-    return _with_families(df, text_col, config).select(
-        *df.columns, F.expr(S.concat_spans([family_spans(f, active) for f in families])).alias(out),
-    )
+    return _collect(_with_families(df, text_col, config), df.columns, text_col,
+                    [family_spans(f, active) for f in families], out)
 
 
 def find_all_matches(df: DataFrame, text_col: str = "text",
                      config: MaskConfig = MaskConfig(), out: str = "spans") -> DataFrame:
     """Raw matches of every enabled family: no cancellation, no merge."""
-    return _with_families(df, text_col, config).select(*df.columns, F.expr(S.concat_spans([
-        S.tag(f"_r_{f.name}", SEQ[f.name], f.category, "regex") for f in config.families()
-    ])).alias(out))
+    return _collect(_with_families(df, text_col, config), df.columns, text_col,
+                    [f"_r_{f.name}" for f in config.families()], out)
 
 
 def term_pattern(term: str, case_sensitive: bool) -> str:
@@ -122,15 +156,12 @@ def detect_terms(df: DataFrame, rules: Sequence[Rule], text_col: str = "text",
             return f"contains({text_col}, {S.quote(rule.term)})"
         return f"contains(lower({text_col}), {S.quote(rule.term.lower())})"
 
-    found = with_matches(
-        df, text_col,
-        {f"term{i}": term_pattern(r.term, r.case_sensitive) for i, r in enumerate(rules)},
-        {f"term{i}": gate(r) for i, r in enumerate(rules)},
-    )
-    return found.select(*df.columns, F.expr(S.concat_spans([
-        S.tag(f"_r_term{i}", RULE_SEQ + i, rule.category, "manual")
-        for i, rule in enumerate(rules)
-    ])).alias(out))
+    found = with_matches(df, text_col, [
+        Search(f"term{i}", term_pattern(r.term, r.case_sensitive), RULE_SEQ + i, r.category,
+               "manual", gate(r))
+        for i, r in enumerate(rules)
+    ])
+    return _collect(found, df.columns, text_col, [f"_r_term{i}" for i in range(len(rules))], out)
 
 
 def merge_span_column(df: DataFrame, spans_col: str = "spans", out: str = "spans") -> DataFrame:

@@ -26,68 +26,65 @@ class EntityConfig:
     stop_words: frozenset[str] = field(default_factory=L.default_stop_words)
 
 
-def _first_by_value(raw: str) -> str:
-    return f"""filter({raw}, (x, i) ->
-      array_position(transform({raw}, y -> lower(y.v)), lower(x.v)) = i + 1)"""
+def _first_by_value(spans: str) -> str:
+    return f"""filter({spans}, (x, i) ->
+      array_position(transform({spans}, y -> lower(y.value)), lower(x.value)) = i + 1)"""
 
 
 def _project(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns in a projection of their own (see ``detect.with_matches``)."""
+    """Add columns in a projection of their own (see ``detect.with_matches``). What a
+    lambda needs from another array comes in zipped: a column that is referenced once,
+    inside a lambda, would be inlined there and evaluated for every element."""
     return df.select("*", *[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
-def _if_any(found: str, sql: str) -> str:
-    return f"CASE WHEN size({found}) > 0 THEN {sql} ELSE {S.NO_STRINGS} END"
+def _with_groups(df: DataFrame, text_col: str, name: str, pattern: str, seq: int, category: str,
+                 n_groups: int) -> DataFrame:
+    """Add ``_r_<name>``, the located matches, and ``_<name><k>``, their groups."""
+    df = _project(df, **{f"_x_{name}": S.mark_matches(text_col, pattern)})
+    df = _project(df, **{f"_p_{name}": S.split_marked(f"_x_{name}", text_col)})
+    return _project(df, **{f"_r_{name}": S.locate(f"_p_{name}", seq, category, "ner")}, **{
+        f"_{name}{k}": f"""CASE WHEN _p_{name} IS NULL THEN {S.NO_STRINGS}
+          ELSE {S.extract_all(text_col, pattern, k)} END""" for k in range(1, n_groups + 1)
+    })
 
 
 def with_entity_spans(df: DataFrame, text_col: str, config: EntityConfig, persons: bool,
                       organizations: bool, out: str) -> DataFrame:
     keep = df.columns
     stop = lambda word: L.is_stop_word(word, config.stop_words)
-    once = _first_by_value if config.first_only else lambda raw: raw
+    once = _first_by_value if config.first_only else lambda spans: spans
     parts = []
+    df = _project(df, _work=S.markable(text_col))
     if persons:
         name_rx = L.PERSON_UNICODE_JAVA if config.unicode_names else L.PERSON_JAVA
         title_rx = L.TITLE_UNICODE_JAVA if config.unicode_names else L.TITLE_JAVA
-        df = _project(
-            df, _n0=S.extract_all(text_col, name_rx), _t0=S.extract_all(text_col, title_rx),
-        )
-        df = _project(
-            df,
-            _nr=S.locate_matches(text_col, name_rx, "_n0"),
-            _n1=_if_any("_n0", S.extract_all(text_col, name_rx, 1)),
-            _n2=_if_any("_n0", S.extract_all(text_col, name_rx, 2)),
-            _tr=S.locate_matches(text_col, title_rx, "_t0"),
-            _t1=_if_any("_t0", S.extract_all(text_col, title_rx, 1)),
-        )
+        df = _with_groups(df, "_work", "name", name_rx, PERSON_SEQ, "PERSON", 2)
+        df = _with_groups(df, "_work", "title", title_rx, TITLE_SEQ, "PERSON", 1)
         df = _project(
             df,
-            _names=f"""filter(_nr, (x, i) -> NOT (
-              {stop("get(_n1, i)")} OR {stop("get(_n2, i)")} OR {L.is_stop_phrase("x.v")}))""",
-            _titled="""transform(_tr, (x, i) -> named_struct(
-              's', x.s + instr(x.v, get(_t1, i)) - 1,
-              'e', x.s + instr(x.v, get(_t1, i)) - 1 + length(get(_t1, i)),
-              'v', get(_t1, i)))""",
+            _names=f"""transform(filter(arrays_zip(_r_name, _name1, _name2), x -> NOT (
+              {stop("x._name1")} OR {stop("x._name2")} OR {L.is_stop_phrase("x._r_name.value")})),
+              x -> x._r_name)""",
+            _titled="""zip_with(_r_title, _title1, (x, name) -> named_struct(
+              'start_idx', x.start_idx + instr(x.value, name) - 1, 'seq', x.seq,
+              'end_idx', x.start_idx + instr(x.value, name) - 1 + length(name),
+              'category', x.category, 'source', x.source, 'value', name))""",
         )
-        blanks = S.quote(L.BLANKS_JAVA)
-        df = _project(df, _titled_new=f"""filter(_titled, x -> NOT (
-          exists(_names, n -> lower(n.v) = lower(x.v))
-          OR forall(split(x.v, {blanks}, -1), w -> {stop("w")})
-          OR {L.is_stop_phrase("x.v")}))""")
-        parts += [
-            S.tag(once("_names"), PERSON_SEQ, "PERSON", "ner"),
-            S.tag(once("_titled_new"), TITLE_SEQ, "PERSON", "ner"),
-        ]
+        df = _project(df, _seen="transform(_names, n -> lower(n.value))")
+        # the outer reference to _seen keeps it from being inlined (see _project)
+        df = _project(df, _titled_new=f"""CASE WHEN size(_seen) >= 0 THEN filter(_titled, x -> NOT (
+          array_contains(_seen, lower(x.value))
+          OR forall(split(x.value, {S.quote(L.BLANKS_JAVA)}, -1), w -> {stop("w")})
+          OR {L.is_stop_phrase("x.value")})) END""")
+        parts += [once("_names"), once("_titled_new")]
     if organizations:
-        df = _project(df, _o0=S.extract_all(text_col, L.ORG_JAVA))
-        df = _project(
-            df,
-            _or=S.locate_matches(text_col, L.ORG_JAVA, "_o0"),
-            _o1=_if_any("_o0", S.extract_all(text_col, L.ORG_JAVA, 1)),
-        )
-        df = _project(df, _orgs="filter(_or, (x, i) -> get(_o1, i) != '')")
-        parts.append(S.tag(once("_orgs"), ORG_SEQ, "COMPANY", "ner"))
-    return df.select(*keep, F.expr(f"array_sort({S.concat_spans(parts)})").alias(out))
+        df = _with_groups(df, "_work", "org", L.ORG_JAVA, ORG_SEQ, "COMPANY", 1)
+        df = _project(df, _orgs="""transform(
+          filter(arrays_zip(_r_org, _org1), x -> x._org1 != ''), x -> x._r_org)""")
+        parts.append(once("_orgs"))
+    together = df.select(*keep, F.expr(f"array_sort({S.concat_spans(parts)})").alias("_together"))
+    return together.select(*keep, F.expr(S.own_values(text_col, "_together")).alias(out))
 
 
 def detect_persons(df: DataFrame, text_col: str = "text",

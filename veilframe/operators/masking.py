@@ -59,9 +59,14 @@ def anonymize(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskCo
     looked_up = mapped.select("*", F.expr(
         "map_from_entries(transform(mapping, m -> struct(m.key, m.placeholder)))"
     ).alias("_lookup"))
-    placed = looked_up.select("*", F.expr("""transform(spans, x -> named_struct(
-      'start_idx', x.start_idx, 'end_idx', x.end_idx,
-      'placeholder', _lookup[lower(x.value)]))""").alias("_pieces"))
+    # Two references keep the map a column: with only the one inside the lambda
+    # Catalyst would inline it there and build it anew for every span.
+    placed = looked_up.select("*", F.expr("""CASE WHEN size(_lookup) > 0
+      THEN transform(spans, x -> named_struct(
+        'start_idx', x.start_idx, 'end_idx', x.end_idx,
+        'placeholder', _lookup[lower(x.value)]))
+      ELSE cast(array() as array<struct<start_idx:int,end_idx:int,placeholder:string>>)
+      END""").alias("_pieces"))
     return placed.select(
         *keep,
         F.expr(S.splice(text_col, "_pieces")).alias("masked"),
@@ -191,8 +196,8 @@ def deanonymize(df: DataFrame, mapping: DataFrame, scope: str, keys: Sequence[st
         F.explode_outer(F.expr(S.find_all(text_col, P.token_pattern(style)))).alias("_t"),
     ).where(F.col("_t").isNotNull())
     known = mapping.select(scope, F.col("placeholder").alias("_token"), "original")
-    pieces = tokens.withColumn("_token", F.col("_t.v")).join(known, [scope, "_token"]).select(
-        *keys, F.col("_t.s").alias("start_idx"), F.col("_t.e").alias("end_idx"),
+    pieces = tokens.withColumn("_token", F.col("_t.value")).join(known, [scope, "_token"]).select(
+        *keys, F.col("_t.start_idx"), F.col("_t.end_idx"),
         F.col("original").alias("placeholder"),
     )
     return place(df, pieces, keys, text_col, out)

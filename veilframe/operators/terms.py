@@ -38,8 +38,8 @@ def detect_term_table(df: DataFrame, terms: DataFrame, key: str,
         F.expr(S.find_all(text_col, _WORD))).alias("_t")).where(F.col("_t").isNotNull())
     # one character more on each side for the boundaries
     around = tokens.select(
-        key, F.lower("_t.v").alias("_word"), F.col("_t.s").alias("_at"),
-        F.expr(f"substring(concat(repeat(' ', {lead + 1}), _text), _t.s + 1, {lead + length + 2})")
+        key, F.lower("_t.value").alias("_word"), F.col("_t.start_idx").alias("_at"),
+        F.expr(f"substring(concat(repeat(' ', {lead + 1}), _text), _t.start_idx + 1, {lead + length + 2})")
         .alias("_around"),
     )
     met = around.join(prepared, "_word")

@@ -16,13 +16,13 @@ from veilframe.streaming.run import drain
 
 
 def mask_stream_documents(spark, sf_dir):
-    masked = mask_stream(stream(spark, sf_dir, "documents"), config=CHECKED)
+    masked = mask_stream(stream(spark, sf_dir, "documents", "doc_id"), config=CHECKED)
     return drain(masked.select("doc_id", "masked"), "masked-documents")
 
 
 def mask_conversation_stream(spark, sf_dir):
     masker = ConversationMasker(new_folder(spark, "masked-conversations"), config=CHECKED)
-    masker.start(stream(spark, sf_dir, "conversations"), availableNow=True).awaitTermination()
+    masker.start(stream(spark, sf_dir, "conversations", "conv_id"), availableNow=True).awaitTermination()
     return masker.masked(spark).select("conv_id", "turn", "role", "masked")
 
 

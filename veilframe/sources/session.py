@@ -16,19 +16,22 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Proven small by file sizes. Meant for scans: the estimate of a join is a product."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return plan_bytes(df) <= cores * _SMALL_BYTES_PER_CORE
+
+
 def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
-    """Hash-partition a *small* batch input by ``key`` before CPU-heavy expressions.
+    """Hash-partition a *small* scan by ``key`` before CPU-heavy expressions.
 
     A table of one file with one row group is one task, however many cores there
     are. Only inputs proven small are moved; a large one already comes as many row
     groups and is left where it is, so this never shuffles a big table.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) > cores * _SMALL_BYTES_PER_CORE:
+    if not is_small(df):
         return df
-    return df.repartition(cores * per_core, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * per_core, key)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.sources.session import spread
+from veilframe.sources.session import is_small, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -21,15 +21,20 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFra
     return spread(table(spark, sf_dir, name), key)
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The same table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
+def stream(spark: SparkSession, sf_dir: str, name: str, key: str | None = None,
+           files_per_trigger: int = 1000) -> DataFrame:
+    """The same table as a file stream. With ``key`` a small table is hash-partitioned
+    in each micro-batch, as ``spread`` does for a batch."""
+    static = table(spark, sf_dir, name)
+    rows = (
+        spark.readStream.schema(static.schema)
         .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(sf_dir)
     )
+    if key and is_small(static):
+        return rows.repartition(spark.sparkContext.defaultParallelism * 4, key)
+    return rows
 
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -96,11 +101,8 @@ FROM keyed
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``note_id, custkey, text``: one note per order."""
-    notes = spark.sql(
-        ORDER_NOTES_SQL, orders=table(spark, sf_dir, "orders"),
-        customer=table(spark, sf_dir, "customer"),
-    )
-    return spread(notes, "note_id")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return spark.sql(ORDER_NOTES_SQL, orders=orders, customer=table(spark, sf_dir, "customer"))
 
 
 def order_notes_sql() -> str:

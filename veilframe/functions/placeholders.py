@@ -27,17 +27,27 @@ def first_occurrences(spans: str, keys: str) -> str:
     return f"filter({spans}, (x, i) -> array_position({keys}, {keys}[i]) = i + 1)"
 
 
+#: up to here comparing all distinct values of a text beats one pass per category
+FEW_VALUES = 48
+
+
 def numbered(firsts: str, keys: str, categories: Sequence[str], style: str) -> str:
     """Mapping entries of one text in order of appearance; each category counts up
-    on its own, in one pass over the distinct values."""
-    def entries(category: str) -> str:
-        c = quote(category)
-        return f"""transform(filter({firsts}, x -> x.category = {c}), (x, i) -> named_struct(
+    on its own. Few values are ranked by comparison, many in a pass per category."""
+    def entry(index: str) -> str:
+        return f"""named_struct(
           'first_idx', x.start_idx, 'key', lower(x.value), 'original', x.value,
-          'placeholder', {format_placeholder(c, 'i + 1', style)}, 'category', x.category,
-          'source', x.source, 'count', size(filter({keys}, k -> k = lower(x.value)))))"""
-
-    return f"array_sort(concat({', '.join(entries(c) for c in categories)}))"
+          'placeholder', {format_placeholder('x.category', index, style)},
+          'category', x.category, 'source', x.source,
+          'count', size({keys}) - size(array_remove({keys}, lower(x.value))))"""
+
+    rank = (f"size(filter({firsts}, y -> y.category = x.category AND y.start_idx <= x.start_idx))")
+    passes = ", ".join(
+        f"transform(filter({firsts}, x -> x.category = {quote(c)}), (x, i) -> {entry('i + 1')})"
+        for c in categories
+    )
+    return f"""CASE WHEN size({firsts}) <= {FEW_VALUES}
+      THEN transform({firsts}, x -> {entry(rank)}) ELSE array_sort(concat({passes})) END"""
 
 
 def restore_tokens(text: str, lookup: str, style: str = "brackets") -> str:

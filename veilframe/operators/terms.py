@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import spans as S
 
 _WORD = r"\w+"
+_CHUNK = 4096
 
 
 def detect_term_table(df: DataFrame, terms: DataFrame, key: str,
@@ -34,12 +35,22 @@ def detect_term_table(df: DataFrame, terms: DataFrame, key: str,
     reach = prepared.agg(F.max("_lead").alias("_lead"), F.max("_len").alias("_len")).first()
     lead, length = (reach["_lead"] or 0), (reach["_len"] or 0)
 
-    tokens = df.select(key, F.col(text_col).alias("_text"), F.explode_outer(
-        F.expr(S.find_all(text_col, _WORD))).alias("_t")).where(F.col("_t").isNotNull())
-    # one character more on each side for the boundaries
+    # Long texts are cut into chunks by word start; a chunk reaches one window further
+    # on both sides, and one character more for the boundaries.
+    reach_back, reach_on = lead + 1, length + 1
+    chunks = df.select(key, F.expr(f"concat(repeat(' ', {reach_back}), {text_col})").alias("_padded"),
+                       F.expr(f"length({text_col})").alias("_n")).select(
+        key, "_padded", F.explode(F.expr(f"sequence(0, greatest(_n - 1, 0) div {_CHUNK})")).alias("_c"),
+    ).select(key, (F.col("_c") * _CHUNK).cast("int").alias("_from"), F.expr(
+        f"substring(_padded, cast(_c * {_CHUNK} as int) + 1, {reach_back + _CHUNK + reach_on})",
+    ).alias("_chunk"))
+    tokens = chunks.select(key, "_from", "_chunk", F.explode_outer(
+        F.expr(S.find_all("_chunk", _WORD))).alias("_t")).where(
+        (F.col("_t.start_idx") >= reach_back) & (F.col("_t.start_idx") < reach_back + _CHUNK))
     around = tokens.select(
-        key, F.lower("_t.value").alias("_word"), F.col("_t.start_idx").alias("_at"),
-        F.expr(f"substring(concat(repeat(' ', {lead + 1}), _text), _t.start_idx + 1, {lead + length + 2})")
+        key, F.lower("_t.value").alias("_word"),
+        (F.col("_from") + F.col("_t.start_idx") - reach_back).alias("_at"),
+        F.expr(f"substring(_chunk, _t.start_idx - {reach_back} + 1, {lead + length + 2})")
         .alias("_around"),
     )
     met = around.join(prepared, "_word")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from veilframe.functions.patterns import MaskConfig
@@ -54,7 +55,7 @@ class ConversationMasker:
 
     def _earlier(self, like: DataFrame, batch_id: int) -> DataFrame:
         """Entries of earlier batches; their partition column keeps later ones out."""
-        schema = like.schema.add("batch_id", "bigint")
+        schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
         return (
             like.sparkSession.read.schema(schema).option("basePath", f"{self.base}/mapping")
             .parquet(f"{self.base}/mapping").where(F.col("batch_id") < batch_id).drop("batch_id")

@@ -9,6 +9,7 @@ and :func:`to_re2` for RE2 (DuckDB).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
@@ -322,13 +323,14 @@ def to_re2(pattern: str, ignore_case: bool = False) -> str:
 #  salary  the blanks before the currency are members of the class in front of them.
 #  price   a digit run that fails from its first digit fails from the later ones.
 #  code    pieces are taken possessively; a piece followed by '_' cannot end a match.
+#          Both alternatives need a digit in the run, which is looked for only once.
 _AMOUNT_ONCE = r"(?:\d{1,3}(?:[ .,]\d{3})+|(?<!\d)\d++)(?:[.,]\d{2})?"
 _PIECE = r"[A-Z0-9]++(?:_[A-Z0-9]++)*+(?!_)"
 _REWRITES = {
     "email": [("[a-zA-Z0-9._%+-]+@", r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@")],
     "salary": [(r"[\d\s.,]*\s*(?:", r"[\d\s.,]*+(?:")],
     "price": [("|" + _AMOUNT + r"\s?(?:€", "|" + _AMOUNT_ONCE + r"\s?(?:€")],
-    "code": [(
+    "code": [(r"\b(?:(?=[A-Z0-9-_]{6,})", r"\b(?=[A-Z_-]*+[0-9])(?:(?=[A-Z0-9-_]{6,})"), (
         r"[A-Z][A-Z0-9]*[-_][A-Z0-9]+(?:[-_][A-Z0-9]+)*|",
         r"[A-Z][A-Z0-9]*+(?:(?:_[A-Z0-9]++)++(?!_)(?:-" + _PIECE + r")*+|(?:-" + _PIECE + r")++)|",
     )],
@@ -340,13 +342,28 @@ def ecma_pattern(family: Family, id_min_length: int = DEFAULT_ID_MIN_LENGTH) ->
     return pattern % {"id_min_length": id_min_length} if family.name == "code" else pattern
 
 
+def _first_character_first(java: str) -> str:
+    """Test the first character before the boundary in front of it: ``(?<!\\w)A{n,m}``
+    becomes ``A(?<!\\wA)A{n-1,m-1}``. The look-behind is the dear part at positions
+    where the pattern cannot start anyway."""
+    head = re.match(r"(\(\?i\))?\(\?<!\\w\)(\\d|\[[^\]]+\])(?:\{(\d+)(?:,(\d+))?\})?(?![*+?{])", java)
+    if not head:
+        return java
+    flag, atom, low, high = head.group(1) or "", head.group(2), head.group(3), head.group(4)
+    more = ""
+    if low:
+        bounds = str(int(low) - 1) + (f",{int(high) - 1}" if high else "")
+        more = "" if bounds == "0" else f"{atom}{{{bounds}}}"
+    return f"{flag}{atom}(?<!\\w{atom}){more}{java[head.end():]}"
+
+
 def java_pattern(family: Family, id_min_length: int = DEFAULT_ID_MIN_LENGTH) -> str:
     pattern = ecma_pattern(family, id_min_length)
     for old, new in _REWRITES.get(family.name, ()):
         if old not in pattern:
             raise ValueError(f"{family.name}: pattern changed, rewrite no longer applies")
         pattern = pattern.replace(old, new)
-    return to_java(pattern, family.ignore_case, family.open_tail)
+    return _first_character_first(to_java(pattern, family.ignore_case, family.open_tail))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -39,9 +40,14 @@ def _project(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def _with_groups(df: DataFrame, text_col: str, name: str, pattern: str, seq: int, category: str,
-                 n_groups: int) -> DataFrame:
-    """Add ``_r_<name>``, the located matches, and ``_<name><k>``, their groups."""
-    df = _project(df, **{f"_x_{name}": S.mark_matches(text_col, pattern)})
+                 n_groups: int, any_of: Sequence[str] = ()) -> DataFrame:
+    """Add ``_r_<name>``, the located matches, and ``_<name><k>``, their groups. Texts
+    without any of the words ``any_of`` have no match."""
+    marked = S.mark_matches(text_col, pattern)
+    if any_of:
+        gate = " OR ".join(f"contains({text_col}, {S.quote(word)})" for word in any_of)
+        marked = f"CASE WHEN {gate} THEN {marked} END"
+    df = _project(df, **{f"_x_{name}": marked})
     df = _project(df, **{f"_p_{name}": S.split_marked(f"_x_{name}", text_col)})
     return _project(df, **{f"_r_{name}": S.locate(f"_p_{name}", seq, category, "ner")}, **{
         f"_{name}{k}": f"""CASE WHEN _p_{name} IS NULL THEN {S.NO_STRINGS}
@@ -60,7 +66,8 @@ def with_entity_spans(df: DataFrame, text_col: str, config: EntityConfig, person
         name_rx = L.PERSON_UNICODE_JAVA if config.unicode_names else L.PERSON_JAVA
         title_rx = L.TITLE_UNICODE_JAVA if config.unicode_names else L.TITLE_JAVA
         df = _with_groups(df, "_work", "name", name_rx, PERSON_SEQ, "PERSON", 2)
-        df = _with_groups(df, "_work", "title", title_rx, TITLE_SEQ, "PERSON", 1)
+        df = _with_groups(df, "_work", "title", title_rx, TITLE_SEQ, "PERSON", 1,
+                          [t.replace("\\", "") for t in L.TITLES])
         df = _project(
             df,
             _names=f"""transform(filter(arrays_zip(_r_name, _name1, _name2), x -> NOT (
@@ -79,7 +86,7 @@ def with_entity_spans(df: DataFrame, text_col: str, config: EntityConfig, person
           OR {L.is_stop_phrase("x.value")})) END""")
         parts += [once("_names"), once("_titled_new")]
     if organizations:
-        df = _with_groups(df, "_work", "org", L.ORG_JAVA, ORG_SEQ, "COMPANY", 1)
+        df = _with_groups(df, "_work", "org", L.ORG_JAVA, ORG_SEQ, "COMPANY", 1, L.ORG_SUFFIXES)
         df = _project(df, _orgs="""transform(
           filter(arrays_zip(_r_org, _org1), x -> x._org1 != ''), x -> x._r_org)""")
         parts.append(once("_orgs"))

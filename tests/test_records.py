@@ -126,6 +126,17 @@ def test_paging_by_key_covers_everything(spark):
     assert seen == list(range(0, 30, 2))
 
 
+def test_label_and_read_changes(spark):
+    rows = spark.createDataFrame([(1, ["A", "UNREAD"], False), (2, ["A"], False), (3, ["B"], True)],
+                                 "msg_id long, labels array<string>, is_read boolean")
+    changes = spark.createDataFrame([(1, ["S", "A"], ["UNREAD", "X"]), (3, None, ["B"])],
+                                    "msg_id long, add array<string>, remove array<string>")
+    got = {r.msg_id: r.labels for r in messages.modify_labels(rows, changes).collect()}
+    assert got == {1: ["A", "S"], 2: ["A"], 3: []}
+    flags = spark.createDataFrame([(1, None), (3, False)], "msg_id long, is_read boolean")
+    assert {r.msg_id: r.is_read for r in messages.mark_read(rows, flags).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_hot_conversation_is_limited_before_the_shuffle(spark, tmp_path):
     _turns(spark).write.parquet(str(tmp_path / "t"))
     plan = messages.list_conversation_messages(spark.read.parquet(str(tmp_path / "t")), 2)
@@ -136,8 +147,8 @@ def test_spread_only_moves_small_inputs(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "t"))
     small = spark.read.parquet(str(tmp_path / "t"))
     assert is_small(small) and spread(small, "id").rdd.getNumPartitions() == 32
-    unknown = spark.range(10).crossJoin(spark.range(1 << 40).toDF("b"))
-    assert not is_small(unknown)
+    large = spark.range(1 << 50)
+    assert not is_small(large) and spread(large, "id") is large
 
 
 def test_materialise_uses_the_shared_folder(spark):

@@ -232,9 +232,11 @@ def message_by_id(spark, sf_dir):
 
 
 def labels_modified(spark, sf_dir):
-    changes = messages(spark, sf_dir).where("thread_id % 2 = 0").select(
-        "msg_id", F.expr("CASE WHEN msg_id % 5 != 0 THEN array('STARRED', 'INBOX') END").alias("add"),
-        F.array(F.lit("UNREAD"), F.lit("ABSENT")).alias("remove"))
+    changes = messages(spark, sf_dir).select(
+        "msg_id",
+        F.expr("CASE WHEN thread_id % 2 = 0 AND msg_id % 5 != 0 THEN array('STARRED', 'INBOX') END")
+        .alias("add"),
+        F.expr("CASE WHEN thread_id % 2 = 0 THEN array('UNREAD', 'ABSENT') END").alias("remove"))
     changed = ME.modify_labels(messages(spark, sf_dir), changes)
     return changed.select("msg_id", F.array_join(F.array_sort("labels"), ",").alias("labels"))
 
@@ -246,8 +248,9 @@ FROM ({_DUCK_MESSAGES})"""
 
 
 def marked_read(spark, sf_dir):
-    changes = messages(spark, sf_dir).where("thread_id % 2 = 0").select(
-        "msg_id", F.expr("CASE WHEN msg_id % 5 = 0 THEN false END").alias("is_read"))
+    changes = messages(spark, sf_dir).select(
+        "msg_id", F.expr("CASE WHEN thread_id % 2 = 0 THEN CASE WHEN msg_id % 5 = 0 THEN false END ELSE is_read END")
+        .alias("is_read"))
     return ME.mark_read(messages(spark, sf_dir), changes).select("msg_id", "is_read")
 
 

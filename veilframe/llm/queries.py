@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chats, mixing, quality
+from veilframe.llm import chats, leaks, mixing, pii, quality, toxicity
 from veilframe.llm.common import table
 
 #: name: (query of (spark, sf_dir), DuckDB statement or None)
 CATALOG = {
     "op1_quality_rules": (lambda spark, d: quality.query(table(spark, d, "documents")), quality.SQL),
     "op2_mix_sources": (lambda spark, d: mixing.query(table(spark, d, "documents")), mixing.SQL),
+    "op3_benchmark_decontamination": (
+        lambda spark, d: leaks.query(table(spark, d, "documents"), table(spark, d, "benchmark")), None,
+    ),
     "op4_chat_formatting": (lambda spark, d: chats.query(table(spark, d, "conversations")), chats.SQL),
+    "op7_pii": (lambda spark, d: pii.query(table(spark, d, "documents")), None),
+    "op10_toxicity": (lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }

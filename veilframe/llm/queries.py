@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chats, leaks, mixing, pii, quality, toxicity
+from veilframe.llm import chats, leaks, mixing, pii, quality, recompression, suffixes, toxicity
 from veilframe.llm.common import table
 
 #: name: (query of (spark, sf_dir), DuckDB statement or None)
@@ -14,5 +14,7 @@ CATALOG = {
     ),
     "op4_chat_formatting": (lambda spark, d: chats.query(table(spark, d, "conversations")), chats.SQL),
     "op7_pii": (lambda spark, d: pii.query(table(spark, d, "documents")), None),
+    "op8_substring_dedup": (lambda spark, d: recompression.query(table(spark, d, "documents")), None),
+    "op9_suffix_array_dedup": (lambda spark, d: suffixes.query(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }

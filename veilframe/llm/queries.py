@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chats, leaks, mixing, neardup, pii, quality, recompression, suffixes, toxicity
+from veilframe.llm import chats, extraction, leaks, mixing, neardup, pii, quality, recompression, suffixes, toxicity
 from veilframe.llm.common import table
 
 #: name: (query of (spark, sf_dir), DuckDB statement or None)
@@ -13,6 +13,7 @@ CATALOG = {
         lambda spark, d: leaks.query(table(spark, d, "documents"), table(spark, d, "benchmark")), None,
     ),
     "op4_chat_formatting": (lambda spark, d: chats.query(table(spark, d, "conversations")), chats.SQL),
+    "op5_html_extraction": (lambda spark, d: extraction.query(table(spark, d, "pages")), None),
     "op6_minhash_near_dedup": (lambda spark, d: neardup.query(table(spark, d, "documents")), None),
     "op7_pii": (lambda spark, d: pii.query(table(spark, d, "documents")), None),
     "op8_substring_dedup": (lambda spark, d: recompression.query(table(spark, d, "documents")), None),

@@ -24,11 +24,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,10 +193,7 @@ def find_leaks(
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _made:  # a worker keeps the automaton of the block at hand
-                _made.clear()
-                _made[key] = Matcher(shared.value, rate, min_chars)
-            matcher = _made[key]
+            matcher = _matcher(shared, key, rate, min_chars)
             for batch in batches:
                 found = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -208,6 +206,34 @@ def find_leaks(
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], LEAKS)
 
 
+def without_leaks(
+    docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no item stands, with all their columns."""
+    for block in _blocks(items, block_chars):
+        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex, rate, min_chars), docs.schema)
+    return docs
+
+
+def _filter(shared: Broadcast, key: str, rate: float, min_chars: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared, key, rate, min_chars)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not (t and matcher.find(fold(t))) for t in texts], pa.bool_()))
+
+    return run
+
+
+def _matcher(shared: Broadcast, key: str, rate: float, min_chars: int) -> Matcher:
+    """The automaton of a block; a worker keeps those it has met."""
+    if key not in _made:
+        if len(_made) >= 4:
+            _made.clear()
+        _made[key] = Matcher(shared.value, rate, min_chars)
+    return _made[key]
+
+
 def _placed(doc_id: int | None, text: str, hits: dict[int, tuple[int, int]], matcher: Matcher) -> list[dict]:
     """The result rows of a document; the start comes from matching the reversed item backwards."""
     folded, source = folded_offsets(text)

@@ -51,7 +51,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, epochs: float) -
         weight = F.lit(1.0)
     else:
         weight = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(w))) for s, w in weights.items()], F.lit(0.0))
-    words = words.filter("words > 0").withColumn("weight", weight)
+    words = words.withColumn("weight", weight).filter("words > 0 AND weight > 0")
     share = F.col("weight") / words.agg(F.sum("weight")).scalar()
     rate = F.lit(float(epochs)) * share * words.agg(F.sum("words")).scalar() / F.col("words")
     draws = F.greatest(F.ceil(F.col("rate") / MOST), F.lit(1)).cast("int")
@@ -73,16 +73,17 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, epochs: float) -
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
     """The columns of ``docs``, ``replica`` (from 1) and ``mix_key``, in the order of the key."""
-    found = rates(docs, weights, epochs).select(F.col("source").alias("_source"), "draws", "cdf")
-    own = [F.col(c) for c in docs.columns if c not in ("replica", "mix_key")]
+    found = rates(docs, weights, epochs).select(F.col("source").alias("name"), "draws", "cdf")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(found, F.col("row.source").eqNullSafe(F.col("name")))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("draws")), F.lit(0),
-        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= unit(F.lit(seed), F.col("doc_id"), j))),
+        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= unit(F.lit(seed), F.col("row.doc_id"), j))),
     )
-    copies = docs.join(found, docs["source"].eqNullSafe(found["_source"])).select(*own, drawn.alias("_n")).filter("_n > 0")
-    copies = copies.select(*own, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("replica"))
-    copies = copies.withColumn("mix_key", hashed(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("replica")))
-    return copies.orderBy("mix_key", "doc_id", "replica")
+    copies = rows.select("row", drawn.alias("n")).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("replica"))
+    copies = copies.withColumn("mix_key", hashed(F.lit(seed), F.lit("order"), F.col("row.doc_id"), F.col("replica")))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("replica", "mix_key")]
+    return copies.orderBy("mix_key", "row.doc_id", "replica").select(*own, "replica", "mix_key")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -274,36 +274,41 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
     return [(r.text or "", r.toxic) for r in rows.collect()]
 
 
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
-_SCORES = pa.schema([("score", pa.float64())])
 _known: dict[str, dict[str, float]] = {}
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and ``score``."""
+def _scores(model: Model, known: dict[str, float], texts: list[str | None]) -> np.ndarray:
+    """The score of each text; ``known`` has the margins of words met so far."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    words = [words_of(t) if t else [] for t in texts]
+    new = list({w for ws in words for w in ws}.difference(known))
+    for i in range(0, len(new), 50_000):
+        some = new[i : i + 50_000]
+        known.update(zip(some, model.margins(some).tolist(), strict=True))
+    return model.score(np.array([features([known[w] for w in ws]) for ws in words]).reshape(-1, 4))
+
+
+def _remembered(key: str) -> dict[str, float]:
+    if key not in _known:
+        _known.clear()
+        _known[key] = {}
+    return _known[key]
+
+
+def score(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id`` and ``score`` of the rows' texts."""
+    rows = rows.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    columns = [c for c in docs.columns if c != "score"]
+        return rows.select("doc_id", F.lit(0.0).alias("score"))
+    shared, key = rows.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
-        if key not in _known:
-            _known.clear()
-            _known[key] = {}
         for batch in batches:
-            known = _known[key]
-            if len(known) > REMEMBERED:
-                known.clear()
-            texts = [words_of(t) if t else [] for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            new = list({w for words in texts for w in words}.difference(known))
-            for i in range(0, len(new), 50_000):
-                some = new[i : i + 50_000]
-                known.update(zip(some, own.margins(some).tolist(), strict=True))
-            rows = np.array([features([known[w] for w in words]) for words in texts]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(rows))], names=[*batch.schema.names, "score"])
+            scores = _scores(shared.value, _remembered(key), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns, F.lit(0.0).alias("score")).schema)
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
@@ -311,13 +316,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    scored = score(rows, fit(rows, labels))
+    scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, with their own columns."""
-    scored = score(docs, fit(docs, labels))
-    kept = scored.filter("score < 0.5")
-    return kept.select(*[c for c in docs.columns])
+    """The documents that are not toxic, with all their columns."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(shared.value, _remembered(key), batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from veilframe.functions import model_output as MO
 from veilframe.functions import payloads as P
 from veilframe.functions import web
 from veilframe.operators import calls, chat, messages
-from veilframe.sources.session import is_small, materialise, shared_dir, spread
+from veilframe.sources.session import materialise, shared_dir, spread
 
 
 def one(spark, column, **values):
@@ -143,12 +143,12 @@ def test_hot_conversation_is_limited_before_the_shuffle(spark, tmp_path):
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_only_moves_small_inputs(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    small = spark.read.parquet(str(tmp_path / "t"))
-    assert is_small(small) and spread(small, "id").rdd.getNumPartitions() == 32
-    large = spark.range(1 << 50)
-    assert not is_small(large) and spread(large, "id") is large
+def test_spread_deals_a_hot_key_evenly(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS conv_id").coalesce(1)
+    assert spread(rows, None) is rows
+    dealt = spread(rows, 10).groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("conv_id") == 1, 1)).alias("hot")).collect()
+    assert len(dealt) == 10 and max(r.n for r in dealt) <= 400 and max(r.hot for r in dealt) <= 200
 
 
 def test_materialise_uses_the_shared_folder(spark):

@@ -2,7 +2,9 @@ import plain
 from pyspark.sql import functions as F
 from test_masking import PATTERNS_ONLY, _conversation_turns, _masked_plainly
 from veilframe.operators import inquiries as IQ
-from veilframe.streaming.inquiries import inquiry_stats_stream, log_inquiries_stream
+from veilframe.streaming.inquiries import (
+    daily_inquiries, inquiry_log, inquiry_stats_stream, log_inquiries_stream,
+)
 from veilframe.streaming.masking import ConversationMasker, mask_stream
 from veilframe.streaming.run import drain
 
@@ -98,3 +100,30 @@ def test_inquiry_stats_stream_closes_days(spark, tmp_path):
     write_files(spark, tmp_path, schema, days)
     out = drain(inquiry_stats_stream(read_stream(spark, tmp_path, schema)), "test")
     assert {(str(r.day)[:10], r.n_inquiries) for r in out.collect()} == {("2024-01-01", 1), ("2024-01-02", 2)}
+
+
+def test_inquiry_log_is_that_of_the_whole_table(spark, tmp_path):
+    schema = _inquiries(spark, _inquiry()).schema
+    batches = [
+        _inquiries(spark, _inquiry(key="a", time="2024-01-03 00:00:00"), _inquiry(key="a", text="z"), _inquiry()).collect(),
+        _inquiries(spark, _inquiry(key="a", text="b"), _inquiry(key="b"), _inquiry("fax"), _inquiry()).collect(),
+        _inquiries(spark, _inquiry(key="b", sender="r")).collect(),
+    ]
+    write_files(spark, tmp_path, schema, batches)
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    log = inquiry_log(str(tmp_path / "log"), now)
+    log.start(read_stream(spark, tmp_path, schema), availableNow=True).awaitTermination()
+    want = IQ.log_inquiries(spark.createDataFrame(sum(batches, []), schema), now)
+    assert sorted(map(str, log.read(spark).collect())) == sorted(map(str, want.collect()))
+    log.process(spark.createDataFrame(batches[2], schema), 2)  # the same batch again
+    assert log.read(spark).count() == want.count()
+
+
+def test_daily_inquiries_are_complete(spark, tmp_path):
+    schema = _inquiries(spark, _inquiry()).schema
+    days = [_inquiries(spark, *[_inquiry(time=f"2024-01-{d:02d} 10:00:00")] * d).collect() for d in (5, 1, 2, 5)]
+    write_files(spark, tmp_path, schema, days)
+    daily = daily_inquiries(str(tmp_path / "daily"))
+    daily.start(read_stream(spark, tmp_path, schema), availableNow=True).awaitTermination()
+    assert {(str(r.day)[:10], r.n_inquiries) for r in daily.read(spark).collect()} == {
+        ("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-05", 10)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.lexicon import BLANKS_JAVA
+
 #: answer of a response API: ready text, or outputs made of content parts
 RESPONSE_TYPE = (
     "struct<output_text:string,"
@@ -19,7 +21,9 @@ _END = "--end of candidate--"
 def strict_json(candidate: Column) -> Column:
     """The candidate as VARIANT, null unless all of it is one JSON value. The parser
     stops after the first value, so the candidate is parsed as the first of exactly
-    two array elements and anything behind it is noticed."""
+    two array elements and anything behind it is noticed. Of a repeated key the last one
+    counts if the session says so (``sources.session.keep_last_key``); Spark's default is
+    to reject such a candidate."""
     wrapped = F.concat(F.lit("["), candidate, F.lit(f',"{_END}"]'))
     pair = F.try_parse_json(wrapped).cast("array<variant>")
     complete = (F.size(pair) == 2) & (
@@ -55,7 +59,7 @@ def response_text(response: Column) -> Column:
     text = F.coalesce(
         F.nullif(response["output_text"], F.lit("")), F.array_join(outputs, "\n"), F.lit(""),
     )
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"^{BLANKS_JAVA}|{BLANKS_JAVA}\z", "")
 
 
 def first_text_block(blocks: Column) -> Column:

@@ -15,6 +15,11 @@ INQUIRY_SCHEMA = (
     "reponse_proposee string, horodatage timestamp, external_id string"
 )
 
+#: which of several inquiries with one id is logged
+SURVIVOR_ORDER = (
+    "horodatage", "canal", "expediteur", "texte", "source", "sujet", "reponse_proposee",
+)
+
 
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
@@ -44,11 +49,16 @@ def log_inquiries(inquiries: DataFrame, now: Column) -> DataFrame:
     earliest). Inquiries without an id are never duplicates; they bypass the window,
     where their common null key would be one hot partition."""
     valid = with_time(accepted(validate_inquiries(inquiries)), now)
-    order = [F.col(c) for c in ("horodatage", "canal", "expediteur", "texte")]
+    return first_of_each_id(valid)
+
+
+def first_of_each_id(logged: DataFrame) -> DataFrame:
+    """One row per ``external_id``: the first by time, then by all other columns."""
+    order = [F.col(c) for c in SURVIVOR_ORDER if c in logged.columns]
     first = Window.partitionBy("external_id").orderBy(*order)
-    known = valid.where("external_id IS NOT NULL").withColumn(
+    known = logged.where("external_id IS NOT NULL").withColumn(
         "_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return known.unionByName(valid.where("external_id IS NULL"))
+    return known.unionByName(logged.where("external_id IS NULL"))
 
 
 def in_range(time: Column, range_: str, as_of: Column) -> Column:

@@ -3,7 +3,7 @@
 Columns (null where a channel does not use them): ``msg_id, channel, from_email,
 from_name, from_number, to_email, to_list ARRAY<STRUCT<email,name>>, to_number,
 recipient_id, account_id, subject, body, html, body_type, cc, bcc, url, method,
-headers MAP<STRING,STRING>, sms_channel``.
+headers MAP<STRING,STRING>, sms_channel``; ``reply_to`` may be left out.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ def build_outbox(outbox: DataFrame) -> DataFrame:
     """``msg_id, channel, payload_json, error_code``; no body for a rejected message.
     A projection, so the same on a batch and on a stream."""
     col = F.col
+    reply_to = col("reply_to") if "reply_to" in outbox.columns else F.lit(None).cast("string")
     addresses = F.transform("to_list", lambda t: t["email"])
     listed = lambda c: F.when(col(c).isNotNull(), F.array(col(c)))
     bodies = {
@@ -57,7 +58,7 @@ def build_outbox(outbox: DataFrame) -> DataFrame:
             col("from_email"), col("from_name"), col("to_list"), col("subject"), col("html")),
         "smtp": F.to_json(F.struct(
             P.from_header(col("from_name"), col("from_email")).alias("from"),
-            col("to_email").alias("to"), col("cc"), col("bcc"), col("subject"),
+            col("to_email").alias("to"), col("cc"), col("bcc"), reply_to.alias("replyTo"), col("subject"),
             col("body").alias("text"), col("html"))),
         "graph_mail": P.payload_graph_mail(
             addresses, col("subject"), col("body"), col("body_type"), listed("cc"), listed("bcc")),

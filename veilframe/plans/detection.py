@@ -30,7 +30,7 @@ _COLUMNS = "seq, s AS start_idx, e AS end_idx, category, source, v AS value"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_table(spark, sf_dir, "documents", "doc_id")
+    return text_table(spark, sf_dir, "documents")
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
@@ -127,8 +127,16 @@ def detect_orgs_notes(spark, sf_dir):
     return _rows(E.detect_orgs(order_notes(spark, sf_dir)), "note_id")
 
 
+#: the documents, half of them signed by a firm: the prose itself names none
+_SIGNED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' Signed: Acme Blue Solutions, and Nord Tech.'
+  WHEN 1 THEN 'Duval SARL Group ' || text ELSE text END AS text FROM {documents}"""
+_SIGNED_DOCS = O.src_cte(
+    f"SELECT doc_id AS scope, 0 AS item, text FROM ({_SIGNED.format(documents='documents')})")
+
+
 def detect_orgs_documents(spark, sf_dir):
-    return _rows(E.detect_orgs(documents(spark, sf_dir)), "doc_id")
+    signed = spark.sql(_SIGNED, documents=documents(spark, sf_dir))
+    return _rows(E.detect_orgs(signed), "doc_id")
 
 
 def detect_entities_documents(spark, sf_dir):
@@ -242,7 +250,7 @@ QUERIES = {
         detect_persons_notes, _entities_sql(_NOTES, "note_id", "WHERE category = 'PERSON'")),
     "persons_first_only_notes": (persons_first_only_notes, _FIRST_ONLY_SQL),
     "detect_orgs_documents": (
-        detect_orgs_documents, _entities_sql(_DOCS, "doc_id", "WHERE category = 'COMPANY'")),
+        detect_orgs_documents, _entities_sql(_SIGNED_DOCS, "doc_id", "WHERE category = 'COMPANY'")),
     "detect_orgs_notes": (
         detect_orgs_notes, _entities_sql(_NOTES, "note_id", "WHERE category = 'COMPANY'")),
     "detect_entities_documents": (detect_entities_documents, _entities_sql(_DOCS, "doc_id")),

@@ -109,7 +109,7 @@ def anonymize_many_by_customer(spark, sf_dir):
 
 
 def anonymize_many_conversations(spark, sf_dir):
-    turns = text_table(spark, sf_dir, "conversations", "conv_id")
+    turns = text_table(spark, sf_dir, "conversations")
     masked = M.anonymize_many(turns, "conv_id", "turn", config=CHECKED)
     return masked.texts.select("conv_id", "turn", "role", "masked")
 
@@ -124,7 +124,7 @@ def deanonymize_by_customer(spark, sf_dir):
 
 
 def round_trip_conversations(spark, sf_dir):
-    turns = text_table(spark, sf_dir, "conversations", "conv_id")
+    turns = text_table(spark, sf_dir, "conversations")
     return M.round_trip(turns, config=CHECKED)
 
 

@@ -19,6 +19,7 @@ from veilframe.operators import inquiries as IQ
 from veilframe.operators import messages as ME
 from veilframe.operators import outbox as OB
 from veilframe.operators import pages as PG
+from veilframe.sources.session import keep_last_key
 from veilframe.sources.tables import table, text_table
 
 
@@ -33,35 +34,39 @@ def _duck(sql: str, *names: str) -> str:
 # --- model answers -----------------------------------------------------------
 
 _AS_ANSWERS = """
-SELECT event_id, CASE event_id % 6
+SELECT event_id, CASE event_id % 7
   WHEN 0 THEN 'Sure: ' || props || ' done.'
   WHEN 1 THEN 'List [' || CAST(event_id AS STRING) || ', 2, "x"] end'
   WHEN 2 THEN '[{{"k": ' || CAST(event_id AS STRING) || '}}]'
   WHEN 3 THEN 'broken {{not json}} then [1, ' || CAST(event_id AS STRING) || ']'
   WHEN 4 THEN 'nothing here ' || event_type
+  WHEN 5 THEN 'twice {{"k": 1, "k": ' || CAST(event_id AS STRING) || '}}'
   ELSE 'two {{"a": 1}} and {{"b": 2}}' END AS answer
 FROM {events}
 """
 _JSON_IN_DUCK = r"""
 SELECT event_id, CASE
+  WHEN event_id % 7 = 5 THEN '{"k":' || event_id || '}'
   WHEN json_valid(regexp_extract(answer, '(?s)\{.*\}')) THEN regexp_extract(answer, '(?s)\{.*\}')
   WHEN json_valid(regexp_extract(answer, '(?s)\[.*\]')) THEN regexp_extract(answer, '(?s)\[.*\]')
   END AS j FROM (""" + _duck(_AS_ANSWERS, "events") + ")"
 
 
 def extract_json(spark, sf_dir):
+    keep_last_key(spark)
     answers = _from(spark, sf_dir, _AS_ANSWERS, "events")
     return answers.select("event_id", MO.extract_json(F.col("answer")).alias("parsed"))
 
 
 def extract_json_with_schema(spark, sf_dir):
+    keep_last_key(spark)
     answers = _from(spark, sf_dir, _AS_ANSWERS, "events")
     parsed = answers.select("event_id", MO.extract_json(F.col("answer"), "k bigint").alias("p"))
     return parsed.select("event_id", F.col("p.k").alias("k"))
 
 
 _AS_LINES = """
-SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN ' ' || text || ' ' WHEN turn % 3 = 1 THEN '' END AS ready, text
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '\u00a0 ' || text || ' \u2003\ufeff' WHEN turn % 3 = 1 THEN '' END AS ready, text
 FROM {conversations}
 """
 
@@ -80,8 +85,8 @@ def response_text(spark, sf_dir):
 
 
 _RESPONSE_SQL = r"""
-SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 0 AND ' ' || text || ' ' != '' THEN ' ' || text || ' '
-  ELSE chr(10) || replace(text, '.', '') END, '^\s+|\s+$', '', 'g') AS content
+SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 3 = 0 THEN chr(160) || ' ' || text || ' ' || chr(8195) || chr(65279)
+  ELSE chr(10) || replace(text, '.', '') END, '^[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$', '', 'g') AS content
 FROM conversations
 """
 
@@ -331,7 +336,7 @@ d AS (
   SELECT * FROM v WHERE external_id IS NULL
   UNION ALL
   SELECT * FROM v WHERE external_id IS NOT NULL QUALIFY row_number() OVER (
-    PARTITION BY external_id ORDER BY horodatage, canal, expediteur, texte) = 1)
+    PARTITION BY external_id ORDER BY horodatage, canal, expediteur, texte, source) = 1)
 SELECT canal, source, expediteur, texte, external_id,
   strftime(horodatage, '%Y-%m-%d %H:%M:%S') AS horodatage FROM d"""
 
@@ -380,7 +385,7 @@ _STRIPPED_SQL = rf"""SELECT doc_id, CASE WHEN contains(payload, 'Markdown Conten
 
 
 def pages_markdown(spark, sf_dir):
-    return PG.pages_to_markdown(text_table(spark, sf_dir, "pages", "page_id")).select(
+    return PG.pages_to_markdown(text_table(spark, sf_dir, "pages")).select(
         "page_id", "markdown")
 
 
@@ -432,6 +437,7 @@ SELECT c_custkey AS msg_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'html' ELSE 'text' END AS body_type,
   '<p>' || c_name || '</p>' AS html,
   CASE WHEN c_custkey % 5 = 0 THEN 'cc@example.net' END AS cc, CAST(NULL AS STRING) AS bcc,
+  CASE WHEN c_custkey % 4 = 1 THEN 'answers@example.net' END AS reply_to,
   CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'https://hook.example/' || CAST(c_custkey AS STRING) END AS url,
   CASE WHEN c_custkey % 2 = 0 THEN 'PUT' END AS method
 FROM {customer}
@@ -474,7 +480,7 @@ _PAYLOAD_SQL = {
       || ',"HTMLPart":' || to_json(html)::VARCHAR || '}}'""",
     "smtp": rf"""'{{"from":' || to_json(CASE WHEN from_name IS NOT NULL THEN from_name || ' <' || from_email || '>'
         ELSE from_email END)::VARCHAR || ',"to":' || to_json(to_email)::VARCHAR
-      || {_NAME.format("cc", "cc")} || ',"subject":' || to_json(subject)::VARCHAR
+      || {_NAME.format("cc", "cc")} || {_NAME.format("replyTo", "reply_to")} || ',"subject":' || to_json(subject)::VARCHAR
       || {_NAME.format("text", "body")} || ',"html":' || to_json(html)::VARCHAR || '}}'""",
     "graph_mail": r"""'{"message":{"subject":' || to_json(subject)::VARCHAR || ',"body":{"contentType":"'
       || CASE body_type WHEN 'html' THEN 'HTML' ELSE 'Text' END || '","content":' || to_json(body)::VARCHAR

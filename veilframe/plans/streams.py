@@ -9,20 +9,20 @@ from veilframe.plans import masking, records
 from veilframe.plans.detection import CHECKED, _DOCS
 from veilframe.sources.session import new_folder
 from veilframe.sources.tables import stream
-from veilframe.streaming.calls import call_rollup_stream
-from veilframe.streaming.inquiries import inquiry_stats_stream, log_inquiries_stream
+from veilframe.streaming.calls import hourly_calls
+from veilframe.streaming.inquiries import daily_inquiries, inquiry_log
 from veilframe.streaming.masking import ConversationMasker, mask_stream
 from veilframe.streaming.run import drain
 
 
 def mask_stream_documents(spark, sf_dir):
-    masked = mask_stream(stream(spark, sf_dir, "documents", "doc_id"), config=CHECKED)
+    masked = mask_stream(stream(spark, sf_dir, "documents"), config=CHECKED)
     return drain(masked.select("doc_id", "masked"), "masked-documents")
 
 
 def mask_conversation_stream(spark, sf_dir):
     masker = ConversationMasker(new_folder(spark, "masked-conversations"), config=CHECKED)
-    masker.start(stream(spark, sf_dir, "conversations", "conv_id"), availableNow=True).awaitTermination()
+    masker.start(stream(spark, sf_dir, "conversations"), availableNow=True).awaitTermination()
     return masker.masked(spark).select("conv_id", "turn", "role", "masked")
 
 
@@ -30,39 +30,39 @@ def _event_stream(spark, sf_dir, sql):
     return spark.sql(sql, events=stream(spark, sf_dir, "events"))
 
 
-def inquiries_logged_stream(spark, sf_dir):
-    found = _event_stream(spark, sf_dir, records.AS_INQUIRIES).withColumn(
+def _filled(table, stream_):
+    """The table after everything available was read."""
+    table.start(stream_, availableNow=True).awaitTermination()
+    return table.read(stream_.sparkSession)
+
+
+def _inquiry_stream(spark, sf_dir):
+    return _event_stream(spark, sf_dir, records.AS_INQUIRIES).withColumn(
         "horodatage", F.expr("cast(horodatage as timestamp)"))
-    logged = log_inquiries_stream(found, F.lit(records._AS_OF).cast("timestamp"), "400 days")
-    return drain(logged.select("external_id"), "inquiries")
 
 
-_LOGGED_SQL = f"""
-WITH v AS (SELECT external_id FROM ({records._DUCK_INQUIRIES})
-  WHERE canal IN ('instagram', 'email') AND expediteur != '' AND texte IS NOT NULL)
-SELECT external_id FROM v WHERE external_id IS NULL
-UNION ALL SELECT DISTINCT external_id FROM v WHERE external_id IS NOT NULL"""
+def inquiries_logged_stream(spark, sf_dir):
+    log = inquiry_log(new_folder(spark, "inquiries"), F.lit(records._AS_OF).cast("timestamp"))
+    return _filled(log, _inquiry_stream(spark, sf_dir)).select(
+        "canal", "source", "expediteur", "texte", "external_id",
+        F.date_format("horodatage", "yyyy-MM-dd HH:mm:ss").alias("horodatage"))
 
 
 def inquiry_stats_daily_stream(spark, sf_dir):
-    found = _event_stream(spark, sf_dir, records.AS_INQUIRIES).withColumn(
-        "horodatage", F.expr("cast(horodatage as timestamp)"))
-    daily = drain(inquiry_stats_stream(found), "inquiry-stats")
+    daily = _filled(daily_inquiries(new_folder(spark, "inquiry-stats")), _inquiry_stream(spark, sf_dir))
     return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _DAILY_SQL = f"""
-WITH i AS (SELECT * FROM ({records._DUCK_INQUIRIES}) WHERE horodatage IS NOT NULL)
-SELECT strftime(date_trunc('day', horodatage), '%Y-%m-%d') AS day, canal, source, count(*) AS n_inquiries
-FROM i WHERE date_trunc('day', horodatage) + INTERVAL 1 DAY
-  <= (SELECT date_trunc('millisecond', max(horodatage)) - INTERVAL 1 DAY FROM i)
-GROUP BY ALL"""
+SELECT strftime(date_trunc('day', horodatage), '%Y-%m-%d') AS day, canal, source,
+  count(*)::BIGINT AS n_inquiries
+FROM ({records._DUCK_INQUIRIES}) WHERE horodatage IS NOT NULL GROUP BY ALL"""
 
 
 def calls_hourly_stream(spark, sf_dir):
     calls = _event_stream(spark, sf_dir, records.AS_ENVELOPES).withColumn(
         "ts", F.expr("cast(ts as timestamp)"))
-    hourly = drain(call_rollup_stream(calls), "calls")
+    hourly = _filled(hourly_calls(new_folder(spark, "calls")), calls)
     return hourly.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
@@ -70,9 +70,7 @@ _HOURLY_SQL = f"""
 WITH c AS (SELECT * FROM ({records._CALLS}) JOIN (SELECT event_id, ts FROM events) USING (event_id))
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, provider, count(*) AS n_calls,
   count(*) FILTER (NOT ok) AS n_failed, sum(duration_ms)::BIGINT AS total_ms, max(duration_ms) AS max_ms
-FROM c WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR
-  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES FROM c)
-GROUP BY ALL"""
+FROM c GROUP BY ALL"""
 
 
 QUERIES = {
@@ -81,7 +79,7 @@ QUERIES = {
     "mask_conversation_stream": (mask_conversation_stream, masking._masked_sql(
         masking._CONVERSATIONS, "SELECT conv_id, turn, role, masked FROM masked "
         "JOIN conversations ON conv_id = scope AND turn = item")),
-    "inquiries_logged_stream": (inquiries_logged_stream, _LOGGED_SQL),
+    "inquiries_logged_stream": (inquiries_logged_stream, records._LOGGED_SQL),
     "inquiry_stats_daily_stream": (inquiry_stats_daily_stream, _DAILY_SQL),
     "calls_hourly_stream": (calls_hourly_stream, _HOURLY_SQL),
 }

@@ -7,31 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: an input below this many bytes per core may sit in too few scan partitions
-_SMALL_BYTES_PER_CORE = 64 << 20
+#: session setting: partitions that the registered queries deal their scans to, round robin.
+#: Unset on a cluster: there ``spark.sql.files.maxPartitionBytes`` splits a scan without a shuffle.
+SPREAD = "spark.veilframe.spread"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan; huge if unknown)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows to so many partitions, round robin, if asked to.
 
+    For a file of a single row group, which is one task however many cores there
+    are. Rows of one key go everywhere, so a hot key is not one partition.
+    """
+    return df.repartition(partitions) if partitions else df
 
-def is_small(df: DataFrame) -> bool:
-    """Proven small by file sizes. Meant for scans: the estimate of a join is a product."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return plan_bytes(df) <= cores * _SMALL_BYTES_PER_CORE
 
+def asked_spread(spark: SparkSession) -> int | None:
+    value = spark.conf.get(SPREAD, None)
+    return int(value) if value else None
 
-def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
-    """Hash-partition a *small* scan by ``key`` before CPU-heavy expressions.
 
-    A table of one file with one row group is one task, however many cores there
-    are. Only inputs proven small are moved; a large one already comes as many row
-    groups and is left where it is, so this never shuffles a big table.
-    """
-    if not is_small(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * per_core, key)
+def keep_last_key(spark: SparkSession) -> None:
+    """JSON objects with a repeated key are valid from now on, and the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.sources.session import is_small, spread
+from veilframe.sources.session import asked_spread, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -16,25 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose texts are about to be searched (see ``spread``)."""
-    return spread(table(spark, sf_dir, name), key)
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be searched, dealt out if the session asks for it."""
+    return spread(table(spark, sf_dir, name), asked_spread(spark))
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str, key: str | None = None,
-           files_per_trigger: int = 1000) -> DataFrame:
-    """The same table as a file stream. With ``key`` a small table is hash-partitioned
-    in each micro-batch, as ``spread`` does for a batch."""
-    static = table(spark, sf_dir, name)
-    rows = (
-        spark.readStream.schema(static.schema)
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same table as a file stream."""
+    return (
+        spark.readStream.schema(table(spark, sf_dir, name).schema)
         .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(sf_dir)
     )
-    if key and is_small(static):
-        return rows.repartition(spark.sparkContext.defaultParallelism * 4, key)
-    return rows
 
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -101,7 +95,7 @@ FROM keyed
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``note_id, custkey, text``: one note per order."""
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = spread(table(spark, sf_dir, "orders"), asked_spread(spark))
     return spark.sql(ORDER_NOTES_SQL, orders=orders, customer=table(spark, sf_dir, "customer"))
 
 

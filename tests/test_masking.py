@@ -1,11 +1,12 @@
 import random
+import time
 
 import plain
 from pyspark.sql import functions as F
 from veilframe.functions import spans as S
-from veilframe.functions.patterns import MaskConfig
+from veilframe.functions.patterns import DETECTORS, MaskConfig
 from veilframe.operators import masking as M
-from veilframe.operators.detect import Rule, detect_terms, span_rows
+from veilframe.operators.detect import Rule, detect_terms, find_all_matches, span_rows
 from veilframe.operators.entities import EntityConfig, detect_orgs, detect_persons
 from veilframe.functions.lexicon import ORG_PATTERN
 from veilframe.operators.terms import detect_term_table
@@ -193,3 +194,29 @@ def test_detection_runs_each_pattern_once(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("@[a-zA-Z0-9.-]+") == 1
     assert "Exchange" not in plan and "BatchEvalPython" not in plan and "ArrowEval" not in plan
+
+
+def test_time_grows_with_the_matches_of_a_text(spark):
+    """50,000 matches in one text: twice as many take at most about twice as long."""
+    def seconds(run, n):
+        text = " ".join(f"user{i % 9973}@mail.example Jean Dupont" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "id int, text string").cache()
+        df.count()
+        start = time.perf_counter()
+        run(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    only = MaskConfig().without(*(d for d in DETECTORS if d != "email"))
+    persons = MaskConfig().without(*(d for d in DETECTORS if d != "person"))
+    first = EntityConfig(first_only=True)
+    for run in (
+        lambda df: find_all_matches(df, config=only),
+        lambda df: detect_terms(df, [Rule("mail")]),
+        lambda df: detect_persons(df, config=first),
+        lambda df: M.anonymize(df, config=only),
+        lambda df: M.anonymize(df, config=persons),
+    ):
+        seconds(run, 1000)
+        short, long = seconds(run, 25_000), seconds(run, 50_000)
+        print(short, long)
+        assert long < 2.6 * short + 1, (short, long)

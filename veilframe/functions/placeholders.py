@@ -22,32 +22,42 @@ def token_pattern(style: str = "brackets") -> str:
     return STYLES[style][1]
 
 
-def first_occurrences(spans: str, keys: str) -> str:
-    """The spans whose key (lower-cased value) appears for the first time."""
-    return f"filter({spans}, (x, i) -> array_position({keys}, {keys}[i]) = i + 1)"
+def entries(spans: str, sorted_keys: str, runs: str) -> str:
+    """One element per different key, in order of appearance: its first span, where its
+    spans are in ``by_key`` (from ``p``, ``n`` of them)."""
+    return f"""transform(array_sort(transform({runs}, (r, q) -> named_struct(
+        'i', r.i, 'p', r.p, 'n', coalesce(get({runs}, q + 1).p, size({sorted_keys})) - r.p))),
+      e -> named_struct('x', get({spans}, e.i), 'p', e.p, 'n', e.n))"""
 
 
-#: up to here comparing all distinct values of a text beats one pass per category
-FEW_VALUES = 48
-
-
-def numbered(firsts: str, keys: str, categories: Sequence[str], style: str) -> str:
-    """Mapping entries of one text in order of appearance; each category counts up
-    on its own. Few values are ranked by comparison, many in a pass per category."""
+def numbered(entries_: str, categories: Sequence[str], style: str) -> str:
+    """The entries with their placeholders: each category counts up on its own."""
     def entry(index: str) -> str:
         return f"""named_struct(
-          'first_idx', x.start_idx, 'key', lower(x.value), 'original', x.value,
-          'placeholder', {format_placeholder('x.category', index, style)},
-          'category', x.category, 'source', x.source,
-          'count', size({keys}) - size(array_remove({keys}, lower(x.value))))"""
+          'first_idx', e.x.start_idx, 'key', lower(e.x.value), 'original', e.x.value,
+          'placeholder', {format_placeholder('e.x.category', index, style)},
+          'category', e.x.category, 'source', e.x.source, 'count', e.n, 'p', e.p)"""
 
-    rank = (f"size(filter({firsts}, y -> y.category = x.category AND y.start_idx <= x.start_idx))")
     passes = ", ".join(
-        f"transform(filter({firsts}, x -> x.category = {quote(c)}), (x, i) -> {entry('i + 1')})"
+        f"transform(filter({entries_}, e -> e.x.category = {quote(c)}), (e, i) -> {entry('i + 1')})"
         for c in categories
     )
-    return f"""CASE WHEN size({firsts}) <= {FEW_VALUES}
-      THEN transform({firsts}, x -> {entry(rank)}) ELSE array_sort(concat({passes})) END"""
+    return f"array_sort(concat({passes}))"
+
+
+def mapping_of(numbered_: str) -> str:
+    fields = ("first_idx", "key", "original", "placeholder", "category", "source", "count")
+    listed = ", ".join(f"'{f}', e.{f}" for f in fields)
+    return f"transform({numbered_}, e -> named_struct({listed}))"
+
+
+def pieces_of(numbered_: str, sorted_keys: str, spans: str) -> str:
+    """What to put where: the spans of every entry, back in their order."""
+    return f"""transform(array_sort(flatten(transform({numbered_}, e ->
+        transform(slice({sorted_keys}, e.p + 1, e.count), y ->
+          named_struct('i', y.i, 'placeholder', e.placeholder))))),
+      z -> named_struct('start_idx', get({spans}, z.i).start_idx,
+                        'end_idx', get({spans}, z.i).end_idx, 'placeholder', z.placeholder))"""
 
 
 def restore_tokens(text: str, lookup: str, style: str = "brackets") -> str:

@@ -50,19 +50,40 @@ def split_marked(marked: str, text: str) -> str:
     return f"CASE WHEN {marked} != {text} THEN split({marked}, '{MARK}', -1) END"
 
 
+#: elements of a slice: lists grow by folding inside one slice only, so the work on a
+#: long list stays in proportion to its length
+SLICE = 128
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with a lambda variable bound to ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def slices(array: str, j: str) -> str:
+    """A non-empty array cut into slices; ``j`` is a free variable name."""
+    return (f"transform(sequence(0, cast((size({array}) - 1) div {SLICE} as int)), "
+            f"{j} -> slice({array}, {j} * {SLICE} + 1, {SLICE}))")
+
+
 def locate(pieces: str, seq: int, category: str, source: str) -> str:
     """Spans from the pieces of a marked text: every second piece is a match, and the
-    running length is its offset."""
-    return f"""
-      CASE WHEN {pieces} IS NULL THEN {NO_SPANS} ELSE aggregate({pieces},
-        named_struct('at', 0, 'hit', false, 'found', {NO_SPANS}),
+    running length is its offset. Slices are located alone and moved by the length of
+    what stands before them."""
+    fold = f"""aggregate(q,
+        named_struct('at', aggregate(slice(lengths, 1, k), 0, (m, y) -> m + y),
+                     'hit', false, 'found', {NO_SPANS}),
         (acc, x) -> named_struct(
           'at', acc.at + length(x), 'hit', NOT acc.hit,
           'found', CASE WHEN acc.hit THEN concat(acc.found, array(named_struct(
             'start_idx', acc.at, 'seq', {seq}, 'end_idx', acc.at + length(x),
             'category', {quote(category)}, 'source', {quote(source)}, 'value', x)))
             ELSE acc.found END),
-        acc -> acc.found) END"""
+        acc -> acc.found)"""
+    lengths = "transform(cut, q -> aggregate(q, 0, (m, y) -> m + length(y)))"
+    found = let("cut", slices(pieces, "j"), let(
+        "lengths", lengths, f"flatten(transform(cut, (q, k) -> {fold}))"))
+    return f"CASE WHEN {pieces} IS NULL THEN {NO_SPANS} ELSE {found} END"
 
 
 def find_all(text: str, pattern: str) -> str:
@@ -97,10 +118,16 @@ def merge_spans(spans: str) -> str:
     """Keep disjoint spans of a column. In order of start (ties: lower ``seq``), a
     span that overlaps the last kept one replaces it if strictly longer and is
     dropped otherwise. The decision is local: what a replaced span had removed stays
-    removed."""
-    return f"""
-      CASE WHEN size({spans}) > 1 THEN aggregate(
-        array_sort({spans}),
+    removed. Spans that start where all before them have ended begin a cluster, and
+    clusters are decided alone."""
+    starts = f"""flatten(transform(cut, (q, k) -> aggregate(q,
+        named_struct('top', coalesce(array_max(slice(tops, 1, k)), -1), 'i', k * {SLICE},
+                     'at', cast(array() as array<int>)),
+        (acc, x) -> named_struct(
+          'top', greatest(acc.top, x.end_idx), 'i', acc.i + 1,
+          'at', CASE WHEN acc.top <= x.start_idx THEN concat(acc.at, array(acc.i)) ELSE acc.at END),
+        acc -> acc.at)))"""
+    fold = f"""aggregate(c,
         named_struct('done', {NO_SPANS}, 'kept', cast(null as {SPAN_STRUCT})),
         (acc, x) -> CASE
           WHEN acc.kept IS NULL THEN named_struct('done', acc.done, 'kept', x)
@@ -109,18 +136,49 @@ def merge_spans(spans: str) -> str:
           WHEN x.end_idx - x.start_idx > acc.kept.end_idx - acc.kept.start_idx
             THEN named_struct('done', acc.done, 'kept', x)
           ELSE acc END,
-        acc -> concat(acc.done, array(acc.kept))
-      ) ELSE {spans} END"""
+        acc -> concat(acc.done, array(acc.kept)))"""
+    cluster = "slice(ordered, a + 1, coalesce(get(starts, n + 1), size(ordered)) - a)"
+    decided = let("c", cluster, f"CASE WHEN size(c) = 1 THEN c ELSE {fold} END")
+    tops = "transform(cut, q -> array_max(transform(q, y -> y.end_idx)))"
+    merged = let("ordered", f"array_sort({spans})", let(
+        "cut", slices("ordered", "j"), let(
+            "tops", tops, let(
+                "starts", starts, f"flatten(transform(starts, (a, n) -> {decided}))"))))
+    return f"CASE WHEN size({spans}) > 1 THEN {merged} ELSE {spans} END"
 
 
 def splice(text: str, pieces: str) -> str:
     """Replace the disjoint, ordered ``pieces`` (a column of ``start_idx, end_idx,
-    placeholder``) in a text column."""
+    placeholder``) in a text column. A slice of pieces cuts its own part of the text,
+    so that no piece looks for its place from the beginning of a long text."""
+    part = f"substring({text}, base + 1, get(q, size(q) - 1).end_idx - base)"
+    filled = """array_join(transform(q, (x, i) -> concat(
+          substring(part, coalesce(get(q, i - 1).end_idx, base) - base + 1,
+                    x.start_idx - coalesce(get(q, i - 1).end_idx, base)),
+          x.placeholder)), '')"""
+    each = let("base", f"coalesce(get({pieces}, k * {SLICE} - 1).end_idx, 0)", let("part", part, filled))
     return f"""
       CASE WHEN size({pieces}) > 0 THEN concat(
-        array_join(transform({pieces}, (x, i) -> concat(
-          substring({text}, coalesce(get({pieces}, i - 1).end_idx, 0) + 1,
-                    x.start_idx - coalesce(get({pieces}, i - 1).end_idx, 0)),
-          x.placeholder)), ''),
+        array_join(transform({slices(pieces, "j")}, (q, k) -> {each}), ''),
         substring({text}, get({pieces}, size({pieces}) - 1).end_idx + 1, length({text}))
       ) ELSE {text} END"""
+
+
+def by_key(spans: str) -> str:
+    """Of every span its key (lower-cased value) ``k`` and place ``i``, in order of both:
+    the spans of one key are neighbours, the first one in front."""
+    return f"array_sort(transform({spans}, (x, i) -> named_struct('k', lower(x.value), 'i', i)))"
+
+
+def key_runs(sorted_keys: str) -> str:
+    """Of ``by_key`` the first place ``i`` of each key and where its run begins, ``p``."""
+    return f"""filter(transform({sorted_keys}, (y, p) ->
+      CASE WHEN p = 0 OR get({sorted_keys}, p - 1).k != y.k
+        THEN named_struct('i', y.i, 'p', p) END), r -> r IS NOT NULL)"""
+
+
+def first_of_each_key(spans: str) -> str:
+    """The spans whose key appears for the first time, in their order."""
+    return let("keyed", by_key(spans), let(
+        "places", f"array_sort(transform({key_runs('keyed')}, r -> r.i))",
+        f"transform(places, i -> get({spans}, i))"))

@@ -27,11 +27,6 @@ class EntityConfig:
     stop_words: frozenset[str] = field(default_factory=L.default_stop_words)
 
 
-def _first_by_value(spans: str) -> str:
-    return f"""filter({spans}, (x, i) ->
-      array_position(transform({spans}, y -> lower(y.value)), lower(x.value)) = i + 1)"""
-
-
 def _project(df: DataFrame, **columns: str) -> DataFrame:
     """Add columns in a projection of their own (see ``detect.with_matches``). What a
     lambda needs from another array comes in zipped: a column that is referenced once,
@@ -59,7 +54,7 @@ def with_entity_spans(df: DataFrame, text_col: str, config: EntityConfig, person
                       organizations: bool, out: str) -> DataFrame:
     keep = df.columns
     stop = lambda word: L.is_stop_word(word, config.stop_words)
-    once = _first_by_value if config.first_only else lambda spans: spans
+    once = S.first_of_each_key if config.first_only else lambda spans: spans
     parts = []
     df = _project(df, _work=S.markable(text_col))
     if persons:

@@ -52,21 +52,17 @@ def anonymize(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskCo
     keep = df.columns
     style = config.placeholder_style
     found = detect_sensitive(df, text_col, config, rules, entities, "spans")
-    keyed = found.select("*", F.expr("transform(spans, x -> lower(x.value))").alias("_keys"))
-    firsts = keyed.select("*", F.expr(P.first_occurrences("spans", "_keys")).alias("_firsts"))
-    numbered = P.numbered("_firsts", "_keys", categories_of(config, rules), style)
-    mapped = firsts.select(*keep, "spans", F.expr(numbered).alias("mapping"))
-    looked_up = mapped.select("*", F.expr(
-        "map_from_entries(transform(mapping, m -> struct(m.key, m.placeholder)))"
-    ).alias("_lookup"))
-    # Two references keep the map a column: with only the one inside the lambda
-    # Catalyst would inline it there and build it anew for every span.
-    placed = looked_up.select("*", F.expr("""CASE WHEN size(_lookup) > 0
-      THEN transform(spans, x -> named_struct(
-        'start_idx', x.start_idx, 'end_idx', x.end_idx,
-        'placeholder', _lookup[lower(x.value)]))
-      ELSE cast(array() as array<struct<start_idx:int,end_idx:int,placeholder:string>>)
-      END""").alias("_pieces"))
+    # Each step refers more than once to what the one before computed, so Catalyst keeps
+    # them apart and nothing is computed per element.
+    keyed = found.select("*", F.expr(S.by_key("spans")).alias("_keys"))
+    runs = keyed.select("*", F.expr(S.key_runs("_keys")).alias("_runs"))
+    firsts = runs.select("*", F.expr(P.entries("spans", "_keys", "_runs")).alias("_entries"))
+    numbered = firsts.select("*", F.expr(
+        P.numbered("_entries", categories_of(config, rules), style)).alias("_numbered"))
+    placed = numbered.select(
+        "*", F.expr(P.mapping_of("_numbered")).alias("mapping"),
+        F.expr(P.pieces_of("_numbered", "_keys", "spans")).alias("_pieces"),
+    )
     return placed.select(
         *keep,
         F.expr(S.splice(text_col, "_pieces")).alias("masked"),

@@ -115,7 +115,7 @@ def test_shared_mapping_of_a_hot_conversation(spark):
     """Numbering in small buckets equals numbering in one go, for a hot scope too."""
     turns = _conversation_turns(400, 12)
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(8)
-    got = M.anonymize_many(df, "conv_id", "turn", config=PATTERNS_ONLY, items_per_bucket=16)
+    got = M.anonymize_many(df, "conv_id", "turn", config=PATTERNS_ONLY, parts=16)
     masked, mappings = _masked_plainly(turns)
     assert {(r.conv_id, r.turn): r.masked for r in got.texts.collect()} == masked
     assert {(r.conv_id, r.key): (r.original, r.placeholder, r["count"]) for r in got.mapping.collect()} == {

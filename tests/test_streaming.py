@@ -40,7 +40,7 @@ def test_conversation_stream_over_batches_equals_one_batch(spark, tmp_path):
     turns = _conversation_turns(120, 5)
     write_files(spark, tmp_path, TURN_SCHEMA, [
         [t for t in turns if t[1] // 40 == k] for k in range(3)])
-    masker = ConversationMasker(str(tmp_path / "state"), config=PATTERNS_ONLY, items_per_bucket=8)
+    masker = ConversationMasker(str(tmp_path / "state"), config=PATTERNS_ONLY, parts=8)
     masker.start(read_stream(spark, tmp_path, TURN_SCHEMA), availableNow=True).awaitTermination()
     masked, mappings = _masked_plainly(turns)
     assert {(r.conv_id, r.turn): r.masked for r in masker.masked(spark).collect()} == masked

@@ -22,11 +22,6 @@ from veilframe.operators.detect import Rule, detect_sensitive, span_rows
 from veilframe.operators.entities import EntityConfig
 from veilframe.sources.session import materialise
 
-#: numbering is done in buckets of this many items (turns) of a scope
-ITEMS_PER_BUCKET = 4096
-#: system prompts are numbered before the messages of their conversation
-_SYSTEM_FIRST = 1 << 40
-
 
 class Masked(NamedTuple):
     texts: DataFrame
@@ -102,28 +97,31 @@ def first_entries(spans: DataFrame, scope: str, item: str) -> DataFrame:
 
 
 def number_entries(entries: DataFrame, scope: str, style: str = "brackets",
-                   items_per_bucket: int = ITEMS_PER_BUCKET,
-                   taken: DataFrame | None = None) -> DataFrame:
+                   parts: int | None = None, taken: DataFrame | None = None,
+                   keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """Give entries their placeholders: per scope and category in order of appearance,
     after the numbers already ``taken (scope, category, _taken)``.
 
     A scope may hold a large share of all rows, so there is no window over a whole
-    scope: entries are ranked inside buckets of consecutive items, and a bucket adds
-    the number of entries in the buckets before it. Only those per-bucket counts,
-    one row per ``items_per_bucket`` items, are summed in order.
+    scope: entries are dealt to ``parts`` ranges of equal size by (scope, category, item,
+    place), whatever type and values items have, and ranked inside their range; a range
+    adds the number of entries of the ranges before it, of which a scope has at most
+    ``parts``. The ranges are written once (by ``keep``): both uses must see the same.
     """
     group = [scope, "category"]
-    bucketed = entries.withColumn("_bucket", F.floor(F.col("item") / items_per_bucket))
-    sizes = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
+    n = parts or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(entries.repartitionByRange(n, *group, "item", "start_idx").withColumn(
+        "_range", F.spark_partition_id()), "entries-in-ranges")
+    sizes = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1,
     )
     offsets = sizes.select(
-        *group, "_bucket", F.sum("_n").over(before).alias("_before"),
+        *group, "_range", F.sum("_n").over(before).alias("_before"),
     ).where("_before > 0")
-    inside = Window.partitionBy(*group, "_bucket").orderBy("item", "start_idx")
-    ranked = bucketed.withColumn("_rank", F.row_number().over(inside)).join(
-        offsets, [*group, "_bucket"], "left")
+    inside = Window.partitionBy(*group, "_range").orderBy("item", "start_idx")
+    ranked = ranged.withColumn("_rank", F.row_number().over(inside)).join(
+        offsets, [*group, "_range"], "left")
     index = "_rank + coalesce(_before, 0)"
     if taken is not None:
         ranked = ranked.join(taken, group, "left")
@@ -138,11 +136,10 @@ def number_entries(entries: DataFrame, scope: str, style: str = "brackets",
 
 
 def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "brackets",
-                  items_per_bucket: int = ITEMS_PER_BUCKET) -> DataFrame:
+                  parts: int | None = None) -> DataFrame:
     """The mapping of every scope. The first occurrence of a value fixes spelling,
-    category and source; ``count`` is its number of occurrences. ``spans`` is read
-    twice and should be a written table."""
-    return number_entries(first_entries(spans, scope, item), scope, style, items_per_bucket)
+    category and source; ``count`` is its number of occurrences."""
+    return number_entries(first_entries(spans, scope, item), scope, style, parts)
 
 
 def place(df: DataFrame, pieces: DataFrame, keys: Sequence[str], text_col: str,
@@ -163,7 +160,7 @@ def place(df: DataFrame, pieces: DataFrame, keys: Sequence[str], text_col: str,
 def anonymize_many(df: DataFrame, scope: str, item: str, text_col: str = "text",
                    config: MaskConfig = MaskConfig(), rules: Sequence[Rule] = (),
                    entities: EntityConfig = EntityConfig(),
-                   items_per_bucket: int = ITEMS_PER_BUCKET) -> Masked:
+                   parts: int | None = None) -> Masked:
     """Mask texts that share a mapping per ``scope``; ``(scope, item)`` identifies a
     text and ``item`` orders the texts of a scope.
 
@@ -174,7 +171,7 @@ def anonymize_many(df: DataFrame, scope: str, item: str, text_col: str = "text",
         df.select(scope, item, text_col), text_col, config, rules, entities, "_spans",
     )
     spans = materialise(span_rows(detected, [scope, item], "_spans"), "spans")
-    mapping = build_mapping(spans, scope, item, config.placeholder_style, items_per_bucket)
+    mapping = build_mapping(spans, scope, item, config.placeholder_style, parts)
     pieces = spans.withColumn("key", F.lower("value")).join(
         mapping.select(scope, "key", "placeholder"), [scope, "key"],
     )
@@ -217,9 +214,8 @@ def round_trip(df: DataFrame, responder: Callable[[DataFrame], DataFrame] = echo
     numbering first, or go out as they are with ``mask_system=False``. The result
     has what was sent, the raw answer and the restored one.
     """
-    is_system = F.col(role) == "system"
-    ordered = df.withColumn("_item", F.when(is_system, F.col(turn) - _SYSTEM_FIRST)
-                            .otherwise(F.col(turn)).cast("bigint"))
+    is_system = F.coalesce(F.col(role) == "system", F.lit(False))
+    ordered = df.withColumn("_item", F.struct((~is_system).alias("spoken"), F.col(turn).alias("turn")))
     to_mask = ordered if mask_system else ordered.where(~is_system)
     masked = anonymize_many(to_mask, scope, "_item", text_col, config, rules, entities)
     sent = masked.texts

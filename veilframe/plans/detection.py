@@ -14,8 +14,8 @@ from veilframe.operators.terms import detect_term_table
 from veilframe.plans import oracle as O
 from veilframe.sources.tables import order_notes, order_notes_sql, table, text_table
 
-#: every family that RE2 can compile, so that DuckDB can check the result
-CHECKED = MaskConfig().without(*O.NOT_RE2)
+#: what a caller gets who says nothing: all 35 families
+DEFAULT = MaskConfig()
 RULES = (
     D.Rule("Acme Solutions", "CLIENT"),
     D.Rule("contact", "PROJECT"),
@@ -38,36 +38,36 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def find_all_documents(spark, sf_dir):
-    return _rows(D.find_all_matches(documents(spark, sf_dir), config=CHECKED), "doc_id")
+    return _rows(D.find_all_matches(documents(spark, sf_dir), config=DEFAULT), "doc_id")
 
 
 def find_all_notes(spark, sf_dir):
-    return _rows(D.find_all_matches(order_notes(spark, sf_dir), config=CHECKED), "note_id")
+    return _rows(D.find_all_matches(order_notes(spark, sf_dir), config=DEFAULT), "note_id")
 
 
 def _find_all_sql(src: str, key: str) -> str:
     return O.statement(
-        [src, O.raw_cte(CHECKED)],
+        [src, O.raw_cte(DEFAULT)],
         f"SELECT scope AS {key}, seq, s AS start_idx, e AS end_idx, category, 'regex' AS source, "
         "v AS value FROM raw",
     )
 
 
 def detect_patterns_documents(spark, sf_dir):
-    return _rows(D.detect_patterns(documents(spark, sf_dir), config=CHECKED), "doc_id")
+    return _rows(D.detect_patterns(documents(spark, sf_dir), config=DEFAULT), "doc_id")
 
 
 def detect_patterns_notes(spark, sf_dir):
-    return _rows(D.detect_patterns(order_notes(spark, sf_dir), config=CHECKED), "note_id")
+    return _rows(D.detect_patterns(order_notes(spark, sf_dir), config=DEFAULT), "note_id")
 
 
 def _patterns_sql(src: str, key: str) -> str:
-    return O.statement([src, O.pattern_cte(CHECKED)],
+    return O.statement([src, O.pattern_cte(DEFAULT)],
                        f"SELECT scope AS {key}, {_COLUMNS} FROM pattern_spans")
 
 
 def detect_patterns_all_families(spark, sf_dir):
-    """All 35 families; three of them are beyond RE2, hence no statement."""
+    """The default configuration, as a caller gets it who passes none."""
     return _rows(D.detect_patterns(order_notes(spark, sf_dir)), "note_id")
 
 
@@ -104,12 +104,12 @@ WHERE contains(lower(text), lower(c_name))
 
 
 def merge_spans_notes(spark, sf_dir):
-    raw = D.find_all_matches(order_notes(spark, sf_dir), config=CHECKED)
+    raw = D.find_all_matches(order_notes(spark, sf_dir), config=DEFAULT)
     return _rows(D.merge_span_column(raw), "note_id")
 
 
 _MERGE_SQL = O.statement([
-    _NOTES, O.raw_cte(CHECKED),
+    _NOTES, O.raw_cte(DEFAULT),
     "found AS (SELECT scope, item, seq, s, e, category, 'regex' AS source, v FROM raw)",
     O.merged_cte(["found"]),
 ], f"SELECT scope AS note_id, {_COLUMNS} FROM merged")
@@ -205,30 +205,30 @@ FROM supplier
 
 
 def detect_sensitive_documents(spark, sf_dir):
-    found = D.detect_sensitive(documents(spark, sf_dir), config=CHECKED, rules=RULES)
+    found = D.detect_sensitive(documents(spark, sf_dir), config=DEFAULT, rules=RULES)
     return _rows(found, "doc_id")
 
 
 def detect_sensitive_notes(spark, sf_dir):
-    found = D.detect_sensitive(order_notes(spark, sf_dir), config=CHECKED, rules=RULES)
+    found = D.detect_sensitive(order_notes(spark, sf_dir), config=DEFAULT, rules=RULES)
     return _rows(found, "note_id")
 
 
 def _sensitive_sql(src: str, key: str) -> str:
     return O.statement([
-        src, O.pattern_cte(CHECKED), O.entity_cte(), O.term_cte(RULES),
+        src, O.pattern_cte(DEFAULT), O.entity_cte(), O.term_cte(RULES),
         O.merged_cte(["pattern_spans", "entity_spans", "term_spans"]),
     ], f"SELECT scope AS {key}, {_COLUMNS} FROM merged")
 
 
 def spans_by_category(spark, sf_dir):
     """The flagship: what kinds of sensitive text the documents hold, by language."""
-    found = D.detect_sensitive(documents(spark, sf_dir), config=CHECKED)
+    found = D.detect_sensitive(documents(spark, sf_dir), config=DEFAULT)
     return span_rollup(D.span_rows(found, ["lang"]), ["lang", "category", "source"])
 
 
 _ROLLUP_SQL = O.statement([
-    _DOCS, O.pattern_cte(CHECKED), O.entity_cte(),
+    _DOCS, O.pattern_cte(DEFAULT), O.entity_cte(),
     O.merged_cte(["pattern_spans", "entity_spans"]),
 ], """SELECT lang, category, m.source, count(*) AS n_spans, count(DISTINCT lower(v)) AS n_values
 FROM merged m JOIN documents ON doc_id = scope GROUP BY ALL""")
@@ -239,7 +239,8 @@ QUERIES = {
     "find_all_notes": (find_all_notes, _find_all_sql(_NOTES, "note_id")),
     "detect_patterns_documents": (detect_patterns_documents, _patterns_sql(_DOCS, "doc_id")),
     "detect_patterns_notes": (detect_patterns_notes, _patterns_sql(_NOTES, "note_id")),
-    "detect_patterns_all_families": (detect_patterns_all_families, None),
+    "detect_patterns_all_families": (
+        detect_patterns_all_families, _patterns_sql(_NOTES, "note_id")),
     "detect_terms_documents": (detect_terms_documents, _terms_sql(_DOCS, "doc_id")),
     "detect_terms_notes": (detect_terms_notes, _terms_sql(_NOTES, "note_id")),
     "term_table_notes": (term_table_notes, _TERM_TABLE_SQL),

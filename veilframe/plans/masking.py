@@ -8,11 +8,11 @@ from veilframe.functions.patterns import MaskConfig
 from veilframe.operators import detect as D
 from veilframe.operators import masking as M
 from veilframe.plans import oracle as O
-from veilframe.plans.detection import CHECKED, RULES, _DOCS, _NOTES, documents
+from veilframe.plans.detection import DEFAULT, RULES, _DOCS, _NOTES, documents
 from veilframe.sources.session import materialise
 from veilframe.sources.tables import order_notes, order_notes_sql, text_table
 
-CURLY = MaskConfig(off=CHECKED.off, placeholder_style="curly")
+CURLY = MaskConfig(placeholder_style="curly")
 
 _BY_CUSTOMER = O.src_cte(
     f"SELECT custkey AS scope, note_id AS item, text FROM ({order_notes_sql()})")
@@ -25,7 +25,7 @@ _MAPPING = "key, original, placeholder, category, source, n AS count"
 def _ctes(src: str, rules=(), style=("[", "]")) -> list[str]:
     parts = ["pattern_spans", "entity_spans"] + (["term_spans"] if rules else [])
     return [
-        src, O.pattern_cte(CHECKED), O.entity_cte(), *([O.term_cte(rules)] if rules else []),
+        src, O.pattern_cte(DEFAULT), O.entity_cte(), *([O.term_cte(rules)] if rules else []),
         O.merged_cte(parts), O.mapping_cte(style), O.masked_cte(),
     ]
 
@@ -35,7 +35,7 @@ def _masked_sql(src: str, select: str, rules=(), style=("[", "]")) -> str:
 
 
 def anonymize_documents(spark, sf_dir):
-    return M.anonymize(documents(spark, sf_dir), config=CHECKED).select(
+    return M.anonymize(documents(spark, sf_dir), config=DEFAULT).select(
         "doc_id", "masked", F.size("mapping").alias("n_entries"), "collision")
 
 
@@ -47,12 +47,12 @@ LEFT JOIN (SELECT scope, count(*) AS n_entries FROM mapping GROUP BY scope) USIN
 
 
 def anonymize_all_families(spark, sf_dir):
-    """The default configuration; three families are beyond RE2, hence no statement."""
+    """The default configuration, as a caller gets it who passes none."""
     return M.anonymize(documents(spark, sf_dir)).select("doc_id", "masked")
 
 
 def anonymize_notes_with_rules(spark, sf_dir):
-    return M.anonymize(order_notes(spark, sf_dir), config=CHECKED, rules=RULES).select(
+    return M.anonymize(order_notes(spark, sf_dir), config=DEFAULT, rules=RULES).select(
         "note_id", "masked")
 
 
@@ -66,7 +66,7 @@ def mapping_rows_notes(spark, sf_dir):
 
 def restore_notes(spark, sf_dir):
     """Mask and restore in the same row; repeats come back in their first spelling."""
-    masked = M.anonymize(order_notes(spark, sf_dir), config=CHECKED)
+    masked = M.anonymize(order_notes(spark, sf_dir), config=DEFAULT)
     return M.restore(masked).select("note_id", "restored")
 
 
@@ -88,35 +88,35 @@ def _notes_by_customer(spark, sf_dir):
 
 
 def build_mapping_by_customer(spark, sf_dir):
-    detected = D.detect_sensitive(_notes_by_customer(spark, sf_dir), config=CHECKED)
+    detected = D.detect_sensitive(_notes_by_customer(spark, sf_dir), config=DEFAULT)
     spans = materialise(D.span_rows(detected, ["custkey", "note_id"]), "spans")
     return M.build_mapping(spans, "custkey", "note_id").drop("first_item", "first_idx")
 
 
 def build_mapping_few_scopes(spark, sf_dir):
-    """Three scopes hold everything, numbered in many small buckets."""
+    """Three scopes hold everything, numbered in many ranges."""
     notes = order_notes(spark, sf_dir).withColumn("scope", F.col("custkey") % 3)
     spans = materialise(
-        D.span_rows(D.detect_sensitive(notes, config=CHECKED), ["scope", "note_id"]), "spans")
-    return M.build_mapping(spans, "scope", "note_id", items_per_bucket=256).drop(
+        D.span_rows(D.detect_sensitive(notes, config=DEFAULT), ["scope", "note_id"]), "spans")
+    return M.build_mapping(spans, "scope", "note_id", parts=64).drop(
         "first_item", "first_idx")
 
 
 def anonymize_many_by_customer(spark, sf_dir):
     masked = M.anonymize_many(
-        _notes_by_customer(spark, sf_dir), "custkey", "note_id", config=CHECKED)
+        _notes_by_customer(spark, sf_dir), "custkey", "note_id", config=DEFAULT)
     return masked.texts.select("custkey", "note_id", "masked")
 
 
 def anonymize_many_conversations(spark, sf_dir):
     turns = text_table(spark, sf_dir, "conversations")
-    masked = M.anonymize_many(turns, "conv_id", "turn", config=CHECKED)
+    masked = M.anonymize_many(turns, "conv_id", "turn", config=DEFAULT)
     return masked.texts.select("conv_id", "turn", "role", "masked")
 
 
 def deanonymize_by_customer(spark, sf_dir):
     masked = M.anonymize_many(
-        _notes_by_customer(spark, sf_dir), "custkey", "note_id", config=CHECKED)
+        _notes_by_customer(spark, sf_dir), "custkey", "note_id", config=DEFAULT)
     sent = masked.texts.select("custkey", "note_id", "masked")
     return M.deanonymize(
         sent, masked.mapping, "custkey", ["custkey", "note_id"], "masked",
@@ -125,7 +125,7 @@ def deanonymize_by_customer(spark, sf_dir):
 
 def round_trip_conversations(spark, sf_dir):
     turns = text_table(spark, sf_dir, "conversations")
-    return M.round_trip(turns, config=CHECKED)
+    return M.round_trip(turns, config=DEFAULT)
 
 
 _ROUND_TRIP_SQL = O.statement(_ctes(_CONVERSATIONS) + [_RESTORED], """
@@ -135,13 +135,13 @@ JOIN restored ON restored.scope = conv_id AND restored.item = turn""")
 
 
 def span_rollup_sources(spark, sf_dir):
-    found = D.detect_sensitive(documents(spark, sf_dir), config=CHECKED)
+    found = D.detect_sensitive(documents(spark, sf_dir), config=DEFAULT)
     renamed = found.withColumnRenamed("source", "doc_source")
     return M.span_rollup(D.span_rows(renamed, ["doc_source"]), ["doc_source", "category"])
 
 
 _ROLLUP_SOURCES_SQL = O.statement([
-    _DOCS, O.pattern_cte(CHECKED), O.entity_cte(),
+    _DOCS, O.pattern_cte(DEFAULT), O.entity_cte(),
     O.merged_cte(["pattern_spans", "entity_spans"]),
 ], """SELECT d.source AS doc_source, category, count(*) AS n_spans,
   count(DISTINCT lower(v)) AS n_values
@@ -150,7 +150,8 @@ FROM merged m JOIN documents d ON doc_id = scope GROUP BY ALL""")
 
 QUERIES = {
     "anonymize_documents": (anonymize_documents, _DOCUMENTS_SQL),
-    "anonymize_all_families": (anonymize_all_families, None),
+    "anonymize_all_families": (anonymize_all_families, _masked_sql(
+        _DOCS, "SELECT scope AS doc_id, masked FROM masked")),
     "anonymize_notes_with_rules": (anonymize_notes_with_rules, _masked_sql(
         _NOTES, "SELECT scope AS note_id, masked FROM masked", RULES)),
     "mapping_rows_notes": (mapping_rows_notes, _masked_sql(

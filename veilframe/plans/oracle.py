@@ -10,12 +10,14 @@ from __future__ import annotations
 from veilframe.functions.lexicon import (
     ORG_PATTERN, PERSON_PATTERN, STOP_PHRASES, TITLE_PATTERN, default_stop_words,
 )
-from veilframe.functions.patterns import FAMILIES, SEQ, Family, MaskConfig, ecma_pattern, to_re2
+from veilframe.functions.patterns import (
+    _ID_QUALIFIER, FAMILIES, SEQ, Family, MaskConfig, ecma_pattern, to_re2,
+)
 from veilframe.operators.detect import RULE_SEQ
 from veilframe.operators.entities import ORG_SEQ, PERSON_SEQ, TITLE_SEQ
 
-#: RE2 has no look-ahead, which these families need
-NOT_RE2 = ("passport", "driverLicense", "internalCode")
+#: families with a look-ahead, which RE2 lacks, by the statement that finds them
+_QUALIFIERS = 6
 
 
 def lit(text: str) -> str:
@@ -51,11 +53,67 @@ def matches(src: str, rx: str, columns: str, groups: dict[str, int] | None = Non
         FROM {src} WHERE regexp_matches(text, {lit(rx)}))))"""
 
 
+def _apart(found: str, columns: str) -> str:
+    """Of candidates ``scope, item, s, e, v`` the leftmost ones that do not overlap."""
+    return f"""
+  SELECT scope, item, {columns}, k.s AS s, k.e AS e, k.v AS v FROM (
+    SELECT scope, item, unnest(kept) AS k FROM (
+      SELECT scope, item, list_reduce(list([struct_pack(s := s, e := e, v := v)] ORDER BY s),
+        lambda acc, x: CASE WHEN acc[-1].e <= x[1].s THEN list_concat(acc, x) ELSE acc END) AS kept
+      FROM ({found}) GROUP BY scope, item))"""
+
+
+def _numbered_ids(src: str, keyword: str, most: int, columns: str) -> str:
+    """A keyword, qualifiers, and an id with a digit in its run. Every keyword is a start;
+    with as many qualifiers as possible first, the id after them is taken if its run of
+    letters, digits and hyphens has a digit."""
+    blank, qualifier = to_re2(r"\s"), to_re2(_ID_QUALIFIER)[:-1]  # without its repetition
+    tries = []
+    for n in range(_QUALIFIERS, -1, -1):
+        head = to_re2(keyword) + f"{qualifier}{{{n}}}{blank}*:?{blank}*"
+        whole = lit(f"^(?i)({head})[A-Z0-9](?:[A-Z0-9-]{{4,{most}}}[A-Z0-9])?\\b")
+        tries.append(f"""CASE WHEN regexp_matches(substring(tail, length(regexp_extract(tail, {whole}, 1)) + 1),
+          '^(?i)[A-Z0-9-]*[0-9]') THEN nullif(regexp_extract(tail, {whole}, 0), '') END""")
+    starts = matches(src, "(?i)\\b" + to_re2(keyword), "1 AS one")
+    found = f"""SELECT scope, item, s, (s + length(v))::INTEGER AS e, v FROM (
+      SELECT scope, item, s, coalesce({", ".join(tries)}) AS v FROM (
+        SELECT scope, item, s, substring(text, s + 1) AS tail FROM ({starts}) JOIN {src} USING (scope, item)))
+      WHERE v IS NOT NULL"""
+    return _apart(found, columns)
+
+
+def _codes(src: str, low: int, columns: str) -> str:
+    """Codes inside runs of letters, digits, underscores and hyphens: every word of a run is a
+    start; joined pieces come before one long word."""
+    runs = matches(src, "[A-Za-z0-9_-]+", "1 AS one")
+    joined = lit(r"^(?i)[A-Z][A-Z0-9]*[-_][A-Z0-9]+(?:[-_][A-Z0-9]+)*\b")
+    found = f"""SELECT scope, item, (s + o)::INTEGER AS s, (s + o + length(v))::INTEGER AS e, v FROM (
+      SELECT scope, item, s, o, coalesce(
+        CASE WHEN length(rest) >= 6 AND regexp_matches(rest, '[0-9]')
+          THEN nullif(regexp_extract(rest, {joined}), '') END,
+        CASE WHEN regexp_matches(rest, '^[A-Za-z]*[0-9]') AND regexp_matches(rest, '^[0-9]*[A-Za-z]')
+          THEN nullif(regexp_extract(rest, '^[A-Za-z0-9]{{{low},}}\\b'), '') END) AS v
+      FROM (SELECT scope, item, s, o, substring(run, o + 1) AS rest FROM (
+        SELECT scope, item, s, v AS run, unnest(range(0, length(v))) AS o FROM ({runs})
+        WHERE length(v) >= 6 AND regexp_matches(v, '[0-9]'))
+        WHERE (o = 0 OR run[o] = '-') AND regexp_matches(run[o + 1], '[A-Za-z0-9]')))
+      WHERE v IS NOT NULL"""
+    return _apart(found, columns)
+
+
+def family_matches(family: Family, src: str, config: MaskConfig) -> str:
+    columns = f"{lit(family.name)} AS fam, {SEQ[family.name]} AS seq, {lit(family.category)} AS category"
+    if family.name == "passport":
+        return _numbered_ids(src, "(?:passport|passeport)", 18, columns)
+    if family.name == "driver_licence":
+        return _numbered_ids(src, r"(?:permis|driver'?s?\s+licen[cs]e|DL)", 20, columns)
+    if family.name == "code":
+        return _codes(src, config.id_min_length, columns)
+    return matches(src, re2(family), columns)
+
+
 def raw_cte(config: MaskConfig, src: str = "src") -> str:
-    parts = [
-        matches(src, re2(f), f"{lit(f.name)} AS fam, {SEQ[f.name]} AS seq, {lit(f.category)} AS category")
-        for f in config.families()
-    ]
+    parts = [family_matches(f, src, config) for f in config.families()]
     return "raw AS MATERIALIZED (" + "\n  UNION ALL".join(parts) + ")"
 
 
@@ -67,7 +125,8 @@ def pattern_cte(config: MaskConfig) -> str:
 rivals(fam, rival) AS (VALUES {rivals}),
 pattern_spans AS (
   SELECT scope, item, seq, s, e, category, 'regex' AS source, v FROM raw r
-  WHERE NOT EXISTS (
+  WHERE NOT (fam = 'code' AND EXISTS (SELECT 1 FROM raw o WHERE o.fam = 'email'
+      AND o.scope = r.scope AND o.item = r.item AND o.v = r.v)) AND NOT EXISTS (
     SELECT 1 FROM rivals JOIN raw o ON o.fam = rivals.rival
     WHERE rivals.fam = r.fam AND o.scope = r.scope AND o.item = r.item
       AND r.s < o.e AND o.s < r.e))"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.plans import masking, records
-from veilframe.plans.detection import CHECKED, _DOCS
+from veilframe.plans.detection import DEFAULT, _DOCS
 from veilframe.sources.session import new_folder
 from veilframe.sources.tables import stream
 from veilframe.streaming.calls import hourly_calls
@@ -16,12 +16,12 @@ from veilframe.streaming.run import drain
 
 
 def mask_stream_documents(spark, sf_dir):
-    masked = mask_stream(stream(spark, sf_dir, "documents"), config=CHECKED)
+    masked = mask_stream(stream(spark, sf_dir, "documents"), config=DEFAULT)
     return drain(masked.select("doc_id", "masked"), "masked-documents")
 
 
 def mask_conversation_stream(spark, sf_dir):
-    masker = ConversationMasker(new_folder(spark, "masked-conversations"), config=CHECKED)
+    masker = ConversationMasker(new_folder(spark, "masked-conversations"), config=DEFAULT)
     masker.start(stream(spark, sf_dir, "conversations"), availableNow=True).awaitTermination()
     return masker.masked(spark).select("conv_id", "turn", "role", "masked")
 

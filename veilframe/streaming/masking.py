@@ -12,9 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilframe.functions.patterns import MaskConfig
 from veilframe.operators.detect import Rule, detect_sensitive, span_rows
 from veilframe.operators.entities import EntityConfig
-from veilframe.operators.masking import (
-    ITEMS_PER_BUCKET, anonymize, first_entries, number_entries, place,
-)
+from veilframe.operators.masking import anonymize, first_entries, number_entries, place
 
 
 def mask_stream(stream: DataFrame, text_col: str = "text", config: MaskConfig = MaskConfig(),
@@ -39,11 +37,11 @@ class ConversationMasker:
     def __init__(self, base: str, scope: str = "conv_id", item: str = "turn",
                  text_col: str = "text", config: MaskConfig = MaskConfig(),
                  rules: Sequence[Rule] = (), entities: EntityConfig = EntityConfig(),
-                 items_per_bucket: int = ITEMS_PER_BUCKET):
+                 parts: int | None = None):
         self.base = base.rstrip("/")
         self.scope, self.item, self.text_col = scope, item, text_col
         self.config, self.rules, self.entities = config, rules, entities
-        self.items_per_bucket = items_per_bucket
+        self.parts = parts
 
     def _folder(self, table: str, batch_id: int) -> str:
         return f"{self.base}/{table}/batch_id={batch_id}"
@@ -53,11 +51,12 @@ class ConversationMasker:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def _earlier(self, like: DataFrame, batch_id: int) -> DataFrame:
+    def _earlier(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """Entries of earlier batches; their partition column keeps later ones out."""
-        schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
+        first = spark.read.parquet(self._folder("mapping", 0)).schema
+        schema = T.StructType([*first.fields, T.StructField("batch_id", T.LongType())])
         return (
-            like.sparkSession.read.schema(schema).option("basePath", f"{self.base}/mapping")
+            spark.read.schema(schema).option("basePath", f"{self.base}/mapping")
             .parquet(f"{self.base}/mapping").where(F.col("batch_id") < batch_id).drop("batch_id")
         )
 
@@ -70,18 +69,18 @@ class ConversationMasker:
         spans = self._write(span_rows(detected, [scope, item], "_spans"), "spans", batch_id)
         entries = self._write(first_entries(spans, scope, item), "entries", batch_id)
         style = self.config.placeholder_style
+        keep = lambda df, label: self._write(df, label, batch_id)
         if batch_id == 0:
             known = None
             mapping = self._write(
-                number_entries(entries, scope, style, self.items_per_bucket), "mapping", 0)
+                number_entries(entries, scope, style, self.parts, keep=keep), "mapping", 0)
         else:
-            shape = number_entries(entries, scope, style)
             scopes = entries.select(scope).distinct()
-            known = self._earlier(shape, batch_id).join(scopes, scope, "left_semi")
+            known = self._earlier(entries.sparkSession, batch_id).join(scopes, scope, "left_semi")
             taken = known.groupBy(scope, "category").agg(F.count("*").alias("_taken"))
             new = entries.join(known.select(scope, "key"), [scope, "key"], "left_anti")
             mapping = self._write(
-                number_entries(new, scope, style, self.items_per_bucket, taken),
+                number_entries(new, scope, style, self.parts, taken, keep),
                 "mapping", batch_id,
             ).unionByName(known)
         pieces = spans.withColumn("key", F.lower("value")).join(

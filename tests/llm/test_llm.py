@@ -230,6 +230,7 @@ def varied(seed, n, vocabulary):
             k = rng.randrange(len(text))
             text = text[:k] + "zz" + text[k + 1 :]
         docs.append((i * 3 + 1, text))
+    docs += [(9 * 10**5 + i, " ".join(words[:1] * n)) for i, n in enumerate((20, 21, 25, 40))]  # hardly a symbol
     return [*docs, (10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n ")]
 
 
@@ -261,12 +262,12 @@ def by_hand(docs, rule, n=3):
 
     sent = grouped([b.to_pandas() for b in repeats._sender(rule, n, n, None)(iter([batch]))], "bucket")
     found = dict(list(grouped([repeats._settle(n, n)((int(k),), g) for k, g in sent], "home")))
-    none = pd.DataFrame({"home": [], "payload": []})
+    none = pd.DataFrame({"home": [], "open": [], "payload": []})
     frame = pd.DataFrame({"doc_id": [d for d, _ in docs], "text": [(t or "").encode() for _, t in docs]})
     frame["home"] = np.mod(repeats.spark_hash(frame["doc_id"].to_numpy()), n)
     step = pd.concat([repeats._cover(rule, n)((h,), g, found.get(h, none)) for h, g in frame.groupby("home")])
     windows = step[step["payload"].notna()]
-    late = dict(list(grouped([repeats._settle_windows(n)(g) for _, g in windows.groupby("bucket")], "home")))
+    late = dict(list(grouped([repeats._settle_windows(rule, n)(g) for _, g in windows.groupby("bucket")], "home")))
     waiting = step[step["text"].notna()]
     rest = [repeats._finish(rule)((h,), g, late.get(h, none)) for h, g in waiting.groupby("home")]
     done = pd.concat([step[step["kept_sha256"].notna()], *rest])

@@ -10,8 +10,9 @@ equal passages are parsed alike except at their edges.
 Which symbols of a window are sure to be the same wherever the window occurs
 follows from the window alone: at its left edge a symbol of the right kind might
 be taken by a neighbour outside, at its right edge one of the left kind. What is
-inside is *interior*. A window's anchor is its longest interior symbol of the
-last round that has any. Shared symbols reveal repeats; the content around them
+inside is *interior*. A window's anchor is the interior symbol of the last round
+that begins the five words of least fingerprint; where none is long enough from
+the edges, a word is. Shared anchors reveal repeats, and the content around them
 verifies those. See ``repeats`` for the exchange.
 
 Defined cases: null texts have no words; rows with a null id are kept whole and
@@ -29,134 +30,148 @@ from pyspark.sql import DataFrame
 from veilframe.llm.repeats import Groups, Hashes, Rule, U, find_repeats, mixed
 
 WINDOW = 20
-ROUNDS = 6
+ROUNDS = 3
 #: Most words of a named run, and of a symbol.
-RUN, LONGEST = 4, 9
-#: Bytes whose words are hashed at a time.
-PIECE = 1 << 21
+RUN, LONGEST = 4, 5
+#: Words from an anchor's begin that equal windows share.
+SHARED = 5
 
 _BYTE = mixed(np.arange(1001, 1257, dtype=U))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes whose words are hashed at a time.
+PIECE = 1 << 20
 
 
-def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    blank = _BLANK[np.frombuffer(raw, np.uint8)]
-    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
-def _units(raw: bytes) -> np.ndarray:
-    """A fingerprint of each word."""
-    start, end = word_bounds(raw)
-    out, first = np.zeros(len(start), U), 0
-    data = np.frombuffer(raw, np.uint8)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each word, and where it begins."""
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
+    start, end = edge[::2], edge[1::2]
+    if len(data) <= 2 * PIECE:
+        return Hashes(_BYTE[np.frombuffer(data, np.uint8)]).of(start, end), start
+    out, first = np.empty(len(start), U), 0
     while first < len(start):
         last = max(first + 1, int(np.searchsorted(end, start[first] + PIECE, side="right")))
         low = start[first]
-        hashes = Hashes(_BYTE[data[low : end[last - 1]]])
-        out[first:last] = hashes.of(start[first:last] - low, end[first:last] - low)
+        out[first:last] = Hashes(_BYTE[np.frombuffer(data, np.uint8)[low : end[last - 1]]]).of(start[first:last] - low, end[first:last] - low)
         first = last
-    return out
+    return out, start
+
+
+def _units(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words, start = word_hashes(b" ".join(raws))
+    return words, np.searchsorted(start, np.cumsum([0, *[len(r) + 1 for r in raws]]))
 
 
 def _named(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mixed(a * U(0xD6E8FEB86659FD93) + mixed(b + U(salt)))
 
 
-def interior(words: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window (by its first word) the name, first word and length of its anchor."""
+def _indexed(new: np.ndarray) -> np.ndarray:
+    """For each symbol, and for the end, its number in the next round."""
+    return np.append(np.cumsum(new, dtype=np.int32) - np.int32(1), np.int32(new.sum()))
+
+
+def parse(words: np.ndarray, fresh: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the symbols of the last round begin, and of each window [low, high) of words the
+    first and last + 1 of those that are interior. ``fresh`` marks the words that begin a document."""
     n = len(words)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    name, start, length = words, np.arange(n), np.ones(n, np.int64)
-    low, high = at.copy(), at + WINDOW
-    best_name, best_start, best_length = words[at], at.copy(), np.ones(len(at), np.int64)
-
-    def choose() -> None:
-        """The longest interior symbol of this round, the first of those, where there is one."""
-        some = np.flatnonzero(low < high)
-        long = np.zeros(len(some), np.int64)
-        for i in range(WINDOW):
-            here = low[some] + i
-            in_ = here < high[some]
-            if not in_.any():
-                break
-            here = np.minimum(here, len(name) - 1)
-            better = in_ & (length[here] > long)
-            to = some[better]
-            best_name[to], best_start[to], best_length[to] = name[here[better]], start[here[better]], length[here[better]]
-            long[better] = length[here[better]]
-
-    for k in range(ROUNDS + 1):
-        new = np.ones(len(name), bool)  # which symbols begin a symbol of the next round
-        last = np.flatnonzero(low < high)
-        if k == 0:
-            begin = np.concatenate(([True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])))
-            run = np.cumsum(begin) - 1
-            first = np.flatnonzero(begin)
-            count = np.diff(np.append(first, len(name)))
-            short = (count >= 2) & (count <= RUN)
-            new = begin | ~short[run]
-            to = np.where(short[run], _named(name, count[run].astype(U), 1), name)[new]
-            run_first, run_end = first[run], (first + count)[run]
-            seen = np.minimum(run_end[low], high) - low
-            low_sure = np.where(seen > RUN, low, np.minimum(run_end[low], high))
-            seen = high - np.maximum(run_first[high - 1], low)
-            high_sure = np.where(seen > RUN, high, np.maximum(run_first[high - 1], low))
-            index = np.append(np.cumsum(new) - 1, int(new.sum()))
-            # A sure place begins a symbol: it is the begin of a run or inside a long one.
-            low, high = index[low_sure], index[high_sure]
-        else:
-            left = (mixed(name + U(k * 7919)) & U(1)).astype(bool)
-            take = np.zeros(len(name), bool)
-            take[:-1] = left[:-1] & ~left[1:] & (doc[1:] == doc[:-1]) & (length[1:] + length[:-1] <= LONGEST)
-            new[1:] = ~take[:-1]
-            to = name.copy()
-            pair = np.flatnonzero(take)
-            to[pair] = _named(name[pair], name[pair + 1], k + 1)
-            to = to[new]
-            index = np.append(np.cumsum(new) - 1, int(new.sum()))
-            a, b = low[last], high[last] - 1
-            a = a + (~left[a] & (length[a] < LONGEST))
-            taken = left[b] & (length[b] < LONGEST)
-            low_next, high_next = index[a], np.where(taken, index[b], index[b] + 1)
-            low, high = low.copy(), high.copy()
-            gone = np.ones(len(low), bool)
-            gone[last] = False
-            low[last], high[last] = low_next, high_next
-            low[gone], high[gone] = 0, 0
-        keep = np.flatnonzero(new)
-        length = np.diff(np.append(start[keep], n))
-        start, doc, name = start[keep], doc[keep], to
-        # Symbols never reach over a document, so the last of one ends with it.
-        choose()
-    return best_name, best_start, best_length
+    # Runs. What of a run is seen in a window tells how it is parsed only if it is too long for a name.
+    begin = fresh.copy()
+    begin[1:] |= words[1:] != words[:-1]
+    first = np.flatnonzero(begin).astype(np.int32)
+    run = _indexed(begin)[:-1]
+    count = np.diff(np.append(first, np.int32(n)))
+    short = (count >= 2) & (count <= RUN)
+    new = begin | ~short[run]
+    index = _indexed(new)
+    run_end, run_begin = (first + count)[run], first[run]
+    edge = np.minimum(run_end[low], high)
+    sure_low = np.where(edge - low > RUN, low, edge)
+    edge = np.maximum(run_begin[high - 1], low)
+    sure_high = np.where(high - edge > RUN, high, edge)
+    low, high = index[sure_low], index[sure_high]
+    name = np.where(short[run], _named(words, count[run].astype(U), 1), words)[new]
+    start = np.flatnonzero(new).astype(np.int32)
+    fresh = fresh[start]
+    for k in range(1, ROUNDS + 1):
+        length = np.diff(np.append(start, np.int32(n)))
+        left = (mixed(name + U(k * 7919)) & U(1)).astype(bool)
+        take = np.zeros(len(name), bool)
+        take[:-1] = left[:-1] & ~left[1:] & ~fresh[1:] & (length[1:] + length[:-1] <= LONGEST)
+        new = np.ones(len(name), bool)
+        new[1:] = ~take[:-1]
+        index = _indexed(new)
+        able = length < LONGEST
+        # A right symbol at the left edge may be taken, and a left one at the right edge may take.
+        after = np.append(index[:-1], index[-1])
+        to_low = np.append(np.where(~left & able, index[1:], index[:-1]), index[-1])
+        to_high = np.append(index[0], np.where(left & able, index[:-1], index[:-1] + 1))
+        some = low < high
+        low, high = np.where(some, to_low[low], after[low]), np.where(some, to_high[high], after[low])
+        pair = np.flatnonzero(take)
+        name[pair] = _named(name[pair], name[pair + 1], k + 1)
+        name, start, fresh = name[new], start[new], fresh[new]
+    return start, low, high
+
+
+def anchors(words: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, Hashes]:
+    """For each window (by its first word) where its anchor begins; the fingerprints of five words; those of all parts."""
+    fresh = np.zeros(len(words), bool)
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = at.astype(np.int32)
+    start, low, high = parse(words, fresh, at, at + np.int32(WINDOW))
+    hashes = Hashes(words)
+    five = hashes.windows(SHARED)
+    # Anchors have their five words inside the window.
+    before = np.zeros(len(words) + 1, np.int32)
+    before[start + 1] = 1
+    np.cumsum(before, out=before)
+    high = np.minimum(high, before[at + np.int32(WINDOW - SHARED + 1)])
+    bits = U((1 << 24) - 1)
+    rank = np.append((five[np.minimum(start, len(five) - 1)] & ~bits) | np.arange(len(start), dtype=U), U(0))
+    least = [rank]
+    for k in range(4):
+        later = np.full(len(rank), np.iinfo(U).max, U)
+        later[: max(0, len(rank) - (1 << k))] = least[-1][1 << k :]
+        least.append(np.minimum(least[-1], later))
+    table = np.concatenate(least)
+    size = np.maximum(high - low, 0)
+    step = np.array([0, 0, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3, 4, 4, 4, 4, 4], np.int64)[size]
+    some = size > 0
+    row = step * len(rank)
+    best = np.minimum(table[np.where(some, row + low, 0)], table[np.where(some, row + high - (1 << step), 0)])
+    out = start[(best & bits).astype(np.int64)].astype(np.int64) if len(start) else at.astype(np.int64)
+    for i in np.flatnonzero(~some):
+        out[i] = at[i] + int(np.argmin(five[at[i] : at[i] + WINDOW - SHARED + 1]))
+    return out, five, hashes
 
 
 def _groups(words: np.ndarray, bounds: np.ndarray) -> Groups:
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.flatnonzero(np.arange(len(words)) + WINDOW <= bounds[1:][doc])
-    name, begin, length = interior(words, bounds, at)
+    begin, five, hashes = anchors(words, bounds, at)
     first = np.ones(len(at), bool)
-    first[1:] = (begin[1:] != begin[:-1]) | (length[1:] != length[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
+    first[1:] = (begin[1:] != begin[:-1]) | (at[1:] != at[:-1] + 1)
     i = np.flatnonzero(first)
     n = np.diff(np.append(i, len(at)))
-    start = at[i]
-    hashes = Hashes(words)
-    content = mixed(hashes.of(start, start + n + WINDOW - 1) + ((begin[i] - start) * 1024 + n).astype(U))
-    return Groups(doc[start], start - bounds[:-1][doc[start]], n, name[i], content, name[i])
+    start, begin = at[i], begin[i]
+    content = mixed(hashes.of(start, start + n + WINDOW - 1) + ((begin - start) * 1024 + n).astype(U))
+    return Groups(doc[start], start - bounds[:-1][doc[start]], n, five[begin], content, five[begin])
 
 
-def _windows(words: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return interior(words, bounds, at)[0], Hashes(words).of(at, at + WINDOW)
+def _pieces(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    words = raw.split()  # bytes are split at the same six blanks
+    return [b" ".join(words[a:b]) for a, b in zip(starts, ends, strict=True)]
 
 
-def _kept(raw: bytes, covered: np.ndarray) -> bytes:
-    start, end = word_bounds(raw)
-    return b" ".join(raw[a:b] for a, b, c in zip(start.tolist(), end.tolist(), covered.tolist(), strict=True) if not c)
+def _kept(raw: bytes, covered: np.ndarray | None) -> bytes:
+    words = raw.split()
+    return b" ".join(words if covered is None else [w for w, c in zip(words, covered.tolist(), strict=True) if not c])
 
 
-RULE = Rule(WINDOW, _units, _groups, _windows, _kept)
+RULE = Rule(WINDOW, _units, _groups, lambda raw: len(raw.split()), _pieces, _kept)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ so a sequence of n units is a few n/30 or n/5 groups instead of n windows.
    before is covered. A first group whose anchor also stands in other content
    is *open*: its windows have to be compared one by one. All others are unique.
 3. ``cover``: findings return to their documents. Documents without open groups
-   are done. Open ones send the fingerprint of each open window to a bucket,
-   which finds the windows that came before (``settle_windows``), and are done
-   when those return (``finish``).
+   are done. Of others the text of each open group goes to the bucket of its
+   anchor content, which compares window by window (``settle_windows``), and they
+   are done when those findings return (``finish``).
 
 Equal windows have equal anchors, so none is missed; fingerprints are 64 bits
 of the anchor and 64 of the content together. Records travel packed: a row of
@@ -27,6 +27,7 @@ document.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import cut
 
-#: Units of a chunk: what a task has in arrays at a time. Longer documents are read in overlapping parts.
-CHUNK_UNITS = 1 << 21
+#: Bytes of a chunk: what a task has in arrays at a time. Longer documents are read in overlapping parts.
+CHUNK_BYTES = 1 << 20
 #: Bytes of text for each bucket of an exchange.
 BUCKET_BYTES = 12_000_000
 
@@ -58,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int, back: bool) -> np.ndarray:
     name = "back" if back else "base"
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         steps = np.full(max(n, 1 << 16), _BACK if back else _BASE, U)
         steps[0] = 1
         _powers[name] = np.cumprod(steps)
@@ -105,19 +106,22 @@ class Groups:
 
 @dataclass(frozen=True)
 class Rule:
-    """What makes an operator: ``units`` cuts bytes into sequence units and ``groups`` finds the
-    groups of a chunk of sequences (given their concatenation and bounds)."""
+    """What makes an operator: ``units`` turns texts into one sequence of units and the bounds of
+    each; ``groups`` finds the groups of such a chunk; ``count`` the units of a text, ``pieces`` the
+    texts of some runs of units, ``kept`` what is left of a text."""
 
     window: int
-    units: Callable[[bytes], np.ndarray]
+    units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     groups: Callable[[np.ndarray, np.ndarray], Groups]
-    windows: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-    kept: Callable[[bytes, np.ndarray], bytes]
+    count: Callable[[bytes], int]
+    pieces: Callable[[bytes, list[int], list[int]], list[bytes]]
+    kept: Callable[[bytes, np.ndarray | None], bytes]
 
 
-_GROUP = [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
-_WINDOW = [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4")]
-_FINDING = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("open", "u1")]
+_GROUP = [("key", "<u8"), ("content", "<u4"), ("more", "u1"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
+_FINDING = [("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
+_OPEN = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8")]
+_PIECE = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8"), ("size", "<u4")]
 
 
 def pack(layout: list[tuple[str, str]], columns: dict[str, np.ndarray], at: np.ndarray) -> bytes:
@@ -142,19 +146,29 @@ def _packed_rows(layout: list[tuple[str, str]], columns: dict[str, np.ndarray],
         yield b, pack(layout, columns, at)
 
 
-def _parts(rows: Iterator[tuple[int, np.ndarray]], window: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-    """Chunks of (document, place of the first unit, units); a long document in overlapping parts."""
-    chunk, size = [], 0
-    for doc, units in rows:
-        for at in range(0, max(1, len(units) - window + 1), CHUNK_UNITS):
-            part = units[at : at + CHUNK_UNITS + window - 1]
-            if chunk and size + len(part) > CHUNK_UNITS:
-                yield chunk
-                chunk, size = [], 0
-            chunk.append((doc, at, part))
-            size += len(part)
-    if chunk:
-        yield chunk
+def _chunks(rule: Rule, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, place of the first unit, units, bounds) of chunks; a long document in overlapping parts."""
+    ids, raws, size = [], [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        units, bounds = rule.units(raws)
+        return np.array(ids, np.int64), np.zeros(len(ids), np.int64), units, bounds
+
+    for doc, raw in rows:
+        if len(raw) > CHUNK_BYTES:
+            units, _ = rule.units([raw])
+            for at in range(0, max(1, len(units) - rule.window + 1), CHUNK_BYTES):
+                part = units[at : at + CHUNK_BYTES + rule.window - 1]
+                yield np.array([doc]), np.array([at]), part, np.array([0, len(part)])
+            continue
+        ids.append(doc)
+        raws.append(raw)
+        size += len(raw)
+        if size > CHUNK_BYTES:
+            yield together()
+            ids, raws, size = [], [], 0
+    if ids:
+        yield together()
 
 
 _BUCKETS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -162,20 +176,18 @@ _BUCKETS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, np.ndarray]]:
+        def rows() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     raw = text.as_py()
                     if doc is not None and raw:
-                        units = rule.units(raw)
-                        if len(units) >= rule.window:
-                            yield doc, units
-
-        for chunk in _parts(rows(), rule.window):
-            bounds = np.cumsum([0, *[len(u) for _, _, u in chunk]])
-            g = rule.groups(np.concatenate([u for _, _, u in chunk]), bounds)
-            ids = np.array([d for d, _, _ in chunk], np.int64)[g.doc]
-            start = g.start + np.array([p for _, p, _ in chunk], np.int64)[g.doc]
+                        yield doc, raw
+
+        for docs, places, units, bounds in _chunks(rule, rows()):
+            if len(units) < rule.window:
+                continue
+            g = rule.groups(units, bounds)
+            ids, start = docs[g.doc], g.start + places[g.doc]
             # The repeats of the chunk itself are settled here and go by document.
             order = np.lexsort((start, ids, g.content, g.key))
             again = np.zeros(len(order), bool)
@@ -187,7 +199,7 @@ def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None)
             else:
                 bucket = np.searchsorted(splitters, g.lead, side="right")
             bucket = np.where(again, buckets + np.mod(spark_hash(ids), homes), bucket)
-            columns = {"key": g.key, "content": g.content, "doc": ids, "start": start, "n": g.n}
+            columns = {"key": g.key, "content": g.content, "more": g.content >> U(32), "doc": ids, "start": start, "n": g.n}
             out = list(_packed_rows(_GROUP, columns, bucket))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], schema=_BUCKETS)
@@ -209,17 +221,24 @@ def _first(new: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [c[new][run] for c in columns]
 
 
-def _by_home(layout: list[tuple[str, str]], columns: dict[str, np.ndarray], homes: int) -> pd.DataFrame:
-    rows = list(_packed_rows(layout, columns, np.mod(spark_hash(columns["doc"]), homes)))
-    return pd.DataFrame({"home": np.array([h for h, _ in rows], np.int32), "payload": [p for _, p in rows]})
+def _by_home(columns: dict[str, np.ndarray], homes: int, opened: bool = False) -> pd.DataFrame:
+    """The findings packed by the home of their document."""
+    rows = list(_packed_rows(_OPEN if opened else _FINDING, columns, np.mod(spark_hash(columns["doc"]), homes)))
+    return pd.DataFrame({
+        "home": np.array([h for h, _ in rows], np.int32), "open": np.full(len(rows), opened),
+        "payload": np.array([p for _, p in rows] + [None], object)[:-1],
+    })
+
+
+FOUND = "home int, open boolean, payload binary"
 
 
 def _settle(buckets: int, homes: int) -> Callable:
     def run(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         r = unpack(_GROUP, list(rows["payload"]))
         if key[0] >= buckets:  # settled in its chunk
-            r["open"] = np.zeros(len(r["doc"]), np.uint8)
-            return _by_home(_FINDING, r, homes)
+            return _by_home(r, homes)
+        r["content"] = r.pop("content").astype(np.int64) << 8 | r.pop("more")
         order = np.lexsort((r["start"], r["doc"], r["content"], r["key"]))
         r = {name: c[order] for name, c in r.items()}
         content, anchor = _runs(r["key"], r["content"]), _runs(r["key"])
@@ -228,22 +247,48 @@ def _settle(buckets: int, homes: int) -> Callable:
         contents = np.bincount(np.cumsum(anchor) - 1, content)[np.cumsum(anchor) - 1] if len(content) else np.zeros(0)
         # Rows that share an id may be first together; they are open together too.
         opened = ~again & (contents > 1)
-        r["open"] = opened.astype(np.uint8)
-        at = again | opened
-        return _by_home(_FINDING, {name: c[at] for name, c in r.items()}, homes)
+        part = lambda at: {name: c[at] for name, c in r.items()}
+        return pd.concat([_by_home(part(again), homes), _by_home(part(opened), homes, True)])
 
     return run
 
 
-def _settle_windows(homes: int) -> Callable:
+def _packed_pieces(columns: dict[str, np.ndarray], pieces: list[bytes], bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    for b, at in zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ():
+        head = len(at).to_bytes(4, "little") + pack(_PIECE, columns, at)
+        yield b, zlib.compress(head + b"".join([pieces[i] for i in at.tolist()]), 1)
+
+
+def _unpacked_pieces(payload: bytes) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    blob = zlib.decompress(payload)
+    n = int.from_bytes(blob[:4], "little")
+    end = 4 + n * sum(np.dtype(kind).itemsize for _, kind in _PIECE)
+    columns = unpack(_PIECE, [blob[4:end]])
+    cuts = (end + np.cumsum(columns["size"], dtype=np.int64)).tolist()
+    return columns, [blob[a:b] for a, b in zip([end, *cuts], cuts, strict=False)]
+
+
+def _settle_windows(rule: Rule, homes: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r = unpack(_WINDOW, list(rows["payload"]))
+        parts = {"key": [], "content": [], "doc": [], "start": []}
+        for payload in rows["payload"]:
+            columns, pieces = _unpacked_pieces(payload)
+            units, bounds = rule.units(pieces)
+            n = columns["n"].astype(np.int64)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(bounds[:-1], n) + inside
+            parts["content"].append(Hashes(units).of(at, at + rule.window))
+            parts["key"].append(np.repeat(columns["key"], n))
+            parts["doc"].append(np.repeat(columns["doc"], n))
+            parts["start"].append(np.repeat(columns["start"].astype(np.int64), n) + inside)
+        r = {name: np.concatenate(c) for name, c in parts.items()}
         order = np.lexsort((r["start"], r["doc"], r["content"], r["key"]))
         r = {name: c[order] for name, c in r.items()}
         doc, start = _first(_runs(r["key"], r["content"]), r["doc"], r["start"])
         at = (r["doc"] != doc) | (r["start"] != start)
-        r = {name: c[at] for name, c in r.items()} | {"n": np.ones(at.sum(), np.uint8), "open": np.zeros(at.sum(), np.uint8)}
-        return _by_home(_FINDING, r, homes)
+        return _by_home({"doc": r["doc"][at], "start": r["start"][at], "n": np.ones(at.sum(), np.uint8)}, homes)
 
     return run
 
@@ -256,8 +301,8 @@ def _covered(size: int, start: np.ndarray, n: np.ndarray, window: int) -> np.nda
     return np.cumsum(edge)[:size] > 0
 
 
-def _by_doc(payloads: list[bytes]) -> dict[int, dict[str, np.ndarray]]:
-    r = unpack(_FINDING, payloads)
+def _by_doc(payloads: list[bytes], layout: list[tuple[str, str]] = _FINDING) -> dict[int, dict[str, np.ndarray]]:
+    r = unpack(layout, payloads)
     order = np.argsort(r["doc"], kind="stable")
     r = {name: c[order] for name, c in r.items()}
     found, first = np.unique(r["doc"], return_index=True)
@@ -265,16 +310,18 @@ def _by_doc(payloads: list[bytes]) -> dict[int, dict[str, np.ndarray]]:
     return {d: {name: c[a:b] for name, c in r.items()} for d, a, b in zip(found.tolist(), cuts, cuts[1:], strict=False)}
 
 
-_NONE = {"start": np.zeros(0, np.uint32), "n": np.zeros(0, np.uint8), "open": np.zeros(0, np.uint8)}
 DONE = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string"
 STEP = f"{DONE}, home int, text binary, covered binary, bucket int, payload binary"
 _EMPTY = {"doc_id": None, "n_units": None, "n_removed": None, "n_spans": None, "kept_sha256": None, "home": None, "text": None, "covered": None, "bucket": None, "payload": None}
 
 
-def _done(rule: Rule, doc: int | None, raw: bytes, covered: np.ndarray) -> dict:
-    spans = int(covered[0]) + int(np.count_nonzero(covered[1:] & ~covered[:-1])) if len(covered) else 0
+def _done(rule: Rule, doc: int | None, raw: bytes, n: int, covered: np.ndarray | None) -> dict:
+    """The result row of a text; ``covered`` is None if nothing of it is."""
+    removed = spans = 0
+    if covered is not None:
+        removed, spans = int(covered.sum()), int(covered[0]) + int(np.count_nonzero(covered[1:] & ~covered[:-1]))
     sha = hashlib.sha256(rule.kept(raw, covered)).hexdigest()
-    return {"doc_id": doc, "n_units": len(covered), "n_removed": int(covered.sum()), "n_spans": spans, "kept_sha256": sha}
+    return {"doc_id": doc, "n_units": n, "n_removed": removed, "n_spans": spans, "kept_sha256": sha}
 
 
 def _frame(rows: list[dict], like: str) -> pd.DataFrame:
@@ -285,37 +332,36 @@ def _frame(rows: list[dict], like: str) -> pd.DataFrame:
 
 def _cover(rule: Rule, buckets: int) -> Callable:
     def run(key: tuple[int], docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        by_doc, out, waiting, size = _by_doc(list(found["payload"])), [], [], 0
+        by_doc = _by_doc(list(found["payload"][~found["open"].astype(bool)]))
+        opened = _by_doc(list(found["payload"][found["open"].astype(bool)]), _OPEN)
+        out, waiting, pieces, size = [], [], [], 0
 
         def send() -> None:
-            nonlocal waiting, size
+            nonlocal waiting, pieces, size
             if waiting:
-                columns = {name: np.concatenate([w[name] for w in waiting]) for name, _ in _WINDOW}
-                rows = _packed_rows(_WINDOW, columns, (columns["key"] % U(buckets)).astype(np.int64))
+                columns = {name: np.concatenate([w[name] for w in waiting]) for name, _ in _OPEN}
+                columns["size"] = np.array([len(p) for p in pieces])
+                rows = _packed_pieces(columns, pieces, (columns["key"] % U(buckets)).astype(np.int64))
                 out.extend({**_EMPTY, "bucket": b, "payload": p} for b, p in rows)
-            waiting, size = [], 0
+            waiting, pieces, size = [], [], 0
 
         for doc, raw in zip(docs["doc_id"], docs["text"], strict=True):
-            known = doc is not None and not pd.isna(doc)
-            f = by_doc.get(int(doc), _NONE) if known else _NONE
-            units = rule.units(raw)
-            settled = f["open"] == 0
-            covered = _covered(len(units), f["start"][settled], f["n"][settled], rule.window)
-            if settled.all():
-                out.append({**_EMPTY, **_done(rule, int(doc) if known else None, raw, covered)})
+            doc = None if doc is None or pd.isna(doc) else int(doc)
+            f, o, length = by_doc.get(doc), opened.get(doc), rule.count(raw)
+            covered = _covered(length, f["start"], f["n"], rule.window) if f is not None and length else None
+            if o is not None:  # what another text of the same id has is not here
+                inside = o["start"].astype(np.int64) + o["n"] + rule.window - 1 <= length
+                o = {name: c[inside] for name, c in o.items()} if inside.any() else None
+            if o is None:
+                out.append({**_EMPTY, **_done(rule, doc, raw, length, covered)})
                 continue
-            n = f["n"][~settled].astype(np.int64)
-            at = np.repeat(f["start"][~settled].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = at[at + rule.window <= len(units)]
-            for low in range(0, len(units), CHUNK_UNITS):
-                inside = at[(at >= low) & (at < low + CHUNK_UNITS)] - low
-                if len(inside):
-                    part = units[low : low + CHUNK_UNITS + rule.window - 1]
-                    anchors, contents = rule.windows(part, np.array([0, len(part)]), inside)
-                    waiting.append({"key": anchors, "content": contents, "doc": np.full(len(inside), int(doc), np.int64), "start": inside + low})
-                    size += len(inside)
-            out.append({**_EMPTY, "doc_id": int(doc), "home": int(key[0]), "text": raw, "covered": np.packbits(covered).tobytes()})
-            if size > CHUNK_UNITS:
+            start = o["start"].astype(np.int64)
+            waiting.append(o)
+            pieces += rule.pieces(raw, start.tolist(), (start + o["n"] + rule.window - 1).tolist())
+            size += len(raw)
+            bits = b"" if covered is None else np.packbits(covered).tobytes()
+            out.append({**_EMPTY, "doc_id": doc, "home": int(key[0]), "text": zlib.compress(raw, 1), "covered": bits})
+            if size > 8 * CHUNK_BYTES:
                 send()
         send()
         return _frame(out, STEP)
@@ -326,10 +372,14 @@ def _cover(rule: Rule, buckets: int) -> Callable:
 def _finish(rule: Rule) -> Callable:
     def run(key: tuple[int], docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         by_doc, out = _by_doc(list(found["payload"])), []
-        for doc, raw, bits in zip(docs["doc_id"], docs["text"], docs["covered"], strict=True):
-            f, n = by_doc.get(int(doc), _NONE), len(rule.units(raw))
-            before = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            out.append(_done(rule, int(doc), raw, before | _covered(n, f["start"], f["n"], rule.window)))
+        for doc, packed, bits in zip(docs["doc_id"], docs["text"], docs["covered"], strict=True):
+            raw = zlib.decompress(packed)
+            f, n = by_doc.get(int(doc)), rule.count(raw)
+            covered = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if bits else None
+            if f is not None:
+                late = _covered(n, f["start"], f["n"], rule.window)
+                covered = late if covered is None else covered | late
+            out.append(_done(rule, int(doc), raw, n, covered))
         return _frame(out, DONE)
 
     return run
@@ -351,11 +401,11 @@ def find_repeats(docs: DataFrame, rule: Rule, splitters: Callable[[DataFrame, in
     n = max(1, round(size / BUCKET_BYTES))
     points = splitters(docs, n) if splitters else None
     sent = docs.mapInArrow(_sender(rule, n, n, points), "bucket int, payload binary")
-    found = sent.groupBy("bucket").applyInPandas(_settle(n, n), "home int, payload binary")
+    found = sent.groupBy("bucket").applyInPandas(_settle(n, n), FOUND)
     placed = docs.withColumn("home", home(n))
     step = cut(placed.groupBy("home").cogroup(found.groupBy("home")).applyInPandas(_cover(rule, n), STEP))
     windows = step.filter("payload is not null").select("bucket", "payload")
-    late = windows.groupBy("bucket").applyInPandas(_settle_windows(n), "home int, payload binary")
+    late = windows.groupBy("bucket").applyInPandas(_settle_windows(rule, n), FOUND)
     open_ = step.filter("text is not null").select("home", "doc_id", "text", "covered")
     rest = open_.groupBy("home").cogroup(late.groupBy("home")).applyInPandas(_finish(rule), DONE)
     names = [c.split(" ")[0] for c in DONE.split(", ")]

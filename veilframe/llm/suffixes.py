@@ -32,8 +32,8 @@ SAMPLED = 400
 _BYTE = mixed(np.arange(1, 257, dtype=U))
 
 
-def _units(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8)
+def _units(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -78,16 +78,15 @@ def _groups(units: np.ndarray, bounds: np.ndarray) -> Groups:
     return Groups(doc[start], start - bounds[:-1][doc[start]], n, begin[at], content, leading(units, at, begin))
 
 
-def _windows(units: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    anchor, begin, hashes = anchors(units)
-    return begin[anchor[at]], hashes.of(at, at + WINDOW)
+def _pieces(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
-def _kept(raw: bytes, covered: np.ndarray) -> bytes:
-    return np.frombuffer(raw, np.uint8)[~covered].tobytes() if covered.any() else raw
+def _kept(raw: bytes, covered: np.ndarray | None) -> bytes:
+    return raw if covered is None else np.frombuffer(raw, np.uint8)[~covered].tobytes()
 
 
-RULE = Rule(WINDOW, _units, _groups, _windows, _kept)
+RULE = Rule(WINDOW, _units, _groups, len, _pieces, _kept)
 
 
 def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -101,7 +100,7 @@ def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
     rows = docs.filter((F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 < int(rate * 1_000_003) + 1).select(F.substring("text", 1, 20_000).alias("text"))
     found = []
     for row in rows.limit(SAMPLED * buckets).toLocalIterator():
-        units = _units(bytes(row["text"]))
+        units, _ = _units([bytes(row["text"])])
         if len(units) >= WINDOW:
             anchor, begin, _ = anchors(units)
             found.append(leading(units, np.unique(anchor), begin))

@@ -46,6 +46,8 @@ ROUNDS = 4
 FOLDS = 5
 #: Words that a worker remembers.
 REMEMBERED = 400_000
+#: Texts whose words a worker holds.
+AT_ONCE = 400
 
 _SIZE = 64
 _CODES = np.full(65536, 0, np.int32)
@@ -277,7 +279,13 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
 _known: dict[str, dict[str, float]] = {}
 
 
-def _scores(model: Model, known: dict[str, float], texts: list[str | None]) -> np.ndarray:
+def _scores(model: Model, known: dict[str, float], column: pa.Array) -> np.ndarray:
+    """The score of each text, some at a time."""
+    parts = [_some_scores(model, known, column.slice(i, AT_ONCE).to_pylist()) for i in range(0, len(column), AT_ONCE)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def _some_scores(model: Model, known: dict[str, float], texts: list[str | None]) -> np.ndarray:
     """The score of each text; ``known`` has the margins of words met so far."""
     if len(known) > REMEMBERED:
         known.clear()
@@ -305,7 +313,7 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _scores(shared.value, _remembered(key), batch.column(1).to_pylist())
+            scores = _scores(shared.value, _remembered(key), batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -329,7 +337,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _scores(shared.value, _remembered(key), batch.column(batch.schema.get_field_index("text")).to_pylist())
+            scores = _scores(shared.value, _remembered(key), batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(scores < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import cut
 from veilframe.llm.graph import components
-from veilframe.llm.recompression import _units as word_hashes
+from veilframe.llm.recompression import word_hashes
 from veilframe.llm.repeats import Hashes, U, _packed_rows, mixed, prepared, unpack
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ _ADD = mixed(np.arange(101, PLACES + 101, dtype=U))
 
 def shingles(raw: bytes) -> np.ndarray:
     """The sorted fingerprints of a text's shingles, A-Z in lower case."""
-    words = word_hashes(raw.translate(_LOWER))
+    words, _ = word_hashes(raw.translate(_LOWER))
     if len(words) >= SHINGLE:
         return np.unique(Hashes(words).windows(SHINGLE))
     return mixed(Hashes(words).of(np.array([0]), np.array([len(words)])) + U(len(words))) if len(words) else np.zeros(0, U)

@@ -22,8 +22,12 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
 
 
 def asked_spread(spark: SparkSession) -> int | None:
+    """``SPREAD``; unset, a local session deals out, whose inputs are single files."""
     value = spark.conf.get(SPREAD, None)
-    return int(value) if value else None
+    if value:
+        return int(value)
+    context = spark.sparkContext
+    return 4 * context.defaultParallelism if context.master.startswith("local[") else None
 
 
 def keep_last_key(spark: SparkSession) -> None:

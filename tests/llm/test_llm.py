@@ -244,6 +244,7 @@ REPEATS = (
 def test_repeats_equal_brute_force(spark, monkeypatch, seed, n, vocabulary, bucket):
     docs = varied(seed, n, vocabulary)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(repeats, "RANGES", 3)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     for module, plain, names in REPEATS:
         got = {r.doc_id: r for r in module.query(frame).collect()}

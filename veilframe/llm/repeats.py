@@ -43,6 +43,9 @@ from veilframe.llm.common import cut
 CHUNK_BYTES = 1 << 20
 #: Bytes of text for each bucket of an exchange.
 BUCKET_BYTES = 12_000_000
+#: Ranges that an operator's splitters make at most, which bounds their sample; more buckets than
+#: that divide each range by the anchor's fingerprint.
+RANGES = 4096
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -174,7 +177,7 @@ def _chunks(rule: Rule, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.
 _BUCKETS = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None) -> Callable:
+def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None, ranges: int = 1) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
@@ -197,7 +200,8 @@ def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None)
             if splitters is None:
                 bucket = (g.key % U(buckets)).astype(np.int64)
             else:
-                bucket = np.searchsorted(splitters, g.lead, side="right")
+                within = buckets // ranges
+                bucket = np.searchsorted(splitters, g.lead, side="right") * within + (g.key % U(within)).astype(np.int64)
             bucket = np.where(again, buckets + np.mod(spark_hash(ids), homes), bucket)
             columns = {"key": g.key, "content": g.content, "more": g.content >> U(32), "doc": ids, "start": start, "n": g.n}
             out = list(_packed_rows(_GROUP, columns, bucket))
@@ -399,9 +403,11 @@ def find_repeats(docs: DataFrame, rule: Rule, splitters: Callable[[DataFrame, in
     docs = prepared(docs)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, round(size / BUCKET_BYTES))
-    points = splitters(docs, n) if splitters else None
-    sent = docs.mapInArrow(_sender(rule, n, n, points), "bucket int, payload binary")
-    found = sent.groupBy("bucket").applyInPandas(_settle(n, n), FOUND)
+    ranges = min(n, RANGES)
+    buckets = ranges * -(-n // ranges)
+    points = splitters(docs, ranges) if splitters else None
+    sent = docs.mapInArrow(_sender(rule, buckets, n, points, ranges), "bucket int, payload binary")
+    found = sent.groupBy("bucket").applyInPandas(_settle(buckets, n), FOUND)
     placed = docs.withColumn("home", home(n))
     step = cut(placed.groupBy("home").cogroup(found.groupBy("home")).applyInPandas(_cover(rule, n), STEP))
     windows = step.filter("payload is not null").select("bucket", "payload")

@@ -92,8 +92,8 @@ RULE = Rule(WINDOW, _units, _groups, len, _pieces, _kept)
 def splitters(docs: DataFrame, buckets: int) -> np.ndarray:
     """Quantiles of the order of suffixes, from documents spread over the corpus by a hash of their ids.
 
-    The number of documents is bounded by ``SAMPLED`` for each bucket; the splitters only balance
-    the buckets, whatever they are the result is the same.
+    There are ``SAMPLED / 40`` documents for each bucket, and ``repeats`` asks for at most 4,096
+    buckets; the splitters only balance them, whatever they are the result is the same.
     """
     total = docs.count()
     rate = min(1.0, SAMPLED * buckets / 40 / max(total, 1))

@@ -42,6 +42,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Numbers that a key is hashed to, for samples.
+HASHED = 1 << 30
+
+
+def chosen(key: str, wanted: int, there: int) -> Column:
+    """Whether a row is in a sample of about four times ``wanted`` rows of ``there``, by a hash of
+    its key: the rows of a task that a following limit looks at get fewer as tables grow."""
+    most = HASHED if there <= 4 * wanted else int(HASHED * 4 * wanted / there) + 1
+    return F.pmod(F.xxhash64(key), F.lit(HASHED)) < most
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder: no task of it runs again."""
     checkpoint_dir(frame.sparkSession)

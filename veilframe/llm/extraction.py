@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import chosen
 from veilframe.llm.dom import Node, parse
 
 MAX_PAGES, MAX_HTML = 100, 100_000
@@ -351,6 +352,7 @@ def labelled(pages: list[str], variants: int = VARIANTS, seed: int = 11) -> list
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model | None:
     rows = pages.filter(F.col("html").isNotNull() & (F.length("html") <= MAX_HTML)).select("page_id", "html")
+    rows = rows.filter(chosen("page_id", max_pages, pages.count()))
     rows = rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_pages)
     found = labelled([r.html for r in rows.collect()])
     return train(found) if found else None

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import chosen
+
 #: Weight of each skipped character, and the longest span of a subsequence.
 DECAY, SPAN = 0.6, 7
 #: Labelled rows that training takes at most.
@@ -265,9 +267,12 @@ def held_out() -> Column:
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> list[tuple[str, int]]:
     """At most so many labelled texts outside the held-out fold, chosen by a hash of their ids."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.filter("toxic = 1").limit(max_toxic).unionAll(known.filter("toxic = 0").limit(max_clean))
-    ids = {r.doc_id: r.toxic for r in chosen.collect()}
+    known = known.filter(~held_out())
+    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # a row for each label
+    ids = {}
+    for label, most in ((1, max_toxic), (0, max_clean)):
+        some = known.filter(F.col("toxic") == label).filter(chosen("doc_id", most, there.get(label, 0)))
+        ids |= {r.doc_id: r.toxic for r in some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
     if not ids:
         return []
     picked = docs.sparkSession.createDataFrame(list(ids.items()), "_id long, toxic int")

@@ -14,9 +14,9 @@ CATALOG = {
     ),
     "op4_chat_formatting": (lambda spark, d: chats.query(table(spark, d, "conversations")), chats.SQL),
     "op5_html_extraction": (lambda spark, d: extraction.query(table(spark, d, "pages")), None),
-    "op6_minhash_near_dedup": (lambda spark, d: neardup.query(table(spark, d, "documents")), None),
+    "op6_minhash_near_dedup": (lambda spark, d: neardup.query(table(spark, d, "documents")), neardup.SQL),
     "op7_pii": (lambda spark, d: pii.query(table(spark, d, "documents")), None),
-    "op8_substring_dedup": (lambda spark, d: recompression.query(table(spark, d, "documents")), None),
+    "op8_substring_dedup": (lambda spark, d: recompression.query(table(spark, d, "documents")), recompression.SQL),
     "op9_suffix_array_dedup": (lambda spark, d: suffixes.query(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")), None),
 }

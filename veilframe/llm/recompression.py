@@ -176,3 +176,18 @@ RULE = Rule(WINDOW, _units, _groups, lambda raw: len(raw.split()), _pieces, _kep
 
 def query(docs: DataFrame) -> DataFrame:
     return find_repeats(docs, RULE).drop("n_spans").withColumnRenamed("n_units", "n_words")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS k
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS v FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS t
+         FROM word ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from veilframe.functions.spans import quote
+from veilframe.functions.spans import let, quote
 
 #: format of a placeholder and the pattern that finds one, by style
 STYLES = {
@@ -30,19 +28,21 @@ def entries(spans: str, sorted_keys: str, runs: str) -> str:
       e -> named_struct('x', get({spans}, e.i), 'p', e.p, 'n', e.n))"""
 
 
-def numbered(entries_: str, categories: Sequence[str], style: str) -> str:
-    """The entries with their placeholders: each category counts up on its own."""
-    def entry(index: str) -> str:
-        return f"""named_struct(
-          'first_idx', e.x.start_idx, 'key', lower(e.x.value), 'original', e.x.value,
-          'placeholder', {format_placeholder('e.x.category', index, style)},
-          'category', e.x.category, 'source', e.x.source, 'count', e.n, 'p', e.p)"""
-
-    passes = ", ".join(
-        f"transform(filter({entries_}, e -> e.x.category = {quote(c)}), (e, i) -> {entry('i + 1')})"
-        for c in categories
-    )
-    return f"array_sort(concat({passes}))"
+def numbered(entries_: str, style: str) -> str:
+    """The entries with their placeholders: each category counts up on its own. Sorted by
+    category and place, a category is a run, and the place in its run is the number."""
+    entry = f"""named_struct(
+          'first_idx', y.e.x.start_idx, 'key', lower(y.e.x.value), 'original', y.e.x.value,
+          'placeholder', {format_placeholder('y.e.x.category', 'q + 1', style)},
+          'category', y.e.x.category, 'source', y.e.x.source, 'count', y.e.n, 'p', y.e.p)"""
+    ordered = (f"array_sort(transform({entries_}, e -> "
+               "named_struct('c', e.x.category, 'f', e.x.start_idx, 'e', e)))")
+    runs = """filter(transform(ordered, (y, p) ->
+        CASE WHEN p = 0 OR get(ordered, p - 1).c != y.c THEN p END), p -> p IS NOT NULL)"""
+    each = f"""transform(slice(ordered, r + 1, coalesce(get(runs, k + 1), size(ordered)) - r),
+        (y, q) -> {entry})"""
+    return let("ordered", ordered, let(
+        "runs", runs, f"array_sort(flatten(transform(runs, (r, k) -> {each})))"))
 
 
 def mapping_of(numbered_: str) -> str:

@@ -137,13 +137,16 @@ def merge_spans(spans: str) -> str:
             THEN named_struct('done', acc.done, 'kept', x)
           ELSE acc END,
         acc -> concat(acc.done, array(acc.kept)))"""
-    cluster = "slice(ordered, a + 1, coalesce(get(starts, n + 1), size(ordered)) - a)"
-    decided = let("c", cluster, f"CASE WHEN size(c) = 1 THEN c ELSE {fold} END")
+    length = "(coalesce(get(starts, n + 1), size(ordered)) - a)"
+    decided = f"""CASE WHEN {length} = 1 THEN array(get(ordered, a))
+      ELSE {let("c", f"slice(ordered, a + 1, {length})", fold)} END"""
+    apart = "size(starts) = size(ordered)"  # nothing overlaps
     tops = "transform(cut, q -> array_max(transform(q, y -> y.end_idx)))"
     merged = let("ordered", f"array_sort({spans})", let(
         "cut", slices("ordered", "j"), let(
             "tops", tops, let(
-                "starts", starts, f"flatten(transform(starts, (a, n) -> {decided}))"))))
+                "starts", starts, f"""CASE WHEN {apart} THEN ordered
+                    ELSE flatten(transform(starts, (a, n) -> {decided})) END"""))))
     return f"CASE WHEN size({spans}) > 1 THEN {merged} ELSE {spans} END"
 
 

@@ -29,14 +29,6 @@ class Masked(NamedTuple):
     spans: DataFrame
 
 
-def categories_of(config: MaskConfig, rules: Sequence[Rule]) -> list[str]:
-    found = [f.category for f in config.families()]
-    found += ["PERSON"] if config.on("person") else []
-    found += ["COMPANY"] if config.on("organization") else []
-    found += [r.category for r in rules]
-    return list(dict.fromkeys(found)) or ["CUSTOM"]
-
-
 def anonymize(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskConfig(),
               rules: Sequence[Rule] = (), entities: EntityConfig = EntityConfig()) -> DataFrame:
     """Mask each text on its own. Adds ``masked``, ``mapping``, ``spans`` and
@@ -53,7 +45,7 @@ def anonymize(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskCo
     runs = keyed.select("*", F.expr(S.key_runs("_keys")).alias("_runs"))
     firsts = runs.select("*", F.expr(P.entries("spans", "_keys", "_runs")).alias("_entries"))
     numbered = firsts.select("*", F.expr(
-        P.numbered("_entries", categories_of(config, rules), style)).alias("_numbered"))
+        P.numbered("_entries", style)).alias("_numbered"))
     placed = numbered.select(
         "*", F.expr(P.mapping_of("_numbered")).alias("mapping"),
         F.expr(P.pieces_of("_numbered", "_keys", "spans")).alias("_pieces"),

@@ -286,6 +286,17 @@ def test_long_documents_are_read_in_parts(monkeypatch, chunk):
             assert all(name is None or a == b for name, a, b in zip(names, row, want[d])), d
 
 
+def test_contents_are_told_apart_by_all_bits():
+    one = np.array([1, 1], np.uint64)
+    content = np.array([5, 5 + (1 << 50)], np.uint64)
+    groups = repeats.Groups(np.array([0, 1]), np.array([0, 0]), np.array([1, 1]), one, content, one)
+    rule = repeats.Rule(2, lambda raws: (np.arange(4), np.array([0, 2, 4])), lambda units, bounds: groups, len, None, None)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([b"ab", b"cd"])], names=["doc_id", "text"])
+    sent = pd.concat([b.to_pandas() for b in repeats._sender(rule, 1, 1, None)(iter([batch]))])
+    found = repeats._settle(1, 1)((0,), sent)
+    assert len(found) and all(found["open"])  # neither came before
+
+
 def test_spark_hash(spark):
     ids = [0, 1, -1, 2**62, -(2**63), 12345678901]
     want = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").select(F.xxhash64("x")).collect()]

@@ -16,8 +16,8 @@ so a sequence of n units is a few n/30 or n/5 groups instead of n windows.
    anchor content, which compares window by window (``settle_windows``), and they
    are done when those findings return (``finish``).
 
-Equal windows have equal anchors, so none is missed; fingerprints are 64 bits
-of the anchor and 64 of the content together. Records travel packed: a row of
+Equal windows have equal anchors, so none is missed; groups are told apart by
+64 bits of the anchor and 64 of the content. Records travel packed: a row of
 the exchange holds all records that one chunk of texts has for one bucket. A
 chunk settles its own repeats first, so what a hot passage sends to its bucket
 is a record for each chunk, not for each document; settled records go by
@@ -121,7 +121,7 @@ class Rule:
     kept: Callable[[bytes, np.ndarray | None], bytes]
 
 
-_GROUP = [("key", "<u8"), ("content", "<u4"), ("more", "u1"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
+_GROUP = [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
 _FINDING = [("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
 _OPEN = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8")]
 _PIECE = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8"), ("size", "<u4")]
@@ -203,7 +203,7 @@ def _sender(rule: Rule, buckets: int, homes: int, splitters: np.ndarray | None,
                 within = buckets // ranges
                 bucket = np.searchsorted(splitters, g.lead, side="right") * within + (g.key % U(within)).astype(np.int64)
             bucket = np.where(again, buckets + np.mod(spark_hash(ids), homes), bucket)
-            columns = {"key": g.key, "content": g.content, "more": g.content >> U(32), "doc": ids, "start": start, "n": g.n}
+            columns = {"key": g.key, "content": g.content, "doc": ids, "start": start, "n": g.n}
             out = list(_packed_rows(_GROUP, columns, bucket))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], schema=_BUCKETS)
@@ -242,7 +242,6 @@ def _settle(buckets: int, homes: int) -> Callable:
         r = unpack(_GROUP, list(rows["payload"]))
         if key[0] >= buckets:  # settled in its chunk
             return _by_home(r, homes)
-        r["content"] = r.pop("content").astype(np.int64) << 8 | r.pop("more")
         order = np.lexsort((r["start"], r["doc"], r["content"], r["key"]))
         r = {name: c[order] for name, c in r.items()}
         content, anchor = _runs(r["key"], r["content"]), _runs(r["key"])

@@ -254,6 +254,36 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, n, vocabulary, buck
             assert all(name is None or got[d][name] == v for name, v in zip(names, w)), d
 
 
+@pytest.mark.parametrize("module,plain,names", REPEATS)
+def test_crowded_anchors_spread_and_equal_brute_force(spark, monkeypatch, module, plain, names):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    near = [[word() for _ in range(12)] for _ in range(3)]  # surroundings that come again
+    docs = [(i, " ".join([word() for _ in range(30)] + rng.choice(near) + passage + rng.choice(near) + [word() for _ in range(30)])) for i in range(90)]
+    docs += varied(12, 40, 60)[:-3]
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 4000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    splitters = suffixes.splitters if module is suffixes else None
+    want = plain(docs)
+    for crowd in (1, 4):
+        got = {r.doc_id: r for r in repeats.find_repeats(frame, module.RULE, splitters, crowd).collect()}
+        for d, w in want.items():
+            assert (got[d].n_units, got[d].n_removed, got[d].kept_sha256) == (w[0], w[1], w[3]), d
+    # The open groups of one anchor, by hand: its windows go to more than one bucket.
+    text = [t.encode() for _, t in docs[:90]]
+    units, bounds = module.RULE.units(text)
+    g = module.RULE.groups(units, bounds)
+    keys, counts = np.unique(g.key, return_counts=True)
+    at = np.flatnonzero(g.key == keys[counts.argmax()])
+    opened = {"doc": g.doc[at], "start": g.start[at], "n": g.n[at], "key": g.key[at]}
+    found = pd.DataFrame({"home": [0], "open": [2], "payload": [repeats.pack(repeats._OPEN, opened, np.arange(len(at)))]})
+    step = repeats._cover(module.RULE, 50)((0,), pd.DataFrame({"doc_id": range(90), "text": text}), found)
+    buckets = step["bucket"].dropna()
+    assert buckets.nunique() > 3 and (buckets < 0).all()
+
+
 def by_hand(docs, rule, n=3):
     """The steps of ``find_repeats`` without Spark."""
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([(t or "").encode() for _, t in docs], pa.binary())], names=["doc_id", "text"])

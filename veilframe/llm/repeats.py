@@ -14,7 +14,10 @@ so a sequence of n units is a few n/30 or n/5 groups instead of n windows.
 3. ``cover``: findings return to their documents. Documents without open groups
    are done. Of others the text of each open group goes to the bucket of its
    anchor content, which compares window by window (``settle_windows``), and they
-   are done when those findings return (``finish``).
+   are done when those findings return (``finish``). Where an anchor stands in
+   more than ``CROWD`` contents, the windows of its groups are hashed with their
+   documents and each goes to the bucket of its own fingerprint, of 128 bits; those
+   that a task has several times go once.
 
 Equal windows have equal anchors, so none is missed; groups are told apart by
 64 bits of the anchor and 64 of the content. Records travel packed: a row of
@@ -47,6 +50,11 @@ BUCKET_BYTES = 12_000_000
 #: that divide each range by the anchor's fingerprint.
 RANGES = 4096
 
+#: Contents of an anchor beyond which its open groups do not meet in one bucket: a limit on what a task has of an anchor.
+CROWD = 10_000
+#: Windows of such groups that are hashed at a time.
+CROWD_WINDOWS = 1_000_000
+
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BACK = U(pow(int(_BASE), -1, 1 << 64))
@@ -124,11 +132,13 @@ class Rule:
 _GROUP = [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
 _FINDING = [("doc", "<i8"), ("start", "<u4"), ("n", "u1")]
 _OPEN = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8")]
+_WINDOW = [("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<u4")]
 _PIECE = [("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("key", "<u8"), ("size", "<u4")]
 
 
 def pack(layout: list[tuple[str, str]], columns: dict[str, np.ndarray], at: np.ndarray) -> bytes:
-    return b"".join(columns[name][at].astype(kind).tobytes() for name, kind in layout)
+    """The columns byte plane by byte plane: of ids and places most planes hold one value, which the exchange compresses away."""
+    return b"".join(columns[name][at].astype(kind).view(np.uint8).reshape(len(at), -1).T.tobytes() for name, kind in layout if len(at))
 
 
 def unpack(layout: list[tuple[str, str]], blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -137,8 +147,9 @@ def unpack(layout: list[tuple[str, str]], blobs: list[bytes]) -> dict[str, np.nd
     for blob in blobs:
         n, at = len(blob) // width, 0
         for name, kind in layout:
-            parts[name].append(np.frombuffer(blob, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+            size = np.dtype(kind).itemsize
+            parts[name].append(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
+            at += n * size
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros(0, kind) for name, kind in layout}
 
 
@@ -225,8 +236,8 @@ def _first(new: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [c[new][run] for c in columns]
 
 
-def _by_home(columns: dict[str, np.ndarray], homes: int, opened: bool = False) -> pd.DataFrame:
-    """The findings packed by the home of their document."""
+def _by_home(columns: dict[str, np.ndarray], homes: int, opened: int = 0) -> pd.DataFrame:
+    """The findings packed by the home of their document; ``opened`` is 1 for open groups, 2 for those of a crowded anchor."""
     rows = list(_packed_rows(_OPEN if opened else _FINDING, columns, np.mod(spark_hash(columns["doc"]), homes)))
     return pd.DataFrame({
         "home": np.array([h for h, _ in rows], np.int32), "open": np.full(len(rows), opened),
@@ -234,10 +245,10 @@ def _by_home(columns: dict[str, np.ndarray], homes: int, opened: bool = False) -
     })
 
 
-FOUND = "home int, open boolean, payload binary"
+FOUND = "home int, open int, payload binary"
 
 
-def _settle(buckets: int, homes: int) -> Callable:
+def _settle(buckets: int, homes: int, crowd: int = CROWD) -> Callable:
     def run(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         r = unpack(_GROUP, list(rows["payload"]))
         if key[0] >= buckets:  # settled in its chunk
@@ -249,9 +260,9 @@ def _settle(buckets: int, homes: int) -> Callable:
         again = (r["doc"] != doc) | (r["start"] != start)
         contents = np.bincount(np.cumsum(anchor) - 1, content)[np.cumsum(anchor) - 1] if len(content) else np.zeros(0)
         # Rows that share an id may be first together; they are open together too.
-        opened = ~again & (contents > 1)
+        opened, crowded = ~again & (contents > 1) & (contents <= crowd), ~again & (contents > max(1, crowd))
         part = lambda at: {name: c[at] for name, c in r.items()}
-        return pd.concat([_by_home(part(again), homes), _by_home(part(opened), homes, True)])
+        return pd.concat([_by_home(part(again), homes), _by_home(part(opened), homes, 1), _by_home(part(crowded), homes, 2)])
 
     return run
 
@@ -273,25 +284,60 @@ def _unpacked_pieces(payload: bytes) -> tuple[dict[str, np.ndarray], list[bytes]
     return columns, [blob[a:b] for a, b in zip([end, *cuts], cuts, strict=False)]
 
 
+def _expanded(columns: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of groups whose units begin at the bounds: the group, the first unit, the document and the start."""
+    n = columns["n"].astype(np.int64)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    group = np.repeat(np.arange(len(n)), n)
+    return group, bounds[:-1][group] + inside, columns["doc"][group], columns["start"].astype(np.int64)[group] + inside
+
+
+def _in_runs(doc: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+    """Single windows as findings of consecutive ones."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order].astype(np.int64)
+    once = _runs(doc, start)
+    doc, start = doc[once], start[once]
+    new = _runs(doc, start - np.arange(len(start)))
+    place = np.arange(len(start))
+    new |= (place - _first(new, place)[0]) % 255 == 0
+    return {"doc": doc[new], "start": start[new], "n": np.diff(np.append(np.flatnonzero(new), len(start)))}
+
+
+def _compared(r: dict[str, np.ndarray], *names: str) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Of windows that are equal where the columns are, the first of each, and the findings for the others."""
+    order = np.lexsort((r["start"], r["doc"], *(r[name] for name in names)))
+    r = {name: c[order] for name, c in r.items()}
+    new = _runs(*(r[name] for name in names))
+    doc, start = _first(new, r["doc"], r["start"])
+    again = (r["doc"] != doc) | (r["start"] != start)
+    return {name: c[new] for name, c in r.items()}, _in_runs(r["doc"][again], r["start"][again])
+
+
+def _windows(rule: Rule, columns: dict[str, np.ndarray], pieces: list[bytes]) -> dict[str, np.ndarray]:
+    """The windows of groups with two fingerprints each."""
+    units, bounds = rule.units(pieces)
+    _, at, doc, start = _expanded(columns, bounds)
+    one, two = (Hashes(u).of(at, at + rule.window) for u in (units, mixed(units.astype(U) + _BASE)))
+    return {"one": one, "two": two, "doc": doc, "start": start}
+
+
 def _settle_windows(rule: Rule, homes: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] < 0:  # windows of crowded anchors
+            _, again = _compared(unpack(_WINDOW, list(rows["payload"])), "two", "one")
+            return _by_home(again, homes)
         parts = {"key": [], "content": [], "doc": [], "start": []}
         for payload in rows["payload"]:
             columns, pieces = _unpacked_pieces(payload)
             units, bounds = rule.units(pieces)
-            n = columns["n"].astype(np.int64)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(bounds[:-1], n) + inside
+            group, at, doc, start = _expanded(columns, bounds)
             parts["content"].append(Hashes(units).of(at, at + rule.window))
-            parts["key"].append(np.repeat(columns["key"], n))
-            parts["doc"].append(np.repeat(columns["doc"], n))
-            parts["start"].append(np.repeat(columns["start"].astype(np.int64), n) + inside)
-        r = {name: np.concatenate(c) for name, c in parts.items()}
-        order = np.lexsort((r["start"], r["doc"], r["content"], r["key"]))
-        r = {name: c[order] for name, c in r.items()}
-        doc, start = _first(_runs(r["key"], r["content"]), r["doc"], r["start"])
-        at = (r["doc"] != doc) | (r["start"] != start)
-        return _by_home({"doc": r["doc"][at], "start": r["start"][at], "n": np.ones(at.sum(), np.uint8)}, homes)
+            parts["key"].append(columns["key"][group])
+            parts["doc"].append(doc)
+            parts["start"].append(start)
+        _, again = _compared({name: np.concatenate(c) for name, c in parts.items()}, "content", "key")
+        return _by_home(again, homes)
 
     return run
 
@@ -335,9 +381,10 @@ def _frame(rows: list[dict], like: str) -> pd.DataFrame:
 
 def _cover(rule: Rule, buckets: int) -> Callable:
     def run(key: tuple[int], docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        by_doc = _by_doc(list(found["payload"][~found["open"].astype(bool)]))
-        opened = _by_doc(list(found["payload"][found["open"].astype(bool)]), _OPEN)
+        by_doc = _by_doc(list(found["payload"][found["open"] == 0]))
+        opened, crowded = (_by_doc(list(found["payload"][found["open"] == kind]), _OPEN) for kind in (1, 2))
         out, waiting, pieces, size = [], [], [], 0
+        crowd, crowd_pieces, windows = [], [], 0
 
         def send() -> None:
             nonlocal waiting, pieces, size
@@ -348,25 +395,53 @@ def _cover(rule: Rule, buckets: int) -> Callable:
                 out.extend({**_EMPTY, "bucket": b, "payload": p} for b, p in rows)
             waiting, pieces, size = [], [], 0
 
+        def send_crowd() -> None:
+            nonlocal crowd, crowd_pieces, windows
+            if crowd:
+                columns = {name: np.concatenate([c[name] for c in crowd]) for name, _ in _OPEN}
+                first, again = _compared(_windows(rule, columns, crowd_pieces), "two", "one")
+                rows = _packed_rows(_WINDOW, first, -1 - (first["one"] % U(buckets)).astype(np.int64))
+                out.extend({**_EMPTY, "bucket": b, "payload": p} for b, p in rows)
+                if len(again["doc"]):  # what came before in this task
+                    out.append({**_EMPTY, "home": int(key[0]), "payload": pack(_FINDING, again, np.arange(len(again["doc"])))})
+            crowd, crowd_pieces, windows = [], [], 0
+
+        def fitting(groups: dict[str, np.ndarray] | None, length: int) -> dict[str, np.ndarray] | None:
+            """The groups without those that another text of the same id has."""
+            if groups is None:
+                return None
+            inside = groups["start"].astype(np.int64) + groups["n"] + rule.window - 1 <= length
+            return {name: c[inside] for name, c in groups.items()} if inside.any() else None
+
+        def texts(raw: bytes, groups: dict[str, np.ndarray]) -> list[bytes]:
+            start = groups["start"].astype(np.int64)
+            return rule.pieces(raw, start.tolist(), (start + groups["n"] + rule.window - 1).tolist())
+
         for doc, raw in zip(docs["doc_id"], docs["text"], strict=True):
             doc = None if doc is None or pd.isna(doc) else int(doc)
-            f, o, length = by_doc.get(doc), opened.get(doc), rule.count(raw)
+            f, length = by_doc.get(doc), rule.count(raw)
             covered = _covered(length, f["start"], f["n"], rule.window) if f is not None and length else None
-            if o is not None:  # what another text of the same id has is not here
-                inside = o["start"].astype(np.int64) + o["n"] + rule.window - 1 <= length
-                o = {name: c[inside] for name, c in o.items()} if inside.any() else None
-            if o is None:
+            o, c = fitting(opened.get(doc), length), fitting(crowded.get(doc), length)
+            if o is None and c is None:
                 out.append({**_EMPTY, **_done(rule, doc, raw, length, covered)})
                 continue
-            start = o["start"].astype(np.int64)
-            waiting.append(o)
-            pieces += rule.pieces(raw, start.tolist(), (start + o["n"] + rule.window - 1).tolist())
-            size += len(raw)
+            if o is not None:
+                waiting.append(o)
+                pieces += texts(raw, o)
+                size += len(raw)
+            for at in range(0, len(c["n"]) if c is not None else 0, 10_000):
+                part = {name: x[at : at + 10_000] for name, x in c.items()}
+                crowd.append(part)
+                crowd_pieces += texts(raw, part)
+                windows += int(part["n"].sum())
+                if windows > CROWD_WINDOWS:
+                    send_crowd()
             bits = b"" if covered is None else np.packbits(covered).tobytes()
             out.append({**_EMPTY, "doc_id": doc, "home": int(key[0]), "text": zlib.compress(raw, 1), "covered": bits})
             if size > 8 * CHUNK_BYTES:
                 send()
         send()
+        send_crowd()
         return _frame(out, STEP)
 
     return run
@@ -397,7 +472,7 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
 
 
-def find_repeats(docs: DataFrame, rule: Rule, splitters: Callable[[DataFrame, int], np.ndarray] | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, rule: Rule, splitters: Callable[[DataFrame, int], np.ndarray] | None = None, crowd: int = CROWD) -> DataFrame:
     """Per document: ``n_units``, ``n_removed``, ``n_spans`` and the digest of what is kept."""
     docs = prepared(docs)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -406,11 +481,12 @@ def find_repeats(docs: DataFrame, rule: Rule, splitters: Callable[[DataFrame, in
     buckets = ranges * -(-n // ranges)
     points = splitters(docs, ranges) if splitters else None
     sent = docs.mapInArrow(_sender(rule, buckets, n, points, ranges), "bucket int, payload binary")
-    found = sent.groupBy("bucket").applyInPandas(_settle(buckets, n), FOUND)
+    found = sent.groupBy("bucket").applyInPandas(_settle(buckets, n, crowd), FOUND)
     placed = docs.withColumn("home", home(n))
     step = cut(placed.groupBy("home").cogroup(found.groupBy("home")).applyInPandas(_cover(rule, n), STEP))
-    windows = step.filter("payload is not null").select("bucket", "payload")
-    late = windows.groupBy("bucket").applyInPandas(_settle_windows(rule, n), FOUND)
+    windows = step.filter("bucket is not null").select("bucket", "payload")
+    own = step.filter("bucket is null and payload is not null").select("home", F.lit(0).alias("open"), "payload")
+    late = windows.groupBy("bucket").applyInPandas(_settle_windows(rule, n), FOUND).unionAll(own)
     open_ = step.filter("text is not null").select("home", "doc_id", "text", "covered")
     rest = open_.groupBy("home").cogroup(late.groupBy("home")).applyInPandas(_finish(rule), DONE)
     names = [c.split(" ")[0] for c in DONE.split(", ")]

@@ -352,6 +352,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_from_80_percent_on(spark):
+    docs, want = [], set()
+    for k, share in enumerate((0.78, 0.8, 0.81, 0.83, 0.845, 0.86)):
+        words = [f"w{k}x{i}" for i in range(1004)]  # 1000 shingles, of which the copy has so many that the share is met
+        both = -(-round(2000 * share * 1000) // (1000 + round(share * 1000)))
+        copy = words[: both + 4] + [f"y{k}x{i}" for i in range(1000 - both)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} | ({2 * k + 1} if share < 0.8 else set())
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)
+    assert {r.doc_id for r in neardup.find_groups(frame, 80).filter("kept").collect()} == want
+    assert sum(r.kept for r in neardup.query(frame).collect()) == 11  # the query has 85
+
+
 def test_deduplication_of_odd_rows(odd, nothing):
     for query in (neardup.query, recompression.query, suffixes.query):
         rows = query(odd).collect()

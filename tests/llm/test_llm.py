@@ -145,6 +145,25 @@ def test_disguised_personal_data_maps_to_the_source():
         assert pii.find(clean) == ([], [])
 
 
+def test_spoken_at_before_a_dotted_domain():
+    for text, want in {
+        "ask jane.doe at example.com now": "jane.doe at example.com", "jane_doe7 at mail.example.org.": "jane_doe7 at mail.example.org",
+        "or mary-jane arroba example.es": "mary-jane arroba example.es", "mail: jane at example.com": "jane at example.com",
+        "contact jane at example.com, please": "jane at example.com", "JANE.DOE AT EXAMPLE.COM": "JANE.DOE AT EXAMPLE.COM",
+    }.items():
+        base, added = pii.find(text)
+        assert not base and [(k, text[a:b]) for k, a, b in added] == [("email", want)], text
+        assert pii.masked(text) == text.replace(want, "[EMAIL]")
+    for clean in (
+        "look at example.com", "contact us at example.com", "the 5th at example.com", "COVID-19 at who.int", "version 2.0 at example.com",
+        "we met at noon.Then we left", "jane.doe at home", "see a.b at c.1",
+    ):
+        assert pii.find(clean) == ([], []), clean
+    big = "a.b at c.de " * 100_000
+    start = time.time()
+    assert len(pii.find(big)[1]) == 100_000 and time.time() - start < 20
+
+
 def test_personal_data_is_linear():
     for big in ("a" * 10**6, "1" * 10**6, "1." * 500_000, "one " * 200_000, "@" * 500_000, "a at " * 200_000, "[at] " * 100_000, "+1 " * 200_000):
         start = time.time()

@@ -3,7 +3,9 @@
 Plain data is found by four patterns. For disguised data a text passes through
 transducers that rewrite it piece by piece and keep, for every character they
 emit, the source characters it stands for: look-alike letters, wide forms and
-zero-width characters; spelled digits; at and dot in words or brackets. The
+zero-width characters; spelled digits; at and dot in words or brackets. A lone
+"at" before a domain with plain dots is read where what stands before it is no
+prose (``_named``); "jane at example.com" without a cue stays out. The
 patterns run again on the rewritten text, and what they find there, if it holds
 a rewritten piece and meets no plain find of its kind, is mapped back.
 
@@ -122,6 +124,26 @@ _SAID_DOT = re.compile(rf"(?<=[0-9])[\x20\t]+(?:{_DOT})[\x20\t]+(?=[0-9])", re.I
 _SAID_PLUS = re.compile(r"(?<!\w)plus[\x20\t]+(?=[0-9])", re.I)
 
 
+#: Before a local part that might be prose; and what such words stand before in prose.
+_CUE = re.compile(r"(?<!\w)(?:e-?mail|mail|mailto|contact|kontakt|courriel|correo)(?:[\x20\t]*:[\x20\t]*|[\x20\t]+)$", re.I)
+_NO_NAME = frozenset("me us them him her you it one all someone anyone address addresses form forms page pages details list server desk here".split())
+_NTH = re.compile(r"[0-9]+(?:st|nd|rd|th)", re.I)
+_ZONE = re.compile(r"\.[A-Za-z]{2,}$")
+
+
+def _named(local: str, domain: str, before: str) -> bool:
+    """Whether ``local at domain`` is an address: the local part has a letter and a dot, digit,
+    underscore or hyphen inside, or a cue before it. No address are ordinals and names in capitals
+    ("COVID-19 at who.int") unless the domain is in capitals too."""
+    if not _ZONE.search(domain):
+        return False
+    if _CUE.search(before):
+        return local.lower() not in _NO_NAME
+    if not re.search("[._0-9-]", local.strip("-")) or not re.search("[A-Za-z]", local) or _NTH.fullmatch(local):
+        return False
+    return local != local.upper() or domain == domain.upper()
+
+
 def _wide(c: str) -> str | None:
     """The ASCII form of a wide or other decimal character, or None."""
     if c.isdecimal():
@@ -196,8 +218,10 @@ def read_signs(tape: Tape) -> None:
     pieces = []
     for m in _SAID.finditer(tape.text):
         spaced = list(_SPACED.finditer(tape.text, m.start(), m.end()))
-        # "at" alone between words with a full stop is prose; with a spoken dot it is an address.
-        if any(re.fullmatch(rf"\s+(?:{_DOT})\s+", s.group(), re.I) for s in spaced) and len([s for s in spaced if re.fullmatch(rf"\s+(?:{_AT})\s+", s.group(), re.I)]) <= 1:
+        ats = [s for s in spaced if re.fullmatch(rf"\s+(?:{_AT})\s+", s.group(), re.I)]
+        # With a spoken dot it is an address; "at" alone between words with a full stop may be prose.
+        named = len(spaced) == 1 and ats and _named(tape.text[m.start() : m.start("at")], tape.text[m.end("at") : m.end()], tape.text[max(0, m.start() - 16) : m.start()])
+        if named or len(spaced) > len(ats) and len(ats) <= 1:
             pieces += [(*s.span(), "@" if re.fullmatch(rf"\s+(?:{_AT})\s+", s.group(), re.I) else ".") for s in spaced]
     tape.rewrite(pieces)
     tape.rewrite([(*m.span(), ".") for m in _SAID_DOT.finditer(tape.text)])
@@ -206,7 +230,7 @@ def read_signs(tape: Tape) -> None:
 
 TRANSDUCERS = (fold_letters, read_digits, read_signs)
 #: Without any of these no transducer rewrites anything.
-_HINT = re.compile(rf"[^\x00-ɏ]|­|{_OPEN}[\x20\t]*(?:{_AT}|@|a|\.|{_DOT})[\x20\t]*{_CLOSE}|(?<!\w)(?:{_DOT}|plus)(?!\w)", re.I)
+_HINT = re.compile(rf"[^\x00-ɏ]|­|{_OPEN}[\x20\t]*(?:{_AT}|@|a|\.|{_DOT})[\x20\t]*{_CLOSE}|(?<!\w)(?:{_DOT}|plus)(?!\w)|[\x20\t](?:{_AT})[\x20\t]+{_LABEL}\.[A-Za-z0-9]", re.I)
 _SIGNS = re.compile(rf"[\[({{<]|(?<!\w)(?:{_DOT}|plus)(?!\w)", re.I)
 _THREE = re.compile(rf"(?<!\w){_WORD_DIGIT}[\x20\t]*+[-,]?+[\x20\t]*+{_WORD_DIGIT}(?!\w)", re.I)
 

@@ -223,6 +223,17 @@ def test_leaks_equal_brute_force(spark, odd, nothing):
     assert leaks.find_leaks(nothing, table).count() == 0 and leaks.find_leaks(odd, table.limit(0)).count() == 0
 
 
+def test_items_without_an_id_or_with_the_same(spark):
+    a, b, c = ("what is the height of the tower %s in metres above the sea" % w for w in ("alpha", "of beta town", "gamma"))
+    docs = spark.createDataFrame([(1, f"x {a} y {b}"), (2, f"so {c}"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a), (7, b), (None, c), (None, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.start, r.end) for r in leaks.find_leaks(docs, items).collect()}
+    at = 2 + len(a) + 3
+    exact = {(1, 7, 0, 2, 2 + len(a)), (1, 7, 0, at, at + len(b)), (2, None, 0, 3, 3 + len(c))}
+    assert exact == {r for r in got if r[2] == 0}
+    assert {r.doc_id for r in leaks.without_leaks(docs, items).collect()} == {3}
+
+
 def varied(seed, n, vocabulary):
     """Documents with shared passages, repeats, runs and near copies."""
     rng = random.Random(seed)

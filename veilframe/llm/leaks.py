@@ -11,7 +11,8 @@ The items are the query set: they are taken to the driver in blocks of bounded
 characters, one after the other, and each block runs against all documents,
 which stay where they are. Nothing is shuffled and no pair is emitted but leaks.
 
-Defined cases: null and blank items are no items; items shorter than
+Defined cases: items of null or blank text are no items; one with a null id is
+reported with it, and texts under one id each by themselves; items shorter than
 ``min_chars`` after folding are matched exactly as long as they have a letter;
 null texts have no leaks; null ids and repeated rows each have their own
 result rows; empty tables give an empty one; further columns are not looked at.
@@ -102,10 +103,10 @@ def myers(item: str, window: str, most: int, masks: dict[str, int]) -> tuple[int
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int) -> None:
         self.items, self.masks, self.most = [], [], []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item_id, text in items:
+        for item_id, text in items:  # items are told apart by their place: ids may repeat or be null
             errors = int(rate * len(text)) if len(text) >= min_chars else 0
             masks: dict[str, int] = defaultdict(int)
             for i, c in enumerate(text):
@@ -122,7 +123,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """By item its least distance and the end of its first such place in the folded text."""
+        """By the place of an item in the block its least distance and the end of its first such place in the folded text."""
         if not self.items:
             return {}
         wanted: dict[int, set[int]] = defaultdict(set)
@@ -131,7 +132,7 @@ class Matcher:
                 wanted[k].add(end + 1 - length - at)  # where the item would begin
         out = {}
         for k, begins in wanted.items():
-            item_id, item = self.items[k]
+            item = self.items[k][1]
             most, found, seen = self.most[k], None, -1
             for begin in sorted(begins):
                 low, high = max(0, begin - most), begin + len(item) + most
@@ -146,7 +147,7 @@ class Matcher:
                     if hit[0] == 0:
                         break
             if found:
-                out[item_id] = found
+                out[k] = found
         return out
 
     @staticmethod
@@ -166,9 +167,9 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance"
 _made: dict[str, Matcher] = {}
 
 
-def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items, at most ``block_chars`` characters of them on the driver at a time."""
-    rows = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    rows = items.filter("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     block, size = [], 0
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
         folded = fold(text)
@@ -237,10 +238,10 @@ def _matcher(shared: Broadcast, key: str, rate: float, min_chars: int) -> Matche
 def _placed(doc_id: int | None, text: str, hits: dict[int, tuple[int, int]], matcher: Matcher) -> list[dict]:
     """The result rows of a document; the start comes from matching the reversed item backwards."""
     folded, source = folded_offsets(text)
-    items = dict(matcher.items)
     out = []
-    for item_id, (distance, end) in hits.items():
-        item = items[item_id][::-1]
+    for k, (distance, end) in hits.items():
+        item_id, text = matcher.items[k]
+        item = text[::-1]
         masks: dict[str, int] = defaultdict(int)
         for i, c in enumerate(item):
             masks[c] |= 1 << i

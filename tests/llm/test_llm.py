@@ -473,6 +473,13 @@ def test_reading_html():
         assert time.time() - start < 20
 
 
+def test_a_head_without_end_tags():
+    texts = lambda page: [n.text for n in parse(page) if n.leaf]
+    assert texts("<html><head><title>T</title><meta charset=x><style>a</style><article><p>One</p></article>") == ["One"]
+    assert texts("<html><head><title>T</title> Two <b>three</b>") == ["Two three"]
+    assert texts("<html><head><title>T</title><template><p>no</p></template></head><body><p>Four</p></body>") == ["Four"]
+
+
 def test_toxicity_on_held_out_rows():
     rng = random.Random(9)
     syllables = ["th", "er", "an", "on", "in", "re", "ed", "nd", "ti", "es", "or"]

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template svg math canvas iframe object video audio head title select option textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: What can stand in a head; any other element, or text, ends it.
+HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym".split()
@@ -87,6 +89,8 @@ def parse(page: str) -> list[Node]:
 
     def add_text(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            close("head")
         if text and not dropped:
             text = html.unescape(text)
             run.append(text)
@@ -117,6 +121,8 @@ def parse(page: str) -> list[Node]:
             if opened.get(tag, 0) and not (tag not in ("table", "body", "html") and opened.get("table", 0) and _behind_table(stack, tag)):
                 close(tag)
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD:
+            close("head")
         if tag == "br":
             add_text(" ")
         if tag in VOID:

@@ -4,8 +4,8 @@ Suffixes are sampled where it is sure to be enough: of the 32-byte beginnings in
 a 100-byte string, the one of least hash is its anchor, so equal strings keep
 the same suffixes. About one suffix in 35 bytes is left. The suffixes are
 range-partitioned by their leading bytes at splitters taken from a sample of
-the corpus; each bucket sorts its suffixes key by key (leading bytes, content,
-document, place) and compares neighbours; ranges are cut between different
+the corpus; the suffixes themselves are not sorted: each bucket sorts by hash of
+the beginning, hash of the content, document and place, and compares neighbours; ranges are cut between different
 beginnings only, so suffixes with an equal beginning meet in one bucket. See
 ``repeats`` for how neighbours become removed bytes.
 

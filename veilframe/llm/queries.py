@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import chats, extraction, leaks, mixing, neardup, pii, quality, recompression, suffixes, toxicity
+from veilframe.llm import chats, extraction, leaks, mixing, neardup, pii, quality, recompression, repairs, suffixes, toxicity, tries, urlrules
 from veilframe.llm.common import table
 
 #: name: (query of (spark, sf_dir), DuckDB statement or None)
@@ -19,4 +19,7 @@ CATALOG = {
     "op8_substring_dedup": (lambda spark, d: recompression.query(table(spark, d, "documents")), recompression.SQL),
     "op9_suffix_array_dedup": (lambda spark, d: suffixes.query(table(spark, d, "documents")), None),
     "op10_toxicity": (lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")), None),
+    "op11_url_filters": (lambda spark, d: urlrules.query(table(spark, d, "pages")), None),
+    "op12_prefix_trie": (lambda spark, d: tries.query(table(spark, d, "conversations")), tries.SQL),
+    "op13_structure_repair": (lambda spark, d: repairs.query(table(spark, d, "conversations")), None),
 }

@@ -43,8 +43,8 @@ from veilframe.llm.order import stored
 LISTED = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
 #: Least share and least number of labelled URLs that a rule holds for with its verdict, and least share of those with its tokens.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.002, 10, 0.9
-MAX_LABELLED, MAX_ITEMS, WIDTH, MAX_RULES = 200_000, 2_000, 10, 10_000
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.005, 10, 0.9
+MAX_LABELLED, MAX_ITEMS, WIDTH, MAX_RULES = 200_000, 2_000, 8, 10_000
 DEFAULT = "allow"
 _VERDICT = "verdict="
 
@@ -131,7 +131,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     n = baskets.count()
     if n < min_count:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence, numPartitions=int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     verdict = F.col("consequent")[0]
     found = model.associationRules.filter(verdict.startswith(_VERDICT)).select(
         F.array_sort("antecedent").alias("items"), F.substring_index(verdict, "=", -1).alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))

@@ -140,6 +140,56 @@ def test_round_trip_with_responder(spark):
     assert raw[1, 0].sent == "Admin z@b.example" and raw[1, 1].sent == "I am [EMAIL_1]"
 
 
+ODD_TURNS = [
+    (None, 0, "user", "mail c@d.example now"), (None, None, "user", "then E@d.example"), (2, None, "user", "mail e@f.example now"),
+    (2, 1, "user", "x a@b.example"), (2, 1, "user", "longer text g@h.example here"), (2, 1, "user", "x a@b.example"),
+    (None, 1, None, "c@d.example again"), (3, 1, "user", None), (3, 2, "user", ""), (3, 2, "user", "none"),
+]
+
+
+def _odd_masked_plainly():
+    """Texts of a scope in order of item (null first) and hash, equal rows once for the mapping."""
+    import hashlib
+    masked = {}
+    for scope in {t[0] for t in ODD_TURNS}:
+        digest = lambda text: hashlib.md5(text.encode()).digest()
+        texts = sorted(((t[1] is not None, t[1] or 0, digest(t[3]), t[3]) for t in ODD_TURNS if t[0] == scope and t[3] is not None))
+        spans = [plain.merge(plain.pattern_spans(x[3])) for x in texts]
+        mapping = plain.mapping_of([s for each in spans for s in each])
+        for x, own in zip(texts, spans):
+            masked[scope, x[1] if x[0] else None, x[3]] = plain.splice(x[3], own, mapping)
+    return masked
+
+
+def test_null_and_tied_keys_are_masked(spark):
+    df = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string").repartition(4)
+    want = _odd_masked_plainly()
+    for parts in (1, 8):
+        got = M.anonymize_many(df, "conv_id", "turn", config=PATTERNS_ONLY, parts=parts)
+        rows_ = got.texts.collect()
+        assert len(rows_) == len(ODD_TURNS) and got.texts.columns == ["conv_id", "turn", "role", "text", "masked"]
+        for r in rows_:
+            assert r.masked == (want[r.conv_id, r.turn, r.text] if r.text is not None else None)
+            assert "@" not in (r.masked or "")
+        back = M.deanonymize(got.texts, got.mapping, "conv_id", ["conv_id", "turn"], "masked").collect()
+        assert sorted(str(r.restored).lower() for r in back) == sorted(str(t[3]).lower() for t in ODD_TURNS)
+
+
+def test_round_trip_of_null_and_tied_keys(spark):
+    df = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string")
+    got = M.round_trip(df, config=PATTERNS_ONLY).collect()
+    assert len(got) == len(ODD_TURNS) and not [r for r in got if "@" in (r.sent or "")]
+    assert sorted(str(r.restored).lower() for r in got) == sorted(str(t[3]).lower() for t in ODD_TURNS)
+
+
+def test_a_span_without_placeholder_raises(spark):
+    spans = spark.createDataFrame([(1, "a@b.example")], "conv_id int, value string")
+    mapping = spark.createDataFrame([], "conv_id int, key string, placeholder string")
+    import pytest
+    with pytest.raises(Exception, match="a span has no placeholder"):
+        M.with_placeholders(spans, mapping, "conv_id").collect()
+
+
 def test_terms(spark):
     rules = [Rule("C++", "PROJECT"), Rule("acme", "CLIENT"), Rule("Été", "CUSTOM"), Rule("IT", "INTERNAL_CODE", True)]
     got = span_rows(detect_terms(rows(spark, [

@@ -1,6 +1,6 @@
 import plain
 from pyspark.sql import functions as F
-from test_masking import PATTERNS_ONLY, _conversation_turns, _masked_plainly
+from test_masking import ODD_TURNS, PATTERNS_ONLY, _conversation_turns, _masked_plainly, _odd_masked_plainly
 from veilframe.operators import inquiries as IQ
 from veilframe.streaming.inquiries import (
     daily_inquiries, inquiry_log, inquiry_stats_stream, log_inquiries_stream,
@@ -61,6 +61,48 @@ def test_late_turn_and_repeated_batch(spark, tmp_path):
     assert counts[1, "a@x.example"] == 2 and counts[1, "c@x.example"] == 1
 
 
+def test_stream_masks_null_and_tied_keys(spark, tmp_path):
+    masker = ConversationMasker(str(tmp_path / "state"), config=PATTERNS_ONLY)
+    masker.process(spark.createDataFrame(ODD_TURNS, TURN_SCHEMA), 0)
+    want = _odd_masked_plainly()
+    got = masker.masked(spark).collect()
+    assert len(got) == len(ODD_TURNS)
+    assert all(r.masked == (want[r.conv_id, r.turn, r.text] if r.text is not None else None) for r in got)
+    again = (None, 9, "user", "C@d.example and new@d.example"), (2, 9, "user", "new@d.example")
+    masker.process(spark.createDataFrame(again, TURN_SCHEMA), 1)
+    late = {r.conv_id: r.masked for r in masker.masked(spark).where("turn = 9").collect()}
+    assert late == {None: late[None], 2: "[EMAIL_4]"} and "@" not in late[None] and late[None].endswith("[EMAIL_3]")
+
+
+def test_mapping_is_folded_and_looked_up_by_bucket(spark, tmp_path):
+    """Forty batches in runs that double: the same table as without folding, few runs, and few files read."""
+    from veilframe.streaming.store import SortedRuns
+    store = SortedRuns(str(tmp_path / "store"), ["scope", "key"], fanout=2, buckets=16, keep=3)
+    want = {}
+    for b in range(40):
+        rows = [(None if i == 0 else i % 3, f"k{b}-{i}", b * 10 + i) for i in range(5)]
+        store.append(spark.createDataFrame(rows, "scope long, key string, n long"), b)
+        if b % 10 == 5:
+            store.append(spark.createDataFrame(rows, "scope long, key string, n long"), b)  # a repeated batch
+        want |= {(s, k): n for s, k, n in rows}
+        assert len(store.manifest(spark, b)) <= 7
+    fresh = SortedRuns(str(tmp_path / "store"), ["scope", "key"], fanout=2, buckets=16, keep=3)  # after a restart
+    assert fresh.last(spark) == 39
+    assert {(r.scope, r.key): r.n for r in fresh.read(spark, 39).collect()} == want
+    wanted = spark.createDataFrame([(None, "k7-0"), (1, "k20-1"), (1, "none")], "scope long, key string")
+    found = fresh.read(spark, 39, wanted)
+    assert {(r.scope, r.key): r.n for r in found.collect()} == {(None, "k7-0"): 70, (1, "k20-1"): 201}
+    import glob
+    runs = [run for _, run in fresh.manifest(spark, 39)]
+    files = [f for run in runs for f in glob.glob(f"{tmp_path}/store/runs/run={run}/*/*.parquet")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    touched = {r[0] for r in fresh._read(spark, runs, [3]).select(F.input_file_name()).distinct().collect()}
+    assert len(touched) < len(files) / 2
+    kept = {name for name in __import__("os").listdir(tmp_path / "store" / "runs")}
+    assert len(kept) < 15 and len(__import__("os").listdir(tmp_path / "store" / "manifest")) == 3
+
+
 def _inquiry(canal="email", sender="s", text="t", time="2024-01-01 00:00:00", key=None):
     return (canal, "gmail", sender, None, text, None, time, key)
 

@@ -5,14 +5,20 @@ happens inside its row (:func:`anonymize`). When it is a conversation, only the
 spans travel: they are numbered with aggregates and joins keyed by
 ``(scope, value)``, and each text is joined back once by its own key, so neither a
 hot value nor a conversation with a third of all rows ends up in one task.
+
+No text may leave unmasked, so every join takes nulls for equal, a text is told by
+its item *and* the hash of what it says (:data:`TEXT_ID`), and a span that finds no
+placeholder ends the job. Null scopes share one mapping; texts of one item follow
+each other in the order of their hashes; repeated rows are masked alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import placeholders as P
@@ -23,6 +29,34 @@ from veilframe.operators.entities import EntityConfig
 from veilframe.sources.session import materialise
 
 
+#: what tells a text from all others of its scope, and orders them
+TEXT_ID = "_text_id"
+
+
+def identified(df: DataFrame, item: str, text_col: str) -> DataFrame:
+    """``TEXT_ID``: the item, which may be null or tied, and the MD5 of the text."""
+    return df.withColumn(TEXT_ID, F.struct(
+        F.col(item).alias("item"), F.unhex(F.md5(text_col)).alias("digest")))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null to null; the keys of ``left`` stay."""
+    other = {k: f"_other_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    joined = left.join(right.withColumnsRenamed(other), reduce(Column.__and__, same), how)
+    return joined.drop(*other.values())
+
+
+def with_placeholders(spans: DataFrame, mapping: DataFrame, scope: str) -> DataFrame:
+    """The spans with their ``key`` and ``placeholder``; one that has none raises, so that
+    nothing is written instead of an original."""
+    known = mapping.select(scope, "key", "placeholder")
+    joined = join_null_safe(spans.withColumn("key", F.lower("value")), known, [scope, "key"], "left")
+    return joined.withColumn("placeholder", F.coalesce(
+        "placeholder", F.raise_error(F.lit("a span has no placeholder")).cast("string")))
+
+
 class Masked(NamedTuple):
     texts: DataFrame
     mapping: DataFrame
@@ -102,7 +136,7 @@ def number_entries(entries: DataFrame, scope: str, style: str = "brackets",
     """
     group = [scope, "category"]
     n = parts or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keep(entries.repartitionByRange(n, *group, "item", "start_idx").withColumn(
+    ranged = keep(entries.repartitionByRange(n, *group, "item", "start_idx", "key").withColumn(
         "_range", F.spark_partition_id()), "entries-in-ranges")
     sizes = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(
@@ -111,12 +145,12 @@ def number_entries(entries: DataFrame, scope: str, style: str = "brackets",
     offsets = sizes.select(
         *group, "_range", F.sum("_n").over(before).alias("_before"),
     ).where("_before > 0")
-    inside = Window.partitionBy(*group, "_range").orderBy("item", "start_idx")
-    ranked = ranged.withColumn("_rank", F.row_number().over(inside)).join(
-        offsets, [*group, "_range"], "left")
+    inside = Window.partitionBy(*group, "_range").orderBy("item", "start_idx", "key")
+    ranked = join_null_safe(
+        ranged.withColumn("_rank", F.row_number().over(inside)), offsets, [*group, "_range"], "left")
     index = "_rank + coalesce(_before, 0)"
     if taken is not None:
-        ranked = ranked.join(taken, group, "left")
+        ranked = join_null_safe(ranked, taken, group, "left")
         index += " + coalesce(_taken, 0)"
     return ranked.select(
         scope, "key", "original",
@@ -137,12 +171,13 @@ def build_mapping(spans: DataFrame, scope: str, item: str, style: str = "bracket
 def place(df: DataFrame, pieces: DataFrame, keys: Sequence[str], text_col: str,
           out: str) -> DataFrame:
     """Splice ``pieces`` (rows of keys, start_idx, end_idx, placeholder) into the
-    texts they came from. A group is the pieces of one text."""
+    texts they came from. A group is the pieces of one text; repeated rows bring the
+    same pieces, which count once."""
     columns = [c for c in df.columns if c not in keys]
-    per_text = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(
+    per_text = pieces.groupBy(*keys).agg(F.array_sort(F.collect_set(
         F.struct("start_idx", "end_idx", "placeholder"),
     )).alias("_pieces"))
-    joined = df.join(per_text, list(keys), "left").withColumn(
+    joined = join_null_safe(df, per_text, keys, "left").withColumn(
         "_pieces", F.expr("coalesce(_pieces, cast(array() as "
                           "array<struct<start_idx:int,end_idx:int,placeholder:string>>))"),
     )
@@ -153,21 +188,24 @@ def anonymize_many(df: DataFrame, scope: str, item: str, text_col: str = "text",
                    config: MaskConfig = MaskConfig(), rules: Sequence[Rule] = (),
                    entities: EntityConfig = EntityConfig(),
                    parts: int | None = None) -> Masked:
-    """Mask texts that share a mapping per ``scope``; ``(scope, item)`` identifies a
-    text and ``item`` orders the texts of a scope.
+    """Mask texts that share a mapping per ``scope``; ``item`` orders the texts of a scope.
 
-    The spans are written once to the shared folder: numbering and placing both read
-    them, and the patterns must not run twice.
+    Scopes and items may be null and items tied, see the module. The spans are written
+    once to the shared folder: numbering and placing both read them, and the patterns
+    must not run twice.
     """
+    texts = identified(df, item, text_col)
     detected = detect_sensitive(
-        df.select(scope, item, text_col), text_col, config, rules, entities, "_spans",
+        texts.select(scope, TEXT_ID, text_col), text_col, config, rules, entities, "_spans",
     )
-    spans = materialise(span_rows(detected, [scope, item], "_spans"), "spans")
-    mapping = build_mapping(spans, scope, item, config.placeholder_style, parts)
-    pieces = spans.withColumn("key", F.lower("value")).join(
-        mapping.select(scope, "key", "placeholder"), [scope, "key"],
-    )
-    return Masked(place(df, pieces, [scope, item], text_col, "masked"), mapping, spans)
+    spans = materialise(span_rows(detected, [scope, TEXT_ID], "_spans"), "spans")
+    mapping = build_mapping(spans, scope, TEXT_ID, config.placeholder_style, parts).withColumn(
+        "first_item", F.col("first_item.item"))
+    pieces = with_placeholders(spans, mapping, scope)
+    masked = place(texts, pieces, [scope, TEXT_ID], text_col, "masked").select(
+        scope, item, *[c for c in df.columns if c not in (scope, item)], "masked")
+    found = spans.select(scope, F.col(f"{TEXT_ID}.item").alias(item), *spans.columns[2:])
+    return Masked(masked, mapping, found)
 
 
 def deanonymize(df: DataFrame, mapping: DataFrame, scope: str, keys: Sequence[str],
@@ -176,16 +214,17 @@ def deanonymize(df: DataFrame, mapping: DataFrame, scope: str, keys: Sequence[st
     """Put originals back from a mapping *table*. Tokens are joined by ``(scope,
     placeholder)``, so a mapping of any size is never gathered per scope; tokens the
     mapping does not know stay as they are."""
-    tokens = df.select(
-        *dict.fromkeys([*keys, scope]),
+    keyed = df.withColumn(TEXT_ID, F.unhex(F.md5(text_col)))
+    text = [*keys, TEXT_ID]
+    tokens = keyed.select(
+        *dict.fromkeys([*text, scope]),
         F.explode_outer(F.expr(S.find_all(text_col, P.token_pattern(style)))).alias("_t"),
     ).where(F.col("_t").isNotNull())
     known = mapping.select(scope, F.col("placeholder").alias("_token"), "original")
-    pieces = tokens.withColumn("_token", F.col("_t.value")).join(known, [scope, "_token"]).select(
-        *keys, F.col("_t.start_idx"), F.col("_t.end_idx"),
-        F.col("original").alias("placeholder"),
-    )
-    return place(df, pieces, keys, text_col, out)
+    pieces = join_null_safe(
+        tokens.withColumn("_token", F.col("_t.value")), known, [scope, "_token"],
+    ).select(*text, F.col("_t.start_idx"), F.col("_t.end_idx"), F.col("original").alias("placeholder"))
+    return place(keyed, pieces, text, text_col, out).drop(TEXT_ID)
 
 
 def echo(sent: DataFrame) -> DataFrame:

@@ -108,6 +108,31 @@ def anonymize_many_by_customer(spark, sf_dir):
     return masked.texts.select("custkey", "note_id", "masked")
 
 
+#: conversations and places that are null or shared by several notes
+ODD_SCOPE = "CASE WHEN custkey % 7 <> 0 THEN custkey % 50 END"
+ODD_ITEM = "CASE WHEN note_id % 11 <> 0 THEN note_id % 40 END"
+_ODD_KEYS = O.src_cte(f"""SELECT *, row_number() OVER (
+    PARTITION BY scope ORDER BY slot NULLS FIRST, md5(text)) AS item
+  FROM (SELECT coalesce({ODD_SCOPE}, -1) AS scope, {ODD_ITEM} AS slot, text FROM ({order_notes_sql()}))""")
+
+
+def _odd_notes(spark, sf_dir):
+    return order_notes(spark, sf_dir).selectExpr(f"{ODD_SCOPE} AS scope", f"{ODD_ITEM} AS slot", "text")
+
+
+def anonymize_many_odd_keys(spark, sf_dir):
+    """Null conversations, null and tied places: every text is masked at its own spans."""
+    return M.anonymize_many(_odd_notes(spark, sf_dir), "scope", "slot", config=DEFAULT).texts.select(
+        "scope", "slot", "masked")
+
+
+def restore_odd_keys(spark, sf_dir):
+    masked = M.anonymize_many(_odd_notes(spark, sf_dir), "scope", "slot", config=DEFAULT)
+    sent = masked.texts.select("scope", "slot", "masked")
+    return M.deanonymize(sent, masked.mapping, "scope", ["scope", "slot"], "masked").select(
+        "scope", "slot", "restored")
+
+
 def anonymize_many_conversations(spark, sf_dir):
     turns = text_table(spark, sf_dir, "conversations")
     masked = M.anonymize_many(turns, "conv_id", "turn", config=DEFAULT)
@@ -168,6 +193,12 @@ QUERIES = {
     "anonymize_many_conversations": (anonymize_many_conversations, _masked_sql(
         _CONVERSATIONS, "SELECT conv_id, turn, role, masked FROM masked JOIN conversations "
         "ON conv_id = scope AND turn = item")),
+    "anonymize_many_odd_keys": (anonymize_many_odd_keys, _masked_sql(
+        _ODD_KEYS, "SELECT nullif(masked.scope, -1) AS scope, slot, masked FROM masked "
+        "JOIN src USING (scope, item)")),
+    "restore_odd_keys": (restore_odd_keys, O.statement(
+        _ctes(_ODD_KEYS) + [_RESTORED], "SELECT nullif(scope, -1) AS scope, slot, restored "
+        "FROM restored JOIN src USING (scope, item)")),
     "deanonymize_by_customer": (deanonymize_by_customer, O.statement(
         _ctes(_BY_CUSTOMER) + [_RESTORED],
         "SELECT scope AS custkey, item AS note_id, restored FROM restored")),

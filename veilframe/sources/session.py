@@ -61,3 +61,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that an operator of this package wrote, on whatever storage it lies."""
+    system, folder = _file_system(spark, path)
+    system.delete(folder, True)

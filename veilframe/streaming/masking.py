@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from veilframe.functions.patterns import MaskConfig
 from veilframe.operators.detect import Rule, detect_sensitive, span_rows
 from veilframe.operators.entities import EntityConfig
-from veilframe.operators.masking import anonymize, first_entries, number_entries, place
+from veilframe.operators.masking import (
+    TEXT_ID, anonymize, first_entries, identified, join_null_safe, number_entries, place, with_placeholders,
+)
+from veilframe.streaming.store import SortedRuns
 
 
 def mask_stream(stream: DataFrame, text_col: str = "text", config: MaskConfig = MaskConfig(),
@@ -32,60 +34,49 @@ class ConversationMasker:
 
     Every table is written per batch and overwritten if the batch is run again;
     a batch only reads what earlier batches wrote. So a restart repeats no number.
+    The mapping and its counters are :class:`SortedRuns`: a batch reads the buckets of
+    its own values, not all history.
+
+    Scopes and items may be null and items tied, as in ``anonymize_many``.
     """
 
     def __init__(self, base: str, scope: str = "conv_id", item: str = "turn",
                  text_col: str = "text", config: MaskConfig = MaskConfig(),
                  rules: Sequence[Rule] = (), entities: EntityConfig = EntityConfig(),
-                 parts: int | None = None):
+                 parts: int | None = None, fanout: int = 8, buckets: int = 64):
         self.base = base.rstrip("/")
         self.scope, self.item, self.text_col = scope, item, text_col
         self.config, self.rules, self.entities = config, rules, entities
         self.parts = parts
-
-    def _folder(self, table: str, batch_id: int) -> str:
-        return f"{self.base}/{table}/batch_id={batch_id}"
+        self.known = SortedRuns(f"{self.base}/mapping", [scope, "key"], fanout, buckets)
+        self.counters = SortedRuns(
+            f"{self.base}/counters", [scope], fanout, buckets,
+            lambda rows: rows.groupBy(scope, "category").agg(F.sum("_taken").alias("_taken")))
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
-        path = self._folder(table, batch_id)
+        path = f"{self.base}/{table}/batch_id={batch_id}"
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def _earlier(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Entries of earlier batches; their partition column keeps later ones out."""
-        first = spark.read.parquet(self._folder("mapping", 0)).schema
-        schema = T.StructType([*first.fields, T.StructField("batch_id", T.LongType())])
-        return (
-            spark.read.schema(schema).option("basePath", f"{self.base}/mapping")
-            .parquet(f"{self.base}/mapping").where(F.col("batch_id") < batch_id).drop("batch_id")
-        )
-
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        scope, item = self.scope, self.item
+        spark, scope, style = batch.sparkSession, self.scope, self.config.placeholder_style
+        texts = identified(batch, self.item, self.text_col)
         detected = detect_sensitive(
-            batch.select(scope, item, self.text_col), self.text_col, self.config, self.rules,
+            texts.select(scope, TEXT_ID, self.text_col), self.text_col, self.config, self.rules,
             self.entities, "_spans",
         )
-        spans = self._write(span_rows(detected, [scope, item], "_spans"), "spans", batch_id)
-        entries = self._write(first_entries(spans, scope, item), "entries", batch_id)
-        style = self.config.placeholder_style
+        spans = self._write(span_rows(detected, [scope, TEXT_ID], "_spans"), "spans", batch_id)
+        entries = self._write(first_entries(spans, scope, TEXT_ID), "entries", batch_id)
+        known = self.known.read(spark, batch_id - 1, entries)
+        taken = self.counters.read(spark, batch_id - 1, entries)
+        new = entries if known is None else join_null_safe(
+            entries, known.select(scope, "key"), [scope, "key"], "left_anti")
         keep = lambda df, label: self._write(df, label, batch_id)
-        if batch_id == 0:
-            known = None
-            mapping = self._write(
-                number_entries(entries, scope, style, self.parts, keep=keep), "mapping", 0)
-        else:
-            scopes = entries.select(scope).distinct()
-            known = self._earlier(entries.sparkSession, batch_id).join(scopes, scope, "left_semi")
-            taken = known.groupBy(scope, "category").agg(F.count("*").alias("_taken"))
-            new = entries.join(known.select(scope, "key"), [scope, "key"], "left_anti")
-            mapping = self._write(
-                number_entries(new, scope, style, self.parts, taken, keep),
-                "mapping", batch_id,
-            ).unionByName(known)
-        pieces = spans.withColumn("key", F.lower("value")).join(
-            mapping.select(scope, "key", "placeholder"), [scope, "key"])
-        self._write(place(batch, pieces, [scope, item], self.text_col, "masked"), "masked", batch_id)
+        mapping = self.known.append(number_entries(new, scope, style, self.parts, taken, keep), batch_id)
+        self.counters.append(mapping.groupBy(scope, "category").agg(F.count("*").alias("_taken")), batch_id)
+        pieces = with_placeholders(spans, mapping if known is None else mapping.unionByName(known), scope)
+        masked = place(texts, pieces, [scope, TEXT_ID], self.text_col, "masked")
+        self._write(masked.select(*batch.columns, "masked"), "masked", batch_id)
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -101,5 +92,5 @@ class ConversationMasker:
         """The mapping so far, counting the occurrences of all batches."""
         counts = spark.read.parquet(f"{self.base}/entries").groupBy(self.scope, "key").agg(
             F.sum("count").alias("count"))
-        entries = spark.read.parquet(f"{self.base}/mapping").drop("count", "batch_id")
-        return entries.join(counts, [self.scope, "key"])
+        entries = self.known.read(spark, self.known.last(spark)).drop("count")
+        return join_null_safe(entries, counts, [self.scope, "key"])

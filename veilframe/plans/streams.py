@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from veilframe.plans import masking, records
 from veilframe.plans.detection import DEFAULT, _DOCS
 from veilframe.sources.session import new_folder
-from veilframe.sources.tables import stream
-from veilframe.streaming.calls import hourly_calls
-from veilframe.streaming.inquiries import daily_inquiries, inquiry_log
+from veilframe.sources.tables import stream, table
+from veilframe.streaming.answers import AnswerRestorer
+from veilframe.streaming.calls import call_rollup_stream, hourly_calls
+from veilframe.streaming.inquiries import (
+    daily_inquiries, inquiry_log, inquiry_stats_stream, log_inquiries_stream,
+)
 from veilframe.streaming.masking import ConversationMasker, mask_stream
 from veilframe.streaming.run import drain
+from veilframe.streaming.state import StatefulMasker, use_rocksdb
 
 
 def mask_stream_documents(spark, sf_dir):
@@ -26,6 +30,39 @@ def mask_conversation_stream(spark, sf_dir):
     return masker.masked(spark).select("conv_id", "turn", "role", "masked")
 
 
+def mask_conversation_state(spark, sf_dir):
+    """The same with operator state instead of a mapping table."""
+    masker = StatefulMasker(new_folder(spark, "masked-by-state"), config=DEFAULT)
+    masker.start(stream(use_rocksdb(spark), sf_dir, "conversations"), availableNow=True).awaitTermination()
+    return masker.masked(spark).select("conv_id", "turn", "role", "masked")
+
+
+#: when a turn was sent and answered: every eleventh answer comes too late
+_SENT_AT = "timestamp_seconds(1700000000 + conv_id * 60 + turn)"
+_WAIT = "CASE WHEN (conv_id + turn) % 11 = 0 THEN 7200 ELSE 60 * (turn % 7) END"
+
+
+def restore_stream(spark, sf_dir):
+    """Mask a stream of turns, echo it, and restore the echoes that come within an hour."""
+    base = new_folder(spark, "restored-answers")
+    masker = ConversationMasker(f"{base}/masker", config=DEFAULT)
+    masker.start(stream(spark, sf_dir, "conversations"), availableNow=True).awaitTermination()
+    schema = table(spark, sf_dir, "conversations").schema.add("masked", "string")
+    echoes = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/masker/masked")
+    sent = echoes.selectExpr("conv_id", "turn", f"{_SENT_AT} AS sent_at", "masked")
+    answers = echoes.selectExpr(
+        "conv_id", "turn", f"timestamp_seconds(unix_timestamp({_SENT_AT}) + {_WAIT}) AS answered_at", "masked AS content")
+    restorer = AnswerRestorer(base, masker.mapping)
+    restorer.start(sent, answers, availableNow=True).awaitTermination()
+    return restorer.restored(spark).select("conv_id", "turn", "content", "restored")
+
+
+_RESTORE_STREAM_SQL = masking.O.statement(masking._ctes(masking._CONVERSATIONS) + [masking._RESTORED], f"""
+SELECT conv_id, turn, masked AS content, restored
+FROM conversations JOIN masked ON masked.scope = conv_id AND masked.item = turn
+JOIN restored ON restored.scope = conv_id AND restored.item = turn WHERE {_WAIT} <= 3600""")
+
+
 def _event_stream(spark, sf_dir, sql):
     return spark.sql(sql, events=stream(spark, sf_dir, "events"))
 
@@ -73,12 +110,57 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, provider, count(
 FROM c GROUP BY ALL"""
 
 
+def inquiries_logged_watermark(spark, sf_dir):
+    """One inquiry per id within the watermark's state; which one is open, so the ids are shown.
+    All rows come in one batch here, before any watermark: none is late."""
+    now = F.lit(records._AS_OF).cast("timestamp")
+    return drain(log_inquiries_stream(_inquiry_stream(spark, sf_dir), now).select("external_id"), "inquiry-ids")
+
+
+_IDS_SQL = f"""
+WITH valid AS (SELECT * FROM ({records._DUCK_INQUIRIES})
+  WHERE canal IN ('instagram', 'email') AND expediteur != '' AND texte IS NOT NULL)
+SELECT DISTINCT external_id FROM valid WHERE external_id IS NOT NULL
+UNION ALL SELECT external_id FROM valid WHERE external_id IS NULL"""
+
+
+def inquiry_stats_watermark(spark, sf_dir):
+    """Figures of the days that the watermark, a day behind the last inquiry, has closed."""
+    days = drain(inquiry_stats_stream(_inquiry_stream(spark, sf_dir)), "closed-days")
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+_CLOSED_DAYS_SQL = f"""
+SELECT * FROM ({_DAILY_SQL}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <=
+  (SELECT max(horodatage) - INTERVAL 1 DAY FROM ({records._DUCK_INQUIRIES}))"""
+
+
+def calls_hourly_watermark(spark, sf_dir):
+    """Figures of the hours that the watermark, ten minutes behind the last call, has closed."""
+    calls = _event_stream(spark, sf_dir, records.AS_ENVELOPES).withColumn(
+        "ts", F.expr("cast(ts as timestamp)"))
+    hours = drain(call_rollup_stream(calls), "closed-hours")
+    return hours.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+_CLOSED_HOURS_SQL = f"""
+SELECT * FROM ({_HOURLY_SQL}) WHERE strptime(hour, '%Y-%m-%d %H') + INTERVAL 1 HOUR <=
+  (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
 QUERIES = {
     "mask_stream_documents": (mask_stream_documents, masking._masked_sql(
         _DOCS, "SELECT scope AS doc_id, masked FROM masked")),
     "mask_conversation_stream": (mask_conversation_stream, masking._masked_sql(
         masking._CONVERSATIONS, "SELECT conv_id, turn, role, masked FROM masked "
         "JOIN conversations ON conv_id = scope AND turn = item")),
+    "mask_conversation_state": (mask_conversation_state, masking._masked_sql(
+        masking._CONVERSATIONS, "SELECT conv_id, turn, role, masked FROM masked "
+        "JOIN conversations ON conv_id = scope AND turn = item")),
+    "restore_stream": (restore_stream, _RESTORE_STREAM_SQL),
+    "inquiries_logged_watermark": (inquiries_logged_watermark, _IDS_SQL),
+    "inquiry_stats_watermark": (inquiry_stats_watermark, _CLOSED_DAYS_SQL),
+    "calls_hourly_watermark": (calls_hourly_watermark, _CLOSED_HOURS_SQL),
     "inquiries_logged_stream": (inquiries_logged_stream, records._LOGGED_SQL),
     "inquiry_stats_daily_stream": (inquiry_stats_daily_stream, _DAILY_SQL),
     "calls_hourly_stream": (calls_hourly_stream, _HOURLY_SQL),

@@ -4,6 +4,11 @@ A conversation may be larger than one row should be, so a body comes in parts of
 bounded number of turns: ``(conv_id, part, n_parts, body)``. The parts of a
 conversation, concatenated in order, are its request body; a conversation of
 ordinary length has one part. The first system turn is the system prompt.
+
+Turns are numbered first, in the order of (turn, role, text), nulls first; parts, commas
+and the last turn go by these places. So turn numbers may have gaps, be null or tied,
+the null conversation is one too, and every body is one JSON value. A null role
+is no system turn; a null role or text is left out of its message.
 """
 
 from __future__ import annotations
@@ -11,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.masking import join_null_safe
+from veilframe.operators.places import with_places
+
 # Default model names and sampling limits of the three dialects.
 SYSTEM_FIRST_MODEL = "gpt-4o-mini"
 SYSTEM_FIRST_TEMPERATURE = 0.7
@@ -25,6 +33,10 @@ def _message(role: Column, content: Column) -> Column:
     return F.to_json(F.struct(role.alias("role"), content.alias("content")))
 
 
+def _spoken(role: Column) -> Column:
+    return F.coalesce(role, F.lit("")) != "system"
+
+
 def _parts(turns: DataFrame, turns_per_part: int) -> DataFrame:
     """Turns per ``(conv_id, _part)`` next to the facts about their conversation.
 
@@ -32,10 +44,13 @@ def _parts(turns: DataFrame, turns_per_part: int) -> DataFrame:
     the parts is what AQE may split when one conversation is hot; nothing after the
     join depends on its partitioning.
     """
+    turns = with_places(
+        turns.select("conv_id", "turn", "role", "text"), "conv_id", ["turn", "role", "text"], "_place",
+    ).select("conv_id", F.col("_place").alias("turn"), "role", "text")
     facts = turns.groupBy("conv_id").agg(
         F.min(F.struct("turn", "role", "text")).alias("first"),
         F.max(F.struct("turn", "text")).alias("last"),
-        F.min(F.when(F.col("role") != "system", F.col("turn"))).alias("_first_spoken"),
+        F.min(F.when(_spoken(F.col("role")), F.col("turn"))).alias("_first_spoken"),
     ).select(
         "conv_id", "_first_spoken",
         F.col("last.turn").alias("_last_turn"), F.col("last.text").alias("_last_text"),
@@ -47,7 +62,7 @@ def _parts(turns: DataFrame, turns_per_part: int) -> DataFrame:
     parts = turns.groupBy(
         "conv_id", F.floor(F.col("turn") / turns_per_part).alias("_part"),
     ).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
-    return parts.join(facts, "conv_id")
+    return join_null_safe(parts, facts, ["conv_id"])
 
 
 def _assemble(parts: DataFrame, elements: Column, head: Column, tail: str,
@@ -111,7 +126,7 @@ def chat_payload_history_last(turns: DataFrame,
     to ``model``. The last turn is sent apart, as ``message`` of the last part; no
     temperature is sent."""
     history = F.filter("_turns", lambda t: (
-        (t["role"] != "system") & (t["turn"] < F.col("_last_turn"))))
+        _spoken(t["role"]) & (t["turn"] < F.col("_last_turn"))))
     elements = F.transform(history, lambda t: F.concat(
         F.when(t["turn"] > F.col("_first_spoken"), ",").otherwise(""),
         F.to_json(F.struct(

@@ -19,7 +19,8 @@ from veilframe.operators import inquiries as IQ
 from veilframe.operators import messages as ME
 from veilframe.operators import outbox as OB
 from veilframe.operators import pages as PG
-from veilframe.sources.session import keep_last_key
+from veilframe.operators import search as SE
+from veilframe.sources.session import keep_last_key, new_folder
 from veilframe.sources.tables import table, text_table
 
 
@@ -417,6 +418,52 @@ _SEARCH_SQL = """SELECT doc_id, lang, score FROM (
   FROM documents WHERE lang = 'en') WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10"""
 
 
+#: two words that most texts have and one that few have
+RANKED_QUERY = "Of the haat"
+
+
+def documents_ranked(spark, sf_dir):
+    """The second page of a ranked search over an index of all documents."""
+    index = SE.build_index(text_table(spark, sf_dir, "documents"), new_folder(spark, "search-index"))
+    return SE.search_index(spark, index, RANKED_QUERY, num_results=25, page=2)
+
+
+def documents_ranked_by_language(spark, sf_dir):
+    index = SE.build_index(text_table(spark, sf_dir, "documents"), new_folder(spark, "search-index"))
+    return SE.search_index(spark, index, "der la haat the die", "de")
+
+
+def _ranked_sql(query: str, where: str, limit: str) -> str:
+    words = ", ".join(f"'{w}'" for w in query.lower().split())
+    return f"""
+WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+c AS (SELECT doc_id, lang, len(w) AS length, t, len(list_filter(w, lambda x: x = t)) AS tf
+  FROM d, (SELECT unnest([{words}]) AS t) WHERE list_contains(w, t)),
+f AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, a GROUP BY t, n)
+SELECT doc_id, lang, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+FROM c JOIN f USING (t), a WHERE {where} GROUP BY doc_id, lang ORDER BY score DESC, doc_id {limit}"""
+
+
+#: the same turns with null and tied conversations and places
+_ODD_TURNS = """SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS conv_id,
+  CASE WHEN turn % 3 <> 2 THEN turn // 2 END AS turn, CASE WHEN turn <> 4 THEN role END AS role, text FROM {conversations}"""
+
+
+def chat_system_first_odd_keys(spark, sf_dir):
+    odd = _from(spark, sf_dir, _ODD_TURNS.replace("//", "div"), "conversations")
+    return CH.chat_payload_system_first(odd, turns_per_part=100_000).select("conv_id", "part", "is_last", "body")
+
+
+_ODD_CHAT_SQL = f"""
+SELECT conv_id, 0::BIGINT AS part, true AS is_last, '{{"model":"{CH.SYSTEM_FIRST_MODEL}","messages":['
+  || string_agg(CASE WHEN role IS NULL THEN to_json({{'content': text}})::VARCHAR
+    ELSE to_json({{'role': role, 'content': text}})::VARCHAR END, ','
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, text) || '],"temperature":0.7}}' AS body
+FROM ({_duck(_ODD_TURNS, "conversations")}) GROUP BY conv_id"""
+
+
 # --- outbox ------------------------------------------------------------------
 
 _CHANNELS = ("mail_list", "smtp", "graph_mail", "raw_mail", "sms", "dm", "webhook")
@@ -638,6 +685,10 @@ QUERIES = {
     "envelopes_stripped": (envelopes_stripped, _STRIPPED_SQL),
     "pages_markdown": (pages_markdown, _markdown_sql()),
     "documents_searched": (documents_searched, _SEARCH_SQL),
+    "documents_ranked": (documents_ranked, _ranked_sql(RANKED_QUERY, "true", "LIMIT 25 OFFSET 25")),
+    "documents_ranked_by_language": (documents_ranked_by_language, _ranked_sql(
+        "der la haat the die", "lang = 'de'", "LIMIT 10")),
+    "chat_system_first_odd_keys": (chat_system_first_odd_keys, _ODD_CHAT_SQL),
     "outbox_validated": (
         outbox_validated, f"SELECT msg_id, channel, {_ERROR_SQL} AS error_code FROM ({_DUCK_OUTBOX})"),
     "outbox_built": (outbox_built, _BUILT_SQL),

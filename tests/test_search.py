@@ -103,3 +103,14 @@ def test_bodies_of_odd_conversations_are_json(spark, per_part):
     last = bodies(chat.chat_payload_history_last)
     assert [m["parts"][0]["text"] for m in last[1]["history"]] == ["no turn", "x\n", "x\n", "tied \"b\""] and last[None]["history"] == []
     assert last[2]["history"] == [{"parts": [{"text": "no role"}]}]
+
+
+def test_bloom_filter_of_a_column(spark):
+    from veilframe.operators import bloom
+    keys = spark.range(3000).selectExpr("concat('k', id) AS k")
+    found = bloom.build(keys, F.col("k"))
+    others = spark.range(20_000).selectExpr("concat('o', id) AS k")
+    assert keys.where(~found.test(F.col("k"))).count() == 0
+    assert others.where(found.test(F.col("k"))).count() < 1000
+    nothing = bloom.build(keys.limit(0), F.col("k"))
+    assert others.where(nothing.test(F.col("k"))).count() == 0

@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
+from veilframe.operators import bloom
 
 _WORD = r"\w+"
 _CHUNK = 4096
+#: between the two words of a key; no word holds it
+_BETWEEN = "\u0001"
 
 
 def detect_term_table(df: DataFrame, terms: DataFrame, key: str,
                       text_col: str = "text") -> DataFrame:
     """Span rows of every term of ``terms (term, category, case_sensitive)``.
 
-    Each text word meets the terms that begin with the same word: an equi-join on
-    that word instead of a cross join of texts and terms. Because a term match is
-    bounded by ``\\b``, the first word of a term is a whole word of the text. What
-    travels with a word is a window as long as the longest term, never the text.
+    Text words meet the terms that begin with the same word, or the same two words:
+    an equi-join instead of a cross join of texts and terms. Because a term match is
+    bounded by ``\\b``, the first two words of a term are whole words of the text. What
+    travels with a word is a window as long as the longest term, never the text, and a
+    word travels only if a Bloom filter of the terms' beginnings has it: the test is part
+    of the scan, so the shuffle is in proportion to the hits.
     Terms without any word character cannot be found this way and are rejected.
 
     Occurrences of one term do not overlap (leftmost first), as with a regex.
     """
-    words = F.expr("regexp_extract(term, '\\\\w+', 0)")
+    first, second = (F.lower(F.expr(f"coalesce(get(regexp_extract_all(term, '\\\\w+', 0), {i}), '')")) for i in (0, 1))
     prepared = terms.select(
         "term", "category", F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"),
-        F.lower(F.when(words == "", F.raise_error("a term needs a word character")).otherwise(words))
-        .alias("_word"),
+        F.when(first == "", F.raise_error("a term needs a word character")).when(second == "", first)
+        .otherwise(F.concat(first, F.lit(_BETWEEN), second)).alias("_word"),
         (F.expr("instr(term, regexp_extract(term, '\\\\w+', 0))") - 1).alias("_lead"),
         F.length("term").alias("_len"),
     )
+    beginnings = bloom.build(prepared, F.col("_word"))
     # two numbers, one row: the reach of a window to either side of a word
     reach = prepared.agg(F.max("_lead").alias("_lead"), F.max("_len").alias("_len")).first()
     lead, length = (reach["_lead"] or 0), (reach["_len"] or 0)
@@ -44,14 +50,21 @@ def detect_term_table(df: DataFrame, terms: DataFrame, key: str,
     ).select(key, (F.col("_c") * _CHUNK).cast("int").alias("_from"), F.expr(
         f"substring(_padded, cast(_c * {_CHUNK} as int) + 1, {reach_back + _CHUNK + reach_on})",
     ).alias("_chunk"))
-    tokens = chunks.select(key, "_from", "_chunk", F.explode_outer(
-        F.expr(S.find_all("_chunk", _WORD))).alias("_t")).where(
-        (F.col("_t.start_idx") >= reach_back) & (F.col("_t.start_idx") < reach_back + _CHUNK))
+    # One beginning for each word, and one for each two; those that no term has end here.
+    words = chunks.select(key, "_from", "_chunk", F.expr(S.find_all("_chunk", _WORD)).alias("_w"))
+    keys = F.transform("_w", lambda t, i: F.struct(
+        t["start_idx"].alias("at"), F.lower(t["value"]).alias("one"),
+        F.concat(F.lower(t["value"]), F.lit(_BETWEEN), F.lower(F.get("_w", i + 1)["value"])).alias("two")))
+    keys = words.select(key, "_from", "_chunk", keys.alias("_k"))
+    both = lambda name: F.transform(
+        F.filter("_k", lambda k: (k["at"] >= reach_back) & (k["at"] < reach_back + _CHUNK) & beginnings.test(k[name])),
+        lambda k: F.struct(k["at"].alias("at"), k[name].alias("word")))
+    begun = keys.select(key, "_from", "_chunk", F.concat(both("one"), both("two")).alias("_t"))
+    # The outer form: a test for emptiness would be pushed below all of this and run it again.
+    tokens = begun.select(key, "_from", "_chunk", F.explode_outer("_t").alias("_t")).where(F.col("_t").isNotNull())
     around = tokens.select(
-        key, F.lower("_t.value").alias("_word"),
-        (F.col("_from") + F.col("_t.start_idx") - reach_back).alias("_at"),
-        F.expr(f"substring(_chunk, _t.start_idx - {reach_back} + 1, {lead + length + 2})")
-        .alias("_around"),
+        key, F.col("_t.word").alias("_word"), (F.col("_from") + F.col("_t.at") - reach_back).alias("_at"),
+        F.expr(f"substring(_chunk, _t.at - {reach_back} + 1, {lead + length + 2})").alias("_around"),
     )
     met = around.join(prepared, "_word")
     # offset of the term inside the window, and its neighbours

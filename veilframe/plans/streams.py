@@ -10,11 +10,11 @@ from veilframe.plans.detection import DEFAULT, _DOCS
 from veilframe.sources.session import new_folder
 from veilframe.sources.tables import stream, table
 from veilframe.streaming.answers import AnswerRestorer
-from veilframe.streaming.calls import call_rollup_stream, hourly_calls
+from veilframe.streaming.calls import call_rollup_stream, hourly_calls, hourly_durations
 from veilframe.streaming.inquiries import (
-    daily_inquiries, inquiry_log, inquiry_stats_stream, log_inquiries_stream,
+    closed_day_senders, daily_inquiries, daily_senders, inquiry_log, inquiry_stats_stream, log_inquiries_stream,
 )
-from veilframe.streaming.masking import ConversationMasker, mask_stream
+from veilframe.streaming.masking import ConversationMasker, mask_stream, span_figures
 from veilframe.streaming.run import drain
 from veilframe.streaming.state import StatefulMasker, use_rocksdb
 
@@ -148,6 +148,56 @@ SELECT * FROM ({_HOURLY_SQL}) WHERE strptime(hour, '%Y-%m-%d %H') + INTERVAL 1 H
   (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
 
 
+def call_durations_stream(spark, sf_dir):
+    """Quantiles of durations by sketch. Groups of fewer than 800 calls, as all are here, are exact."""
+    calls = _event_stream(spark, sf_dir, records.AS_ENVELOPES).withColumn(
+        "ts", F.expr("cast(ts as timestamp)"))
+    hourly = _filled(hourly_durations(new_folder(spark, "durations")), calls)
+    return hourly.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+_DURATIONS_SQL = f"""
+WITH c AS (SELECT * FROM ({records._CALLS}) JOIN (SELECT event_id, ts FROM events) USING (event_id))
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, provider, count(duration_ms) AS n_timed,
+  quantile_disc(duration_ms, 0.5)::BIGINT AS p50, quantile_disc(duration_ms, 0.95)::BIGINT AS p95,
+  quantile_disc(duration_ms, 0.99)::BIGINT AS p99
+FROM c WHERE duration_ms IS NOT NULL GROUP BY ALL"""
+
+
+def _near(estimate: str, exact: str):
+    """Within five standard errors of the sketch, or one."""
+    return F.expr(f"abs({estimate} - {exact}) <= greatest(1.0, 5 * 1.04 / 64 * {exact})")
+
+
+#: days that are closed
+_CLOSED = "2024-01-21 00:00:00"
+
+
+def inquiry_senders_stream(spark, sf_dir):
+    """Senders of closed days, exact, and whether the estimate is as near as it should be."""
+    inquiries, base = _inquiry_stream(spark, sf_dir), new_folder(spark, "senders")
+    about = _filled(daily_senders(f"{base}/about"), inquiries)
+    exact = _filled(closed_day_senders(f"{base}/exact", F.lit(_CLOSED).cast("timestamp")), inquiries)
+    both = about.join(exact, ["day", "canal", "source"])
+    return both.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "canal", "source", "n_inquiries",
+                       "n_senders", _near("n_senders_about", "n_senders").alias("near"))
+
+
+_SENDERS_SQL = f"""
+SELECT strftime(date_trunc('day', horodatage), '%Y-%m-%d') AS day, canal, source, count(*)::BIGINT AS n_inquiries,
+  count(DISTINCT expediteur) AS n_senders, true AS near
+FROM ({records._DUCK_INQUIRIES}) WHERE horodatage < TIMESTAMP '{_CLOSED}' GROUP BY ALL"""
+
+
+def span_figures_stream(spark, sf_dir):
+    """Spans of a stream of documents by source, with the estimate of values held against the exact number."""
+    renamed = stream(spark, sf_dir, "documents").withColumnRenamed("source", "doc_source")
+    about = _filled(span_figures(new_folder(spark, "span-figures"), ["doc_source"], config=DEFAULT), renamed)
+    exact = masking.span_rollup_sources(spark, sf_dir).select("doc_source", "category", "n_values")
+    return about.join(exact, ["doc_source", "category"]).select(
+        "doc_source", "category", "n_spans", "n_values", _near("n_values_about", "n_values").alias("near"))
+
+
 QUERIES = {
     "mask_stream_documents": (mask_stream_documents, masking._masked_sql(
         _DOCS, "SELECT scope AS doc_id, masked FROM masked")),
@@ -161,6 +211,9 @@ QUERIES = {
     "inquiries_logged_watermark": (inquiries_logged_watermark, _IDS_SQL),
     "inquiry_stats_watermark": (inquiry_stats_watermark, _CLOSED_DAYS_SQL),
     "calls_hourly_watermark": (calls_hourly_watermark, _CLOSED_HOURS_SQL),
+    "call_durations_stream": (call_durations_stream, _DURATIONS_SQL),
+    "inquiry_senders_stream": (inquiry_senders_stream, _SENDERS_SQL),
+    "span_figures_stream": (span_figures_stream, f"SELECT *, true AS near FROM ({masking._ROLLUP_SOURCES_SQL})"),
     "inquiries_logged_stream": (inquiries_logged_stream, records._LOGGED_SQL),
     "inquiry_stats_daily_stream": (inquiry_stats_daily_stream, _DAILY_SQL),
     "calls_hourly_stream": (calls_hourly_stream, _HOURLY_SQL),

@@ -61,3 +61,37 @@ def daily_inquiries(base: str) -> BatchTable:
         return parts.groupBy("day", "canal", "source").agg(F.sum("n_inquiries").alias("n_inquiries"))
 
     return BatchTable(base, reduce, merge)
+
+
+#: places of a cardinality sketch, as a power of two: estimates have a standard error of 1.04 / sqrt(2^12), 1.6 %
+LG_K = 12
+
+
+def daily_senders(base: str) -> BatchTable:
+    """Inquiries and an estimate of their different senders per day, channel and source, complete for all
+    read so far. A group is one sketch a batch, of a bounded size; sketches are united when read."""
+    def reduce(batch: DataFrame) -> DataFrame:
+        timed = batch.where("horodatage IS NOT NULL")
+        return timed.groupBy(F.date_trunc("day", "horodatage").alias("day"), "canal", "source").agg(
+            F.count("*").alias("n_inquiries"), F.hll_sketch_agg("expediteur", LG_K).alias("senders"))
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("day", "canal", "source").agg(
+            F.sum("n_inquiries").alias("n_inquiries"),
+            F.hll_sketch_estimate(F.hll_union_agg("senders", F.lit(False))).alias("n_senders_about"))
+
+    return BatchTable(base, reduce, merge)
+
+
+def closed_day_senders(base: str, closed_before: Column) -> BatchTable:
+    """The exact number of senders of the days before ``closed_before``: a batch keeps each sender of
+    a group once, and the days that are still open are not counted when the table is read."""
+    def reduce(batch: DataFrame) -> DataFrame:
+        timed = batch.where("horodatage IS NOT NULL")
+        return timed.select(F.date_trunc("day", "horodatage").alias("day"), "canal", "source", "expediteur").distinct()
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.where(F.col("day") < closed_before).groupBy("day", "canal", "source").agg(
+            F.countDistinct("expediteur").alias("n_senders"))
+
+    return BatchTable(base, reduce, merge)

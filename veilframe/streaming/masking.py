@@ -14,6 +14,7 @@ from veilframe.operators.entities import EntityConfig
 from veilframe.operators.masking import (
     TEXT_ID, anonymize, first_entries, identified, join_null_safe, number_entries, place, with_placeholders,
 )
+from veilframe.streaming.run import BatchTable
 from veilframe.streaming.store import SortedRuns
 
 
@@ -23,6 +24,24 @@ def mask_stream(stream: DataFrame, text_col: str = "text", config: MaskConfig =
     return anonymize(stream, text_col, config, rules, entities)
 
 
+def span_figures(base: str, by: Sequence[str], text_col: str = "text", config: MaskConfig = MaskConfig(),
+                 rules: Sequence[Rule] = (), entities: EntityConfig = EntityConfig(), lg_k: int = 12) -> BatchTable:
+    """``span_rollup`` of all texts read so far: spans of a group and category, and an estimate
+    (standard error 1.04 / sqrt(2^lg_k)) of their different values, from sketches that are
+    united when read. A column of ``by`` must not be called as one of a span."""
+    def reduce(batch: DataFrame) -> DataFrame:
+        found = detect_sensitive(batch.select(*by, text_col), text_col, config, rules, entities, "_spans")
+        return span_rows(found, by, "_spans").groupBy(*by, "category").agg(
+            F.count("*").alias("n_spans"), F.hll_sketch_agg(F.lower("value"), lg_k).alias("values"))
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*by, "category").agg(
+            F.sum("n_spans").alias("n_spans"),
+            F.hll_sketch_estimate(F.hll_union_agg("values", F.lit(False))).alias("n_values_about"))
+
+    return BatchTable(base, reduce, merge)
+
+
 class ConversationMasker:
     """Mask turns as they arrive, with one mapping per conversation over all batches.
 

@@ -155,3 +155,16 @@ def test_materialise_uses_the_shared_folder(spark):
     kept = materialise(spark.range(5), "test")
     assert kept.count() == 5
     assert all(shared_dir(spark).split(":")[-1] in f for f in kept.inputFiles())
+
+
+def test_a_deep_page_reads_its_ranges(spark, tmp_path):
+    from veilframe.operators.messages import store_pages
+    rows = spark.range(10_000).selectExpr("if(id = 77, null, id * 13 % 10007) AS msg_id", "concat('m', id) AS body")
+    listing = store_pages(rows, str(tmp_path / "listing"), ranges=50)
+    keys = sorted((-1 if r.msg_id is None else r.msg_id) for r in rows.collect())
+    for skip, top in ((0, 30), (0, 0), (7777, 450), (9990, 25), (20_000, 5)):
+        got = [(-1 if r.msg_id is None else r.msg_id) for r in listing.page(spark, top, skip).collect()]
+        assert got == keys[skip : skip + (top or 25)]
+    plan = listing.page(spark, 25, 7777)._jdf.queryExecution().executedPlan().toString()
+    ranges = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ranges.count(",") <= 3 and "_range" in ranges

@@ -106,3 +106,27 @@ def test_hours_are_closed_by_the_watermark(spark, tmp_path):
             os.utime(f"{tmp_path}/in{i}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
     out = drain(call_rollup_stream(read_stream(spark, tmp_path, "ts timestamp, envelope string")), "test")
     assert {(str(r.hour)[11:13], r.n_calls) for r in out.collect()} == {("08", 1), ("09", 2)}
+
+
+def test_sketches_keep_their_errors_over_batches(spark, tmp_path):
+    from veilframe.streaming.calls import K, hourly_durations
+    from veilframe.streaming.inquiries import daily_senders
+    n = 30_000
+    calls = spark.range(n).select(
+        F.to_timestamp(F.lit("2024-01-01 08:10:00")).alias("ts"), (F.col("id") * 7919 % n).alias("d"), F.lit("p").alias("p"))
+    calls = calls.select("ts", F.format_string('{"ok": true, "meta": {"durationMs": %d, "provider": "%s"}}', "d", "p").alias("envelope"))
+    table = hourly_durations(str(tmp_path / "durations"))
+    for k in range(3):
+        table.process(calls.where(F.pmod(F.hash("envelope"), F.lit(3)) == k), k)
+    table.process(calls.where(F.pmod(F.hash("envelope"), F.lit(3)) == 2), 2)  # the same batch again
+    got = table.read(spark).collect()
+    assert len(got) == 1 and got[0].n_timed == n
+    for q, value in ((.5, got[0].p50), (.95, got[0].p95), (.99, got[0].p99)):
+        assert abs(value / n - q) < 4 * 1.33 / K
+    inquiries = spark.range(20_000).select(
+        F.to_timestamp(F.lit("2024-01-01 08:10:00")).alias("horodatage"), F.lit("email").alias("canal"), F.lit("s").alias("source"), (F.col("id") % 5000).cast("string").alias("expediteur"))
+    senders = daily_senders(str(tmp_path / "senders"))
+    senders.process(inquiries.where("expediteur < '3'"), 0)
+    senders.process(inquiries.where("expediteur >= '25'"), 1)
+    row = senders.read(spark).first()
+    assert row.n_inquiries > 20_000 and abs(row.n_senders_about - 5000) < 5 * .0163 * 5000

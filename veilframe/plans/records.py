@@ -233,6 +233,15 @@ WHERE is_read AND (contains(lower(subject), 'thread 1') OR contains(lower(body),
 ORDER BY thread_id DESC, msg_id LIMIT 25 OFFSET 10"""
 
 
+def messages_deep_page(spark, sf_dir):
+    """A page far back, through the directory of a stored listing."""
+    listing = ME.store_pages(messages(spark, sf_dir), new_folder(spark, "listing"), ranges=16)
+    return listing.page(spark, top=40, skip=400).select("msg_id", "subject")
+
+
+_DEEP_PAGE_SQL = f"""SELECT msg_id, subject FROM ({_DUCK_MESSAGES}) ORDER BY msg_id LIMIT 40 OFFSET 400"""
+
+
 def message_by_id(spark, sf_dir):
     return ME.get_message(messages(spark, sf_dir), 100).select("msg_id", "role", "body")
 
@@ -668,6 +677,7 @@ QUERIES = {
     "chat_history_last_in_parts": (chat_history_last_in_parts, _history_sql(2)),
     "messages_by_label": (messages_by_label, _BY_LABEL_SQL),
     "messages_page": (messages_page, _PAGE_SQL),
+    "messages_deep_page": (messages_deep_page, _DEEP_PAGE_SQL),
     "message_by_id": (
         message_by_id, f"SELECT msg_id, role, body FROM ({_DUCK_MESSAGES}) WHERE msg_id = 100"),
     "labels_modified": (labels_modified, _MODIFY_SQL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 #: Elements whose content is no text of the page.
@@ -76,13 +77,17 @@ def parse(page: str) -> list[Node]:
             close_run()
         block = stack[-1][1] if stack else 0
 
-    at, end = 0, len(page)
-    opened: dict[str, int] = {}
+    at, end, last = 0, len(page), page.rfind(">")
+    opened: dict[str, list[int]] = {}  # of each tag the heights at which it is open
+
+    def height(tags: Iterable[str]) -> int:
+        """Of the innermost open one of the tags."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
     def close(tag: str) -> None:
         while stack:
             top = stack[-1][0]
-            opened[top] -= 1
+            opened[top].pop()
             pop()
             if top == tag:
                 return
@@ -111,14 +116,15 @@ def parse(page: str) -> list[Node]:
             stop = page.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _TAG.match(page, lt)
+        m = _TAG.match(page, lt) if lt < last else None
         if not m:
             add_text("<")
             at = lt + 1
             continue
         at, tag = m.end(), m.group(2).lower()
         if m.group(1):
-            if opened.get(tag, 0) and not (tag not in ("table", "body", "html") and opened.get("table", 0) and _behind_table(stack, tag)):
+            # Behind an open cell's table an end tag is stray.
+            if opened.get(tag) and (tag in ("table", "body", "html") or height(("table",)) <= height((tag,))):
                 close(tag)
             continue
         if stack and stack[-1][0] == "head" and tag not in HEAD:
@@ -130,13 +136,10 @@ def parse(page: str) -> list[Node]:
                 close_run()
             continue
         if tag in _CLOSES:
-            for t, _ in reversed(stack):
-                if t in _BARRIER[tag]:
-                    break
-                if t in _CLOSES[tag]:
-                    close(t)
-                    break
-        if tag not in INLINE and tag not in DROPPED and opened.get("p", 0):
+            own = height(_CLOSES[tag])
+            if own > height(_BARRIER[tag]):
+                close(stack[own][0])
+        if tag not in INLINE and tag not in DROPPED and opened.get("p"):
             close("p")  # a block ends an open paragraph
         if m.group(3).rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
@@ -152,17 +155,7 @@ def parse(page: str) -> list[Node]:
             close_run()
             nodes.append(Node(tag, block, nodes[block].depth + 1, _names(m.group(3))))
             block = len(nodes) - 1
+        opened.setdefault(tag, []).append(len(stack))
         stack.append((tag, block))
-        opened[tag] = opened.get(tag, 0) + 1
     close_run()
     return nodes
-
-
-def _behind_table(stack: list[tuple[str, int]], tag: str) -> bool:
-    """Whether an open cell's table stands between here and the element: its end tag is then stray."""
-    for t, _ in reversed(stack):
-        if t == tag:
-            return False
-        if t == "table":
-            return True
-    return False

@@ -5,7 +5,8 @@ content or not. A node's own evidence (tag, class names, amount and kind of
 text) gives its potential; a table of potentials couples every node with its
 parent, one for text runs and one for elements. Messages go from the leaves up
 and from the root down, and give each node its marginal: sum-product, exact on
-a tree. All pages of a batch are one forest, passed level by level.
+a tree. Some pages are one forest, passed level by level; memory is in proportion to the
+nodes of the largest page, or ``NODES``.
 
 The weights are trained by the likelihood of whole labelled trees. Labelled
 pages are a bounded sample (``max_pages``, none over ``MAX_HTML`` characters) of
@@ -25,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,16 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import chosen
 from veilframe.llm.dom import Node, parse
 
-MAX_PAGES, MAX_HTML = 100, 100_000
+#: Bounds of the fit: pages, characters of a page, and of a page the runs of its article that the made pages
+#: show and the runs that they take their menus, notices and comments from. Extraction has no bounds.
+MAX_PAGES, MAX_HTML, ARTICLE_RUNS, OTHER_RUNS = 100, 100_000, 40, 60
 VARIANTS = 5
 ROUNDS = 160
+#: Nodes that are worked on at a time; a page of more is worked on alone.
+NODES = 20_000
 
-#: Block elements that are never main text inside an article.
-ASIDE = frozenset("nav aside form footer figure figcaption".split())
+#: Block elements that are never main text inside an article. Captions are.
+ASIDE = frozenset("nav aside form footer".split())
 _END = re.compile(r"[.!?…:;\"”»)]$")
 
 
@@ -128,12 +133,25 @@ def evidence(nodes: list[Node]) -> tuple[list[list[str]], np.ndarray]:
 
 @dataclass
 class Forest:
-    """Trees side by side; ``levels`` are the nodes of each depth from 1."""
+    """Trees side by side; ``levels`` are the nodes of each depth from 1. ``x`` are the numbers of
+    each node; its named features are pairs of ``rows`` and ``columns``."""
 
     parent: np.ndarray
     leaf: np.ndarray
     levels: list[np.ndarray]
     x: np.ndarray
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    columns: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each node's evidence."""
+        own = weights[self.x.shape[1] :]
+        return self.x @ weights[: self.x.shape[1]] + np.bincount(self.rows, own[self.columns], len(self.parent))
+
+    def pull(self, residual: np.ndarray, width: int) -> np.ndarray:
+        """The slope of the weights by the residual of each node."""
+        named = np.bincount(self.columns, residual[self.rows], width - self.x.shape[1])
+        return np.concatenate([self.x.T @ residual, named])
 
 
 def forest(pages: list[list[Node]], vocabulary: dict[str, int]) -> Forest:
@@ -150,12 +168,11 @@ def forest(pages: list[list[Node]], vocabulary: dict[str, int]) -> Forest:
                     rows.append(at + i)
                     columns.append(vocabulary[name])
         at += len(nodes)
-    x = np.zeros((at, len(vocabulary)), np.float32)
-    x[rows, columns] = 1
+    pairs = np.unique(np.array([rows, columns], np.int64).reshape(2, -1), axis=1)  # a name counts once a node
     d = np.array(depth, np.int64)
     order = np.argsort(d, kind="stable")
     levels = np.split(order, np.searchsorted(d[order], np.arange(1, (d.max() if at else 0) + 1)))[1:]
-    return Forest(np.array(parent, np.int64), np.array(leaf, np.int64), levels, np.hstack([np.vstack(numbers).astype(np.float32), x]) if at else np.zeros((0, 16 + len(vocabulary)), np.float32))
+    return Forest(np.array(parent, np.int64), np.array(leaf, np.int64), levels, np.vstack(numbers) if at else np.zeros((0, 16)), *pairs)
 
 
 def sum_product(f: Forest, unary: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +210,7 @@ class Model:
 
     def marginals(self, pages: list[list[Node]]) -> np.ndarray:
         f = forest(pages, self.vocabulary)
-        return sum_product(f, f.x @ self.weights.astype(np.float32), self.couple)[0]
+        return sum_product(f, f.scores(self.weights), self.couple)[0]
 
 
 def train(pages: list[tuple[list[Node], list[int]]]) -> Model:
@@ -205,11 +222,11 @@ def train(pages: list[tuple[list[Node], list[int]]]) -> Model:
     inner = np.flatnonzero(f.parent >= 0)
     want = np.zeros((2, 2, 2))
     np.add.at(want, (f.leaf[inner], y[f.parent[inner]], y[inner]), 1)
-    theta, couple = np.zeros(f.x.shape[1]), np.zeros((2, 2, 2))
+    theta, couple = np.zeros(f.x.shape[1] + len(vocabulary)), np.zeros((2, 2, 2))
     m1 = m2 = n1 = n2 = 0
     for step in range(1, ROUNDS + 1):
-        p, pairs = sum_product(f, f.x @ theta.astype(np.float32), couple)
-        slope = (f.x.T @ (y - p).astype(np.float32)) / len(pages) - 0.006 * theta
+        p, pairs = sum_product(f, f.scores(theta), couple)
+        slope = f.pull(y - p, len(theta)) / len(pages) - 0.006 * theta
         have = np.zeros((2, 2, 2))
         np.add.at(have, f.leaf[inner], pairs[inner])
         pull = (want - have) / len(pages) - 0.006 * couple
@@ -300,6 +317,8 @@ def made_page(texts: list[str], others: list[str], rng: np.random.Generator) ->
         tag = pick(("h1", "h2")) if i == 0 and rng.random() < 0.7 else pick(("p",) * 14 + ("h2", "h3", "blockquote", "div", "pre"))
         if tag == "p" and len(text) < 200 and rng.random() < 0.06:
             blocks.append(f"<ul><li>{t}</li></ul>")
+        elif tag == "p" and len(text) < 300 and rng.random() < 0.08:
+            blocks.append(f'<figure><img src="{i}.jpg"><figcaption>{t}</figcaption></figure>')
         else:
             blocks.append(f"<{tag}>{t}</{tag}>")
     inner = []
@@ -341,9 +360,9 @@ def labelled(pages: list[str], variants: int = VARIANTS, seed: int = 11) -> list
         if inside is not None:
             content = [n.leaf and i for n, i in zip(nodes, inside, strict=True)]
             out.append((nodes, tree_labels(nodes, content)))
-            written.append([n.text for n, c in zip(nodes, content, strict=True) if c][:40])
-        other += [n.text for n in nodes if n.leaf][:60]
-    for texts in written or [[t] for t in other[:100]]:
+            written.append([n.text for n, c in zip(nodes, content, strict=True) if c][:ARTICLE_RUNS])
+        other += [n.text for n in nodes if n.leaf][:OTHER_RUNS]
+    for texts in written or [[t] for t in other]:
         for _ in range(variants if texts else 0):
             nodes, content = made_page(texts, other, rng)
             out.append((nodes, tree_labels(nodes, content)))
@@ -366,19 +385,26 @@ def extract(pages: DataFrame, model: Model | None) -> DataFrame:
     """``page_id``, ``url``, the main ``text`` and ``n_chars``."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
+    def texts_of(trees: list[list[Node]]) -> list[str]:
+        content = shared.value.marginals(trees) >= 0.5 if shared.value else np.zeros(sum(map(len, trees)), bool)
+        texts, at = [], 0
+        for nodes in trees:
+            texts.append("\n".join(n.text for n, c in zip(nodes, content[at : at + len(nodes)].tolist(), strict=True) if c and n.leaf))
+            at += len(nodes)
+        return texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                trees = [parse(h or "") for h in batch.column(2).to_pylist()]
-                content = shared.value.marginals(trees) >= 0.5 if shared.value else np.zeros(sum(map(len, trees)), bool)
-                texts, at = [], 0
-                for nodes in trees:
-                    texts.append("\n".join(n.text for n, c in zip(nodes, content[at : at + len(nodes)].tolist(), strict=True) if c and n.leaf))
-                    at += len(nodes)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_EXTRACTED,
-                )
+        for batch in batches:
+            texts, trees, nodes = [], [], 0
+            for cell in batch.column(2):  # a page at a time
+                trees.append(parse(cell.as_py() or ""))
+                nodes += len(trees[-1])
+                if nodes >= NODES:
+                    texts += texts_of(trees)
+                    trees, nodes = [], 0
+            texts += texts_of(trees) if trees else []
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_EXTRACTED)
 
     rows = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "cast(html as string) as html")
     return rows.mapInArrow(run, EXTRACTED)

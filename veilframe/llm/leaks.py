@@ -49,19 +49,21 @@ def fold(text: str) -> str:
 
 
 def folded_offsets(text: str) -> tuple[str, list[int]]:
-    """The folded text and the source place of each of its characters."""
-    out, at, gap = [], [], False
+    """The text as :func:`fold` gives it, and the source place of each of its characters."""
+    lowered = text.lower()  # as a whole: a letter's form may depend on those around it, its length does not
+    out, at, gap, low = [], [], False, 0
     for i, c in enumerate(text):
+        high = low + len(c.lower())
         if c.isspace():
             gap = bool(out)
-            continue
-        if gap:
-            out.append(" ")
-            at.append(i - 1)
-            gap = False
-        for x in c.lower():
-            out.append(x)
-            at.append(i)
+        else:
+            if gap:
+                out.append(" ")
+                at.append(i - 1)
+                gap = False
+            out += lowered[low:high]
+            at += [i] * (high - low)
+        low = high
     return "".join(out), at
 
 
@@ -100,25 +102,57 @@ def myers(item: str, window: str, most: int, masks: dict[str, int]) -> tuple[int
     return (best, end) if best <= most else None
 
 
+def anchored(item: str, back: str, distance: int, masks: dict[str, int]) -> int:
+    """The length of the shortest beginning of ``back`` at ``distance`` edits from the whole item: the same
+    bit vectors, with the first row counting up instead of free."""
+    m = len(item)
+    if m <= distance:
+        return 0
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    for j, c in enumerate(back, 1):
+        eq = masks.get(c, 0)
+        x = eq | minus
+        d = (((x & plus) + plus) ^ plus) | x
+        hp, hn = minus | (full & ~(d | plus)), plus & d
+        if hp & top:
+            score += 1
+        elif hn & top:
+            score -= 1
+        if score <= distance:
+            return j
+        hp, hn = ((hp << 1) | 1) & full, (hn << 1) & full
+        plus, minus = hn | (full & ~(d | hp)), hp & d
+    return len(back)
+
+
+#: Places of one piece in an item that are looked at one by one; more are one stretch.
+FEW_PLACES = 8
+
+
+def _stretches(places: list[int]) -> list[tuple[int, int]]:
+    return [(p, p) for p in places] if len(places) <= FEW_PLACES else [(min(places), max(places))]
+
+
 class Matcher:
     """The automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int) -> None:
         self.items, self.masks, self.most = [], [], []
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        places: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:  # items are told apart by their place: ids may repeat or be null
             errors = int(rate * len(text)) if len(text) >= min_chars else 0
             masks: dict[str, int] = defaultdict(int)
             for i, c in enumerate(text):
                 masks[c] |= 1 << i
             for at, piece in pieces(text, errors):
-                places[piece].append((len(self.items), at))
+                places[piece][len(self.items)].append(at)
             self.items.append((item_id, text))
             self.masks.append(dict(masks))
             self.most.append(errors)
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
-            self.automaton.add_word(piece, (len(piece), where))
+            self.automaton.add_word(piece, (len(piece), [(k, a, b) for k, all_ in where.items() for a, b in _stretches(all_)]))
         if places:
             self.automaton.make_automaton()
 
@@ -126,42 +160,51 @@ class Matcher:
         """By the place of an item in the block its least distance and the end of its first such place in the folded text."""
         if not self.items:
             return {}
-        wanted: dict[int, set[int]] = defaultdict(set)
+        wanted: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for end, (length, where) in self.automaton.iter(text):
-            for k, at in where:
-                wanted[k].add(end + 1 - length - at)  # where the item would begin
+            for k, a, b in where:
+                wanted[k].add((end + 1 - length - b, end + 1 - length - a))  # between which the item would begin
         out = {}
         for k, begins in wanted.items():
-            item = self.items[k][1]
-            most, found, seen = self.most[k], None, -1
-            for begin in sorted(begins):
-                low, high = max(0, begin - most), begin + len(item) + most
-                if seen >= 0 and high <= seen:
-                    continue
-                if not self.hopeful(item, text, begin, most):
-                    continue
-                hit = myers(item, text[low:high], most, self.masks[k])
-                seen = high
-                if hit and (found is None or hit[0] < found[0]):
-                    found = (hit[0], low + hit[1])
-                    if hit[0] == 0:
-                        break
+            item, most, found = self.items[k][1], self.most[k], None
+            for low, high in _windows(begins, len(item), most):
+                window = text[low:high]
+                if self.hopeful(item, window, most):
+                    hit = myers(item, window, most, self.masks[k])
+                    if hit and (found is None or hit[0] < found[0]):
+                        found = (hit[0], low + hit[1])
+                        if hit[0] == 0:
+                            break
             if found:
                 out[k] = found
         return out
 
     @staticmethod
-    def hopeful(item: str, text: str, begin: int, most: int) -> bool:
+    def hopeful(item: str, window: str, most: int) -> bool:
         """Whether the counts of characters allow it: each edit mends at most one lacking one."""
-        low, high = max(0, begin - most), begin + len(item) + most
-        window, lacking = text[low:high], len(item)
         if len(window) < len(item) - most:
             return False
+        lacking = len(item)
         for c in set(item):
             lacking -= min(item.count(c), window.count(c))
         return lacking <= most
 
 
+def _windows(begins: set[tuple[int, int]], length: int, most: int) -> Iterator[tuple[int, int]]:
+    """The parts of a text in which an item of so many characters may stand, those that overlap as one."""
+    low = high = None
+    for first, last in sorted(begins):
+        a, b = max(0, first - most), last + length + most
+        if high is not None and a <= high:
+            high = max(high, b)
+            continue
+        if high is not None:
+            yield low, high
+        low, high = a, b
+    if high is not None:
+        yield low, high
+
+
 LEAKS = "doc_id long, item_id long, distance int, start int, end int"
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 _made: dict[str, Matcher] = {}
@@ -246,23 +289,11 @@ def _placed(doc_id: int | None, text: str, hits: dict[int, tuple[int, int]], mat
         for i, c in enumerate(item):
             masks[c] |= 1 << i
         back = folded[max(0, end - len(item) - distance) : end][::-1]
-        length = _anchored(item, back, distance, masks)
+        length = anchored(item, back, distance, masks)
         start = source[max(0, end - length)] if length else source[end - 1]
         out.append({"doc_id": doc_id, "item_id": item_id, "distance": distance, "start": start, "end": source[end - 1] + 1})
     return out
 
 
-def _anchored(item: str, back: str, distance: int, masks: dict[str, int]) -> int:
-    """The shortest beginning of ``back`` at ``distance`` edits from the whole item."""
-    if back[: len(item)] == item:
-        return len(item)
-    row = list(range(len(back) + 1))
-    for i, c in enumerate(item, 1):
-        last, row = row, [i]
-        for j, x in enumerate(back, 1):
-            row.append(min(last[j - 1] + (c != x), last[j] + 1, row[-1] + 1))
-    return next((j for j, d in enumerate(row) if d <= distance), len(back))
-
-
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     return find_leaks(docs, items)

@@ -40,7 +40,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def components(docs):
+def components(docs, percent=85):
     """{doc_id: (n_shingles, component)} of (id, text) rows with different ids."""
     sets = {d: shingles(t) for d, t in docs}
     root = {d: d for d in sets}
@@ -54,9 +54,9 @@ def components(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)):
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                 both = len(x & y)
-                if 100 * both >= 85 * (len(x) + len(y) - both):
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     p, q = sorted((find(a), find(b)))
                     root[q] = p
     return {d: (len(sets[d]), find(d)) for d in ids}

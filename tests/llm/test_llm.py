@@ -522,7 +522,7 @@ def test_pipeline_stages(spark):
     toxic, unique, clean, masked, mixed = ({r.doc_id: r.text for r in k.collect()} for k in kept)
     score = {r.doc_id: r.predicted for r in toxicity.query(before, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert set(toxic) == {d for d, p in score.items() if not p}
-    groups = brute.components(list(toxic.items()))
+    groups = brute.components(list(toxic.items()), 80)
     assert set(unique) == {d for d, (_, root) in groups.items() if d == root}
     items = [leaks.fold(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     exact = {d for d, t in unique.items() if any(i in leaks.fold(t) for i in items)}

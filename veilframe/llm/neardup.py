@@ -11,12 +11,19 @@ a million, at 0.8 (if that is asked for) with 2.2 in 100,000; above, in fewer ye
 
 Equal sets are one class before anything is compared. Classes that share a key
 are hung on the smallest of the key, and the connected parts of that graph are
-the clusters: no link between classes leaves one. In a cluster links are looked
+the clusters: no link between classes leaves one. A large cluster is often held
+together by what its texts have in common and no link, a template or a licence.
+It is divided again: of two linked sets of n shingles each, the n - 0.85 n + 1
+that come first in any order of shingles have one in common. The order begins
+with shingles that are rare, by their counts in a bounded sample of the large
+clusters, so texts that share but a template share no first shingle and part.
+Then their members are hung on the smallest of each first shingle; this keeps
+all links and costs work in proportion to the rows. In a cluster links are looked
 for from document to document, among those not linked yet, by set sizes,
 signatures and then the full sets, so a group of copies costs about as many
 comparisons as it has members for each chain it is made of, and gives one row a
-member. Clusters that are large are dealt as pairs of blocks, each a task of
-bounded size.
+member. Clusters that are large still, of very many differing copies, are dealt as
+pairs of blocks, each a task of bounded size.
 
 Defined cases: null and blank texts have empty sets and are linked with
 nothing; rows with a null id are compared with nothing, have no component and
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut
+from veilframe.llm.common import chosen, cut
 from veilframe.llm.graph import components
 from veilframe.llm.recompression import word_hashes
 from veilframe.llm.repeats import Hashes, U, _packed_rows, mixed, prepared, unpack
@@ -48,6 +55,10 @@ DISTANCE = PLACES // CHUNK * (ERRORS + 1) - 1
 #: Shingles of a block of a cluster, and of a task of small clusters.
 BLOCK = 400_000
 
+#: Documents whose shingles are counted to order those of large clusters, and shingles that are told apart by
+#: their counts. They decide which shingles come first, not which links are found.
+SAMPLE, FREQUENT = 20_000, 200_000
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FACTOR = mixed(np.arange(1, PLACES + 1, dtype=U)) | U(1)
 _ADD = mixed(np.arange(101, PLACES + 101, dtype=U))
@@ -154,6 +165,54 @@ def _hang(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets in _some(_texts(batches)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+
+def first_shingles(own: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Of a set the shingles that come first, so many that linked sets share one. ``often`` are
+    frequent shingles, sorted, with their ``counts``; all others come before them."""
+    count = np.zeros(len(own), np.int64)
+    if len(often) and len(own):
+        place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        count = np.where(often[place] == own, counts[place], 0)
+    first = len(own) - -(-percent * len(own) // 100) + 1
+    return own[np.lexsort((own, count))[: first if len(own) else 0]]
+
+
+def _send_first(buckets: int, often: np.ndarray, counts: np.ndarray, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _some(_texts(batches)):
+            firsts = [mixed(first_shingles(s, often, counts, percent)) for s in sets]
+            columns = {"key": np.concatenate(firsts), "doc": np.repeat(np.array(ids, np.int64), list(map(len, firsts)))}
+            out = list(_packed_rows(_KEY, columns, (columns["key"] % U(buckets)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def divided(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``rep``, ``n`` and ``cluster`` of the members after those of large clusters are divided by first shingles."""
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("_size")).filter(F.col("_size") > BLOCK)
+    large = cut(members.join(sizes.drop("_size"), "cluster", "left_semi"))
+    total, there = large.agg(F.sum("n"), F.count("*")).first()
+    if not there:
+        return members
+    texts = docs.join(large.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sample = texts.filter(chosen("doc_id", SAMPLE // 4, there))
+    counted = sample.mapInArrow(_each_shingle, "shingle long").groupBy("shingle").count().filter("count > 1")
+    top = counted.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    often, counts = top.column("shingle").to_numpy().view(U), top.column("count").to_numpy()
+    order = np.argsort(often)
+    buckets = max(1, round(total * (100 - percent) / 100 * 16 / 8_000_000))
+    sent = texts.mapInArrow(_send_first(buckets, often[order], counts[order], percent), "bucket int, payload binary")
+    parts = components(sent.groupBy("bucket").applyInPandas(_hang, "a long, b long"))
+    kept = large.select("rep", "n").join(parts, F.col("rep") == F.col("node")).select("rep", "n", F.col("root").alias("cluster"))
+    return members.join(sizes.drop("_size"), "cluster", "left_anti").select("rep", "n", "cluster").unionAll(kept)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for doc, task, cluster, text in _texts(batches, "task", "cluster"):
@@ -230,7 +289,7 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sent = classes.select("rep", "signature").mapInArrow(_send(buckets), "bucket int, payload binary")
     clusters = components(sent.groupBy("bucket").applyInPandas(_hang, "a long, b long"))
     members = classes.groupBy("rep").agg(F.max("n_shingles").alias("n")).join(clusters, F.col("rep") == F.col("node")).select("rep", "n", F.col("root").alias("cluster"))
-    members = cut(members)
+    members = cut(divided(docs, cut(members), percent))
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     tasks = max(1, round((members.agg(F.sum("n")).first()[0] or 0) / BLOCK))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -243,8 +302,12 @@ def find_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = components(sets.groupBy("task").applyInPandas(_link(percent), "a long, b long"))
     found = classes.select(*[F.col(c).alias(f"_{c}") for c in same], "rep").join(roots, F.col("rep") == F.col("node"), "left")
     found = found.select(*[f"_{c}" for c in same], F.coalesce("root", "rep").alias("component_id"))
-    on = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") == F.col("_n_shingles")) & F.col("doc_id").isNotNull()
-    rows = signed.drop("signature").join(found, on, "left")
+    on = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_shingles") == F.col("_n_shingles"))
+    known = (F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).alias("_known")
+    rows = signed.drop("signature")
+    # Blank texts share one key and have no class: they stay out of the join.
+    alone = rows.filter(~known).withColumn("component_id", F.lit(None).cast("long"))
+    rows = rows.filter(known).join(found, on, "left").select(*rows.columns, "component_id").unionAll(alone)
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

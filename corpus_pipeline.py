@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies (similarity 0.85, as the query); rows without an id stay."""
-    gone = neardup.find_groups(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The document of the smallest id of each group of near copies (similarity 0.8); rows without an id stay."""
+    gone = neardup.find_groups(docs, 80).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -13,8 +13,8 @@ rates has a row for each source, and a hot source is no group of rows.
 Defined cases: the null source is a source of its own; a null or blank text has
 no words and is repeated at its source's rate; repeated rows and rows that share
 an id, the null id too, get the same count; sources without words, or without
-weight, get no copies; an empty table gives an empty one. Columns named
-``replica`` or ``mix_key`` are replaced.
+weight, get no copies; a mean over ``MOST * MAX_DRAWS`` copies raises; an empty
+table gives an empty one. Columns named ``replica`` or ``mix_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from veilframe.llm.common import text_of, words_of
 
 #: A rate above this is drawn as a sum of so many times smaller ones, which has the same distribution.
 MOST = 32.0
+#: Draws of a document. A source so small for its weight that more were needed ends the job: its copies of one
+#: document would be a list too long for a row, and no sensible mix repeats a document 33 million times.
+MAX_DRAWS = 1 << 20
 
 
 def unit(*parts: Column) -> Column:
@@ -54,7 +57,9 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, epochs: float) -
     words = words.withColumn("weight", weight).filter("words > 0 AND weight > 0")
     share = F.col("weight") / words.agg(F.sum("weight")).scalar()
     rate = F.lit(float(epochs)) * share * words.agg(F.sum("words")).scalar() / F.col("words")
-    draws = F.greatest(F.ceil(F.col("rate") / MOST), F.lit(1)).cast("int")
+    draws = F.when(F.col("rate") > MOST * MAX_DRAWS, F.raise_error(F.concat(
+        F.lit("a document would be repeated more than MOST * MAX_DRAWS times, of source "), F.coalesce("source", F.lit("null")))).cast("int"))
+    draws = draws.otherwise(F.greatest(F.ceil(F.least("rate", F.lit(float(MOST * MAX_DRAWS))) / MOST), F.lit(1)).cast("int"))
     one = F.col("rate") / F.col("draws")
     upto = F.ceil(one + 12 * F.sqrt(one) + 20).cast("int")
     first = F.exp(-one)

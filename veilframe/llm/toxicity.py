@@ -14,7 +14,9 @@ is scored by summing weights over its own subsequences, whatever the number of
 landmarks. Each different word of a batch is scored once.
 
 Training takes a bounded sample of labelled rows (``max_toxic`` and
-``max_clean``) to the driver; scoring is a scan.
+``max_clean``) to the driver, and of a text over ``LEARN_CHARS`` characters a
+window of so many at a place that the hash of its id chooses; scoring is a scan
+of whole texts.
 
 Defined cases: a null or empty text has no words and gets the score of an empty
 text; a null id is held out and never learned from; repeated labels of an id
@@ -43,6 +45,8 @@ from veilframe.llm.common import chosen
 DECAY, SPAN = 0.6, 7
 #: Labelled rows that training takes at most.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Characters of a text that are learned from.
+LEARN_CHARS = 10_000
 LANDMARKS = 200
 ROUNDS = 4
 FOLDS = 5
@@ -277,7 +281,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -
         return []
     picked = docs.sparkSession.createDataFrame(list(ids.items()), "_id long, toxic int")
     # The sample is at most max_toxic + max_clean rows, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))
+    low = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - LEARN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    window = F.substr(F.col("text"), low, F.lit(LEARN_CHARS)).alias("text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", window).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))
     return [(r.text or "", r.toxic) for r in rows.collect()]
 
 

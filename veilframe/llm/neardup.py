@@ -45,6 +45,7 @@ from veilframe.llm.common import chosen, cut
 from veilframe.llm.graph import components
 from veilframe.llm.recompression import word_hashes
 from veilframe.llm.repeats import Hashes, U, _packed_rows, mixed, prepared, unpack
+from veilframe.operators import bloom
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union, where nothing else is asked for.
@@ -200,7 +201,9 @@ def divided(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     total, there = large.agg(F.sum("n"), F.count("*")).first()
     if not there:
         return members
-    texts = docs.join(large.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # Texts stay where they are: a Bloom filter of the members, of bounded size, tells them in the scan. One that
+    # it takes by mistake sends a few keys more; only members are joined below.
+    texts = docs.filter(bloom.build(large, F.col("rep")).test(F.col("doc_id")))
     sample = texts.filter(chosen("doc_id", SAMPLE // 4, there))
     counted = sample.mapInArrow(_each_shingle, "shingle long").groupBy("shingle").count().filter("count > 1")
     top = counted.orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()

@@ -56,6 +56,9 @@ DISTANCE = PLACES // CHUNK * (ERRORS + 1) - 1
 #: Shingles of a block of a cluster, and of a task of small clusters.
 BLOCK = 400_000
 
+#: Blocks of a cluster beyond which it is divided; a text of fewer is sent so many times, which costs less than
+#: the rounds of dividing. The result is the same either way.
+DIVIDED = 8
 #: Documents whose shingles are counted to order those of large clusters, and shingles that are told apart by
 #: their counts. They decide which shingles come first, not which links are found.
 SAMPLE, FREQUENT = 20_000, 200_000
@@ -196,7 +199,7 @@ def _send_first(buckets: int, often: np.ndarray, counts: np.ndarray, percent: in
 
 def divided(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``rep``, ``n`` and ``cluster`` of the members after those of large clusters are divided by first shingles."""
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("_size")).filter(F.col("_size") > BLOCK)
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("_size")).filter(F.col("_size") > DIVIDED * BLOCK)
     large = cut(members.join(sizes.drop("_size"), "cluster", "left_semi"))
     total, there = large.agg(F.sum("n"), F.count("*")).first()
     if not there:

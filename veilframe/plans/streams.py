@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.plans import masking, records
 from veilframe.plans.detection import DEFAULT, _DOCS
 from veilframe.sources.session import new_folder
-from veilframe.sources.tables import stream, table
+from veilframe.sources.tables import CSV, read_texts, stream, stream_texts, table
 from veilframe.streaming.answers import AnswerRestorer
 from veilframe.streaming.calls import call_rollup_stream, hourly_calls, hourly_durations
 from veilframe.streaming.inquiries import (
@@ -164,6 +164,32 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, provider, count(
 FROM c WHERE duration_ms IS NOT NULL GROUP BY ALL"""
 
 
+_TEXTS = "doc_id long, lang string, text string"
+
+
+def _written(spark, sf_dir, fmt):
+    """The documents in files of another format."""
+    path = new_folder(spark, f"documents-{fmt}")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows.write.options(**({**CSV, "quoteAll": "true"} if fmt == "csv" else {})).format(fmt).save(path)
+    return path
+
+
+def _read_back(fmt):
+    return lambda spark, sf_dir: read_texts(spark, _written(spark, sf_dir, fmt), fmt, _TEXTS)
+
+
+def _streamed_back(fmt):
+    def query(spark, sf_dir):
+        masked = mask_stream(stream_texts(spark, _written(spark, sf_dir, fmt), _TEXTS, fmt), config=DEFAULT)
+        return drain(masked.select("doc_id", "masked"), f"masked-{fmt}")
+
+    return query
+
+
+_TEXTS_SQL = "SELECT doc_id, lang, text FROM documents"
+
+
 def _near(estimate: str, exact: str):
     """Within five standard errors of the sketch, or one."""
     return F.expr(f"abs({estimate} - {exact}) <= greatest(1.0, 5 * 1.04 / 64 * {exact})")
@@ -211,6 +237,13 @@ QUERIES = {
     "inquiries_logged_watermark": (inquiries_logged_watermark, _IDS_SQL),
     "inquiry_stats_watermark": (inquiry_stats_watermark, _CLOSED_DAYS_SQL),
     "calls_hourly_watermark": (calls_hourly_watermark, _CLOSED_HOURS_SQL),
+    "texts_from_json": (_read_back("json"), _TEXTS_SQL),
+    "texts_from_csv": (_read_back("csv"), _TEXTS_SQL),
+    "texts_from_orc": (_read_back("orc"), _TEXTS_SQL),
+    "mask_stream_json": (_streamed_back("json"), masking._masked_sql(
+        _DOCS, "SELECT scope AS doc_id, masked FROM masked")),
+    "mask_stream_csv": (_streamed_back("csv"), masking._masked_sql(
+        _DOCS, "SELECT scope AS doc_id, masked FROM masked")),
     "call_durations_stream": (call_durations_stream, _DURATIONS_SQL),
     "inquiry_senders_stream": (inquiry_senders_stream, _SENDERS_SQL),
     "span_figures_stream": (span_figures_stream, f"SELECT *, true AS near FROM ({masking._ROLLUP_SOURCES_SQL})"),

@@ -31,10 +31,20 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int =
     )
 
 
+#: how texts with quotes and line breaks are written to csv files, and read from them
+CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """Texts from ``parquet``, ``json``, ``csv``, ``orc`` or ``text`` files."""
+    """Texts from ``parquet``, ``json``, ``csv`` (as :data:`CSV`), ``orc`` or ``text`` files."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.format(fmt).load(path)
+    return reader.options(**(CSV if fmt == "csv" else {})).format(fmt).load(path)
+
+
+def stream_texts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
+    """The same files as a stream, which has to be told the schema."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.options(**(CSV if fmt == "csv" else {})).format(fmt).load(path)
 
 
 def write_mapping(mapping: DataFrame, path: str, scope: str) -> None:

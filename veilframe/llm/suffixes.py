@@ -48,11 +48,13 @@ BEGIN = 20
 #: suffix taken of so many in a document, and the most suffixes for each range. It only balances.
 SAMPLED, EVERY, MOST = 4, 16, 200
 #: Places in the corpus, by the sample, and finds in the sample, from which a beginning is frequent.
-CROWD, FREQUENT = 80_000, 8
+CROWD, FREQUENT = 30_000, 8
 #: Chunks whose records travel together.
 TOGETHER = 4
 #: Strings that are sorted at a time.
-STRINGS = 1_000_000
+STRINGS = 500_000
+#: Buckets of suffixes for each home of documents: suffixes have three times the bytes of their texts.
+SMALLER = 3
 
 _BYTE = mixed(np.arange(1, 257, dtype=U))
 _LOW = U((1 << 24) - 1)
@@ -324,7 +326,7 @@ def splitters(docs: DataFrame, parts: int, there: int) -> tuple[np.ndarray, np.n
 
     The sample is of about ``4 * SAMPLED`` documents for each range (there are at most 4,096),
     chosen by a hash of their ids. The executors send at most ``MOST`` beginnings for each range, and
-    count those of all places: only a frequent one, which has ``CROWD`` places of a range's 300,000, is sent.
+    count those of all places: only a frequent one, which has ``CROWD`` places of a range's 100,000, is sent.
     """
     if parts < 2:
         return np.zeros(0, _LEAD), np.zeros(0, U)
@@ -342,9 +344,10 @@ def query(docs: DataFrame) -> DataFrame:
     docs = repeats.prepared(docs)
     facts = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("rows")).first()
     n = max(1, round((facts["size"] or 0) / repeats.BUCKET_BYTES))
-    parts = min(n, repeats.RANGES)
+    buckets = SMALLER * n if n > 1 else 1
+    parts = min(buckets, repeats.RANGES)
     points, frequent = splitters(docs, parts, facts["rows"])
-    ranges = Ranges(points, -(-n // parts), frequent)
+    ranges = Ranges(points, -(-buckets // parts), frequent)
     sent = docs.mapInArrow(_sender(ranges, n), "bucket int, payload binary")
     found = sent.groupBy("bucket").applyInPandas(_settle(ranges.buckets, n), FOUND).select("home", "payload")
     placed = docs.filter("doc_id is not null").withColumn("home", repeats.home(n))

@@ -110,6 +110,39 @@ def test_markdown(spark):
     assert one(spark, web.page_to_markdown(F.col("h")), h=html) == "## Head\n\nOne &lt; [link](/u)\n\n- i1\n- i2"
 
 
+@pytest.mark.parametrize("html, want", [
+    (None, None),
+    ("", ""),
+    ("  \n ", ""),
+    ("a <3 b > c", "a <3 b > c"),
+    ("<p>a<br>b<br><br>c</p>d", "a\nb\nc\n\nd"),
+    ("<ul><li>one<ul><li>in <b>n</b>er</li><li><p>x</p><p>y</p></li></ul></li><li>two</li></ul>z",
+     "- one\n  - in ner\n  - x\n\n    y\n\n- two\n\nz"),
+    ("<ol start=3><li>c<li>d<ul><li>e</ul><li>f</ol>", "3. c\n4. d\n   - e\n5. f"),
+    ("<ul><li></li><li>a<h2>b</h2></ul></ul>c", "- a\n\n  ## b\n\nc"),
+    ("<table><tr><th>A<th>B|x</tr><tr><td>1<br>2<ul><li>3</ul></td><td></td></tr></table>z",
+     "| A | B\\|x |\n| --- | --- |\n| 1 2 3 | |\n\nz"),
+    ("<table><tr><td>a<table><tr><td>b</table>c", "| a b c |\n| --- |"),
+    ("x<pre>\n\n a &lt;b&gt;\n\t<b>c</b>\n</pre>y", "x\n\n```\n\n a <b>\n\tc\n```\n\ny"),
+    ("<pre></pre><pre>q", "```\n```\n\n```\nq\n```"),
+    ("<a href=/r?a>k <img alt=\"A\" src='i.png'></a> l <a name=x>m</a>", "[k ![A](i.png)](/r?a) l m"),
+    ("<a href='/u?a&amp;b'> t </a>u <a href=x>un<a href=y>v", "[t](/u?a&b) u [un](x)[v](y)"),
+    ("&#233;&#xE9;&eacute;&Eacute; &nope; &#0;&#xD800;&#x1F600;&nbsp;&amp;lt;&amp", "éééÉ &nope; ��\U0001f600 &lt;&amp"),
+    ("a￿b&#65535;c", "a￾b￿c"),
+    ("<script>x</script><SCRIPTS>y<header>z</header><nav>m</nav >", "y\n\nz"),
+])
+def test_markdown_rules(spark, html, want):
+    assert one(spark, web.page_to_markdown(F.col("h")), h=html) == want
+
+
+def test_markdown_of_long_pages(spark):
+    """Lists deeper than the stack, and more pieces than a slice."""
+    got = one(spark, web.page_to_markdown(F.col("h")), h="<ul><li>a" * 40 + "</ul>" * 40 + "<p>b" * 300)
+    lines = got.split("\n")
+    assert lines[0] == "- a" and lines[31] == "  " * 31 + "- a" and lines[39] == "  " * 31 + "- a"
+    assert got.count("\n\nb") == 300
+
+
 def test_retry_delays(spark):
     df = spark.createDataFrame([(503, 0), (429, 3), (500, 9), (404, 1), (None, 1)], "status int, attempt int")
     assert [(r.retryable, r.delay_ms) for r in calls.classify_retryable(df).collect()] == [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.markdown import page_to_markdown  # noqa: F401
 from veilframe.functions.patterns import to_java
 
 # Fixed value: what a reader service puts before the page text.
@@ -12,30 +13,6 @@ MARKDOWN_MARKER = "Markdown Content:"
 
 _OUTER_BLANKS = to_java(r"^\s+|\s+") + r"\z"
 
-#: in order; (?is) is valid in Java and RE2 alike
-_DROP = (
-    r"(?is)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<nav\b[^>]*>.*?</nav\s*>",
-    r"(?is)<head\b[^>]*>.*?</head\s*>",
-)
-_REWRITE = tuple(
-    (rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", f"\n\n{'#' * n} $1\n\n") for n in range(1, 7)
-) + (
-    (r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)"),
-    (r"(?is)<li\b[^>]*>", "\n- "),
-    (r"(?is)<br\s*/?>", "\n"),
-    (r"(?is)</?(?:p|div|section|article|ul|ol|table|tr|header|footer|main|body|html)\b[^>]*>", "\n\n"),
-    (r"(?s)<[^>]*>", ""),
-)
-#: the ampersand last, so that "&amp;lt;" becomes "&lt;"
-_ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-)
-_TIDY = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
-
-
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, _OUTER_BLANKS, "")
 
@@ -52,18 +29,3 @@ def strip_envelope(payload: Column) -> Column:
     at = F.instr(payload, MARKDOWN_MARKER)
     rest = F.substring(payload, at + len(MARKDOWN_MARKER), F.length(payload))
     return F.when(at > 0, js_trim(rest)).otherwise(payload)
-
-
-def page_to_markdown(html: Column) -> Column:
-    """Main text of a page: scripts, styles, navigation, head and comments dropped;
-    headings, links, list items and paragraphs kept; common entities decoded."""
-    text = html
-    for pattern in _DROP:
-        text = F.regexp_replace(text, pattern, "")
-    for pattern, by in _REWRITE:
-        text = F.regexp_replace(text, pattern, by)
-    for entity, by in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(by))
-    for pattern, by in _TIDY:
-        text = F.regexp_replace(text, pattern, by)
-    return js_trim(text)

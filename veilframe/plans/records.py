@@ -20,7 +20,7 @@ from veilframe.operators import messages as ME
 from veilframe.operators import outbox as OB
 from veilframe.operators import pages as PG
 from veilframe.operators import search as SE
-from veilframe.sources.session import keep_last_key, new_folder
+from veilframe.sources.session import asked_spread, keep_last_key, new_folder, spread
 from veilframe.sources.tables import table, text_table
 
 
@@ -399,21 +399,55 @@ def pages_markdown(spark, sf_dir):
         "page_id", "markdown")
 
 
-def _markdown_sql() -> str:
-    def q(text):
-        return "'" + text.replace("'", "''") + "'"
-
-    text = "html"
-    for pattern in web._DROP:
-        text = f"regexp_replace({text}, {q(pattern)}, '', 'g')"
-    for pattern, by in web._REWRITE:
-        by = by.replace("$1", r"\1").replace("$2", r"\2")
-        text = f"regexp_replace({text}, {q(pattern)}, {q(by)}, 'g')"
-    for entity, by in web._ENTITIES:
-        text = f"replace({text}, {q(entity)}, {q(by)})"
-    for pattern, by in web._TIDY:
-        text = f"regexp_replace({text}, {q(pattern)}, {q(by)}, 'g')"
-    return rf"SELECT page_id, regexp_replace({text}, '^\s+|\s+$', '', 'g') AS markdown FROM pages"
+#: what the tags of the given pages come to, written down by hand
+_MARKDOWN_SQL = r"""WITH kept AS (SELECT page_id, regexp_replace(regexp_replace(html, '\s+', ' ', 'g'),
+    '(?i)<!--.*?-->|<!doctype[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<script>.*?</script>|<style>.*?</style>', '', 'g')
+    AS html FROM pages),
+  broken AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '<h1>', chr(10) || chr(10) || '# ', 'g'), '<br>', chr(10), 'g'),
+    '</?(p|div|article|footer|body|html)( [^>]*)?>|</h1>', chr(10) || chr(10), 'g'), '</?b>', '', 'g') AS text FROM kept),
+  decoded AS (SELECT page_id, replace(replace(replace(replace(text,
+    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS text FROM broken)
+SELECT page_id, trim(regexp_replace(regexp_replace(text, ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+  ' ' || chr(10)) AS markdown FROM decoded"""
+
+
+#: a page for every order: lists in lists, numbers that go on, a table, preformatted text,
+#: attributes in all quotes, references of all kinds
+_ORDER_PAGES = r"""
+WITH lines AS (SELECT l_orderkey, array_sort(collect_list(struct(
+    l_linenumber AS n, CAST(l_partkey AS STRING) AS part, CAST(l_quantity AS INT) AS qty))) AS of FROM {lineitem}
+  GROUP BY l_orderkey)
+SELECT o_orderkey, concat(
+  '<!DOCTYPE html><html><head><title>Order</title></head><body><nav><a href="/">home</a></nav>',
+  '<h1 class=top>Order &#35;', o_orderkey, '</h1>\n<p>Of <i>customer</i>\n &lt;', o_custkey, '&gt; &amp;amp; others<br/>caf&eacute; &#x263A;</p>',
+  '<ul><li>Status ', o_orderstatus, '<ol start=', o_orderkey % 5 + 1, '><li>', o_orderpriority, '</li><li>key<ul><li>deep</ul></ol></li>',
+  '<li><p><a title=x href=\'/c/', o_custkey, '?a=1&amp;b=2\'> the customer </a></ul>',
+  '<TABLE border=1><thead><tr><th>line</th><th>part | number</th></tr></thead><tbody>',
+  array_join(transform(coalesce(of, array()), x -> concat('<tr><td>', x.n, '<td><p><a href=/p/', x.part, '>', x.part,
+    '</a>&nbsp;x</p><div>', x.qty, '</div></tr>')), ''), '</tbody></table>',
+  '<pre>\nkey\t', o_orderkey, '\n  a &lt; b\n</pre><hr><h3>End</h3><script>if (a < b) x("</p>")</script></body></html>') AS html
+FROM {orders} LEFT JOIN lines ON l_orderkey = o_orderkey"""
+
+
+def order_pages_markdown(spark, sf_dir):
+    pages = spread(_from(spark, sf_dir, _ORDER_PAGES, "orders", "lineitem"), asked_spread(spark))
+    return PG.pages_to_markdown(pages).select("o_orderkey", "markdown")
+
+
+#: the same from the tables, without a page in between
+_ORDER_PAGES_SQL = r"""
+WITH lines AS (SELECT l_orderkey, string_agg('| ' || l_linenumber || ' | [' || l_partkey || '](/p/' || l_partkey || ') x '
+    || l_quantity::INTEGER || ' |' || chr(10), '' ORDER BY l_linenumber, l_partkey::VARCHAR, l_quantity::INTEGER) AS rows
+  FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, concat_ws(chr(10),
+  '# Order #' || o_orderkey, '', 'Of customer <' || o_custkey || '> &amp; others', 'café ☺', '',
+  '- Status ' || o_orderstatus,
+  '  ' || (o_orderkey % 5 + 1) || '. ' || o_orderpriority, '  ' || (o_orderkey % 5 + 2) || '. key', '     - deep',
+  '- [the customer](/c/' || o_custkey || '?a=1&b=2)', '',
+  '| line | part \| number |', '| --- | --- |', coalesce(rows, ''),
+  '```', 'key' || chr(9) || o_orderkey, '  a < b', '```', '', '---', '', '### End') AS markdown
+FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey"""
 
 
 def documents_searched(spark, sf_dir):
@@ -693,7 +727,8 @@ QUERIES = {
     "inquiry_stats_all": (_stats("all"), _stats_sql("true")),
     "urls_normalized": (urls_normalized, _URLS_SQL),
     "envelopes_stripped": (envelopes_stripped, _STRIPPED_SQL),
-    "pages_markdown": (pages_markdown, _markdown_sql()),
+    "pages_markdown": (pages_markdown, _MARKDOWN_SQL),
+    "order_pages_markdown": (order_pages_markdown, _ORDER_PAGES_SQL),
     "documents_searched": (documents_searched, _SEARCH_SQL),
     "documents_ranked": (documents_ranked, _ranked_sql(RANKED_QUERY, "true", "LIMIT 25 OFFSET 25")),
     "documents_ranked_by_language": (documents_ranked_by_language, _ranked_sql(

@@ -169,3 +169,17 @@ def test_daily_inquiries_are_complete(spark, tmp_path):
     daily.start(read_stream(spark, tmp_path, schema), availableNow=True).awaitTermination()
     assert {(str(r.day)[:10], r.n_inquiries) for r in daily.read(spark).collect()} == {
         ("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-05", 10)}
+
+
+def test_tables_of_several_files_and_of_one_are_streamed(spark, tmp_path):
+    import glob
+    import os
+
+    from veilframe.sources.tables import stream
+    turns = spark.range(30).select("id", F.lit("a@x.example").alias("text"))
+    turns.repartition(3).write.parquet(str(tmp_path / "turns.parquet"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "made"))
+    os.rename(glob.glob(str(tmp_path / "made" / "*.parquet"))[0], tmp_path / "single.parquet")
+    for name in ("turns", "single"):
+        out = drain(stream(spark, str(tmp_path), name), "test")
+        assert sorted(r.id for r in out.collect()) == list(range(30))

@@ -73,6 +73,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, folder = _file_system(spark, path)
+    return system.exists(folder) and system.getFileStatus(folder).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder that an operator of this package wrote, on whatever storage it lies."""
     system, folder = _file_system(spark, path)

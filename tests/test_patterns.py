@@ -103,3 +103,25 @@ def test_id_min_length(spark):
 def test_patterns_compile_for_java(spark):
     for family in FAMILIES:
         assert re.search(r"\\b", java_pattern(family)) is None
+
+
+def test_cheap_classes_hold_the_same_characters(spark):
+    from veilframe.functions.patterns import _CLASSES, _CLASSES_ANY_CASE
+    from veilframe.functions.spans import quote
+    chars = spark.range(1, 0x10000).where("id NOT BETWEEN 55296 AND 57343").selectExpr(
+        "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    pairs = [("", *p) for p in _CLASSES] + [("(?i)", *p) for p in _CLASSES_ANY_CASE]
+    same = " AND ".join(f"(c RLIKE {quote(flag + old)}) = (c RLIKE {quote(flag + new)})" for flag, old, new in pairs)
+    assert not chars.where(f"NOT ({same})").collect()
+
+
+def test_notes_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """As on a cluster, where the session asks for no spread."""
+    from veilframe.sources import tables
+    monkeypatch.setattr(tables, "asked_spread", lambda _: None)
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1000).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    notes = tables.order_notes(spark, str(tmp_path))
+    assert notes.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert notes.count() == 1000

@@ -114,3 +114,14 @@ def test_bloom_filter_of_a_column(spark):
     assert others.where(found.test(F.col("k"))).count() < 1000
     nothing = bloom.build(keys.limit(0), F.col("k"))
     assert others.where(nothing.test(F.col("k"))).count() == 0
+
+
+def test_bloom_filter_keeps_plans_short(spark):
+    """Plans are written out as text on the driver: a bit a place, not a byte."""
+    from veilframe.operators import bloom
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS k")
+    found = bloom.build(keys, F.col("k"))
+    assert len(found.places) == 1 << (found.power - 3)
+    assert keys.where(found.test(F.col("k"))).count() == 20_000
+    others = spark.range(20_000).selectExpr("concat('x', id) AS k")
+    assert others.where(found.test(F.col("k"))).count() < 2_000

@@ -1,8 +1,9 @@
 """A Bloom filter as an aggregate of a column, tested inside a scan.
 
-The filter is a literal in the plan of the scan: a byte for each place, so that a test
-is a substring of one byte, and at most 2^23 of them (8 MB) whatever the number of keys.
-With more keys than places allow for, more rows pass; none is lost.
+The filter is a literal in the plan of the scan: a bit for each place, and at most 2^23 of
+them (1 MB) whatever the number of keys. Spark writes plans out as text on the driver, a literal
+once for each use, so its bytes count many times. With more keys than places allow for, more
+rows pass; none is lost.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ class Bloom:
         self.power, self.places = power, places
 
     def test(self, key: Column) -> Column:
-        table, there = F.lit(self.places), F.lit(b"\x01")
-        found = [
-            F.substr(table, F.shiftrightunsigned(F.xxhash64(key), s).bitwiseAND((1 << self.power) - 1).cast("int") + 1, F.lit(1)) == there
-            for s in SHIFTS]
-        return found[0] & found[1] & found[2]
+        table = F.lit(self.places)
+
+        def there(shift: int) -> Column:
+            place = F.shiftrightunsigned(F.xxhash64(key), shift).bitwiseAND((1 << self.power) - 1).cast("int")
+            byte = F.ascii(F.decode(F.substr(table, F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
+            # the bit of the place in its byte
+            return byte.bitwiseAND(F.element_at(F.lit([1 << i for i in range(8)]), place.bitwiseAND(7) + 1)) != 0
+
+        return there(SHIFTS[0]) & there(SHIFTS[1]) & there(SHIFTS[2])
 
 
 def build(keys: DataFrame, key: Column) -> Bloom:
@@ -43,4 +48,4 @@ def build(keys: DataFrame, key: Column) -> Bloom:
     words = np.zeros(1 << (power - 6), np.int64)
     for r in set_.collect():
         words[r["word"]] = r["bits"]
-    return Bloom(power, np.unpackbits(words.view(np.uint8), bitorder="little").tobytes())
+    return Bloom(power, words.astype("<i8").tobytes())

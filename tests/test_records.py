@@ -143,6 +143,14 @@ def test_markdown_of_long_pages(spark):
     assert got.count("\n\nb") == 300
 
 
+def test_markdown_is_not_an_interpreted_fold(spark):
+    """A fold of SQL functions copies its state at every piece: no lambda is left in the plan."""
+    df = spark.createDataFrame([("<p>a",), ("b",)], "h string").select(web.page_to_markdown(F.col("h")).alias("x"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    assert one(spark, web.page_to_markdown(F.col("h")), h="a&#65279;b") == "a\ufeffb"
+
+
 def test_retry_delays(spark):
     df = spark.createDataFrame([(503, 0), (429, 3), (500, 9), (404, 1), (None, 1)], "status int, attempt int")
     assert [(r.retryable, r.delay_ms) for r in calls.classify_retryable(df).collect()] == [

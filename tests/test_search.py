@@ -125,3 +125,11 @@ def test_bloom_filter_keeps_plans_short(spark):
     assert keys.where(found.test(F.col("k"))).count() == 20_000
     others = spark.range(20_000).selectExpr("concat('x', id) AS k")
     assert others.where(found.test(F.col("k"))).count() < 2_000
+
+
+def test_what_is_written_between_is_gathered_already(spark, tmp_path):
+    """No row per term and document is written or exchanged: one per term, block and language."""
+    search.build_index(spark.createDataFrame(corpus(3, 300), DOCS), str(tmp_path / "index"), 8, 50)
+    counted = spark.read.parquet(str(tmp_path / "index/counts"))
+    postings = spark.read.parquet(str(tmp_path / "index/postings"))
+    assert counted.count() == postings.count() == postings.select("term", "block", "lang").distinct().count()

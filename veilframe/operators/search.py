@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators.pages import FIRST_PAGE, NUM_RESULTS
+from veilframe.sources.session import several_a_core
 
 #: BM25: how soon a word's repetitions stop to count, and how much a text's length does
 K1, B = 1.2, 0.75
@@ -63,32 +64,36 @@ def build_index(documents: DataFrame, path: str, buckets: int = 64, block_docs:
     """Write the index of ``doc_id, lang, text``. Rows without id are left out; a repeated id
     must be the same document.
 
-    Counts go by (term, document), so a word of every text is many keys. A block holds
-    about ``block_docs`` documents, told by the hash of their ids; a row holds one term of
-    one block, so no list grows with the corpus.
+    A block holds about ``block_docs`` documents, told by the hash of their ids, and a row one
+    term of one block, so no list grows with the corpus. Texts travel once, to their blocks;
+    there words are counted and gathered without a further exchange. What is exchanged then are
+    finished rows. How rare a term is belongs to a row, not to each of its documents.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", "lang", words_of(F.col("text")).alias("words"))
-    docs = docs.select("doc_id", "lang", F.size("words").alias("length"), "words")
-    facts = docs.agg(F.count("*").alias("n"), F.avg("length").alias("length")).first()
-    n, mean = facts["n"], facts["length"] or 1.0
+    known = documents.where("doc_id IS NOT NULL")
+    n = known.count()
     blocks = max(1, math.ceil(n / block_docs))
-    counts = docs.select("doc_id", "lang", "length", F.explode("words").alias("term")).groupBy(
-        "term", "doc_id", "lang", "length").agg(F.count("*").alias("tf"))
-    counts.write.mode("overwrite").parquet(f"{path}/counts")
-    counts = spark.read.schema(counts.schema).parquet(f"{path}/counts")
-    known = counts.groupBy("term").agg(F.count("*").alias("df")).select(
+    docs = known.select(
+        "doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    docs = docs.repartition(several_a_core(spark), "block").select(
+        "block", "doc_id", "lang", words_of(F.col("text")).alias("words"))
+    counts = docs.select("block", "doc_id", "lang", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy(
+        "block", "term", "doc_id", "lang", "length").agg(F.count("*").alias("tf"))
+    counted = counts.groupBy("block", "term", "lang").agg(
+        F.count("*").alias("n"), F.sum("tf").alias("words"),
+        F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("counts"))
+    counted.write.mode("overwrite").parquet(f"{path}/counts")
+    counted = spark.read.schema(counted.schema).parquet(f"{path}/counts")
+    mean = (counted.agg(F.sum("words")).first()[0] or 0) / max(n, 1) or 1.0
+    idf = counted.groupBy("term").agg(F.sum("n").alias("df")).select(
         "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    scored = counts.join(known, "term").select(
-        "term", "lang", "doc_id", part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    rows = scored.groupBy("term", "lang", "block").agg(
-        F.max("part").alias("top"), F.sort_array(F.collect_list(F.struct("doc_id", "part"))).alias("docs"))
+    scored = counted.join(idf, "term").select("term", "lang", "block", F.expr(f"""transform(counts, d -> named_struct(
+        'doc_id', d.doc_id, 'part', idf * d.tf * {K1 + 1}D / (d.tf + {K1}D * ({1 - B}D + {B}D * d.length / {mean!r}D))))
+        """).alias("docs"))
+    rows = scored.select("term", "lang", "block", F.array_max("docs.part").alias("top"), "docs")
     index = Index(path, buckets, blocks, dict(documents.dtypes)["doc_id"])
-    rows.withColumn("bucket", index._bucket()).repartitionByRange(
-        "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode(
-        "overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.withColumn("bucket", index._bucket()).repartition("bucket").sortWithinPartitions(
+        "bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     return index
 
 

@@ -5,6 +5,7 @@ import plain
 from pyspark.sql import functions as F
 from veilframe.functions import spans as S
 from veilframe.functions.patterns import DETECTORS, MaskConfig
+from veilframe.operators import detect as D
 from veilframe.operators import masking as M
 from veilframe.operators.detect import Rule, detect_terms, find_all_matches, span_rows
 from veilframe.operators.entities import EntityConfig, detect_orgs, detect_persons
@@ -246,6 +247,19 @@ def test_detection_runs_each_pattern_once(spark, tmp_path):
     assert "Exchange" not in plan and "BatchEvalPython" not in plan and "ArrowEval" not in plan
 
 
+def test_patterns_are_not_one_method(spark, tmp_path):
+    """In whole-stage code (a star in the plan) all patterns would be one method, which the JVM does not compile."""
+    rows(spark, ["x"]).write.parquet(str(tmp_path / "t"))
+    df = D.detect_patterns(spark.read.parquet(str(tmp_path / "t")))
+    marking = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "regexp_replace" in line]
+    assert len(marking) == 1 and not marking[0].lstrip(" +-:").startswith("*(")
+
+
+def test_texts_without_hits_have_no_spans_but_are_not_null(spark):
+    found = D.detect_sensitive(rows(spark, ["plain", "a@b.example", None]), rules=[D.Rule("nowhere"), D.Rule("plain")])
+    assert sorted([s.value for s in r.spans] for r in found.collect()) == [[], ["a@b.example"], ["plain"]]
+
+
 def test_time_grows_with_the_matches_of_a_text(spark):
     """50,000 matches in one text: twice as many take at most about twice as long."""
     def seconds(run, n):

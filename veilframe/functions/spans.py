@@ -66,26 +66,27 @@ def slices(array: str, j: str) -> str:
             f"{j} -> slice({array}, {j} * {SLICE} + 1, {SLICE}))")
 
 
-def locate(pieces: str, seq: int, category: str, source: str) -> str:
+#: A column with a lambda, which keeps its projection out of whole-stage code. There dozens
+#: of patterns would be one method, too long (8,000 bytes) for the JVM to compile, and be
+#: interpreted; apart, each is a method of its own.
+APART = "exists(array(0), x -> x > 0)"
+
+
+def locate(pieces: str, seq: str, category: str, source: str) -> str:
     """Spans from the pieces of a marked text: every second piece is a match, and the
-    running length is its offset. Slices are located alone and moved by the length of
-    what stands before them."""
-    fold = f"""aggregate(q,
-        named_struct('at', aggregate(slice(lengths, 1, k), 0, (m, y) -> m + y),
-                     'hit', false, 'found', {NO_SPANS}),
-        (acc, x) -> named_struct(
-          'at', acc.at + length(x), 'hit', NOT acc.hit,
-          'found', CASE WHEN acc.hit THEN concat(acc.found, array(named_struct(
-            'start_idx', acc.at, 'seq', {seq}, 'end_idx', acc.at + length(x),
-            'category', {quote(category)}, 'source', {quote(source)}, 'value', x)))
-            ELSE acc.found END),
-        acc -> acc.found)"""
-    lengths = "transform(cut, q -> aggregate(q, 0, (m, y) -> m + length(y)))"
-    found = let("cut", slices(pieces, "j"), let(
-        "lengths", lengths, f"flatten(transform(cut, (q, k) -> {fold}))"))
-    at = f"length(get({pieces}, 0))"
-    single = f"""array(named_struct('start_idx', {at}, 'seq', {seq}, 'end_idx', {at} + length(get({pieces}, 1)),
-        'category', {quote(category)}, 'source', {quote(source)}, 'value', get({pieces}, 1)))"""
+    length of what stands before it is its offset. Slices are located alone and moved by
+    the length of the slices before them; the others are SQL text of what a span says."""
+    def span(at: str, value: str) -> str:
+        return f"""named_struct('start_idx', {at}, 'seq', {seq}, 'end_idx', {at} + length({value}),
+            'category', {category}, 'source', {source}, 'value', {value})"""
+
+    before = "aggregate(slice(lengths, 1, i), base, (m, y) -> m + y)"
+    each = let("base", "aggregate(slice(sums, 1, k), 0, (m, y) -> m + y)", let(
+        "lengths", "transform(q, y -> length(y))", f"""filter(transform(q, (x, i) ->
+          CASE WHEN i % 2 = 1 THEN {let("at", before, span("at", "x"))} END), s -> s IS NOT NULL)"""))
+    sums = "transform(cut, q -> aggregate(q, 0, (m, y) -> m + length(y)))"
+    found = let("cut", slices(pieces, "j"), let("sums", sums, f"flatten(transform(cut, (q, k) -> {each}))"))
+    single = f"array({span(f'length(get({pieces}, 0))', f'get({pieces}, 1)')})"
     return f"""CASE WHEN {pieces} IS NULL THEN {NO_SPANS} WHEN size({pieces}) = 3 THEN {single}
       ELSE {found} END"""
 
@@ -94,7 +95,7 @@ def find_all(text: str, pattern: str) -> str:
     """Every non-overlapping match of a Java pattern, as spans with an empty category."""
     return f"""get(transform(array({markable(text)}), t ->
       get(transform(array({mark_matches('t', pattern)}), m ->
-        get(transform(array({split_marked('m', 't')}), p -> {locate('p', 0, '', '')}), 0)), 0)), 0)"""
+        get(transform(array({split_marked('m', 't')}), p -> {locate('p', '0', "''", "''")}), 0)), 0)), 0)"""
 
 
 def own_values(text: str, spans: str) -> str:

@@ -41,7 +41,6 @@ class Rule:
 class Search:
     """One pattern to look for, and how its spans are labelled."""
 
-    name: str
     pattern: str
     seq: int
     category: str
@@ -50,27 +49,37 @@ class Search:
     gate: str | None = None
 
 
+#: no marked texts, and no spans of any search
+_NO_MARKS = "cast(array() as array<struct<seq:int,category:string,source:string,marked:string>>)"
+_HITS = f"cast(array() as array<struct<seq:int,spans:{S.SPAN_TYPE}>>)"
+
+
 def with_matches(df: DataFrame, text_col: str, searches: Sequence[Search]) -> DataFrame:
-    """Add ``_r_<name>``, the spans of each search.
+    """Add ``_hits``: of each search with a match its ``seq`` and its ``spans``, in the order
+    of the searches.
 
-    Three projections: mark the matches, cut the marked texts, and turn the pieces
-    into spans. The first two run under codegen. Each refers more than once to what
-    the one before computed, so Catalyst keeps them apart and a pattern runs once.
+    The first projection marks the matches: patterns behind gates, compiled, see
+    :data:`veilframe.functions.spans.APART`. The others are lambdas, which Spark interprets,
+    so they see only the few searches that found something. Each refers more than once to
+    what the one before computed, so Catalyst keeps them apart and a pattern runs once.
     """
+    if not searches:
+        return df.select("*", F.expr(_HITS).alias("_hits"))
+
     def marked(s: Search) -> str:
-        hit = S.mark_matches("_markable", s.pattern)
-        return f"CASE WHEN {s.gate} THEN {hit} END" if s.gate else hit
+        hit = f"""named_struct('seq', {s.seq}, 'category', {S.quote(s.category)}, 'source', {S.quote(s.source)},
+            'marked', {S.mark_matches("_markable", s.pattern)})"""
+        return f"CASE WHEN {s.gate or '_markable IS NOT NULL'} THEN array({hit}) ELSE {_NO_MARKS} END"
 
     work = df.select("*", F.expr(S.markable(text_col)).alias("_markable"))
-    marks = work.select("*", *[F.expr(marked(s)).alias(f"_x_{s.name}") for s in searches])
-    pieces = marks.select(*df.columns, *[
-        F.expr(S.split_marked(f"_x_{s.name}", "_markable")).alias(f"_p_{s.name}")
-        for s in searches
-    ])
-    return pieces.select(*df.columns, *[
-        F.expr(S.locate(f"_p_{s.name}", s.seq, s.category, s.source)).alias(f"_r_{s.name}")
-        for s in searches
-    ])
+    marks = work.select("*", F.expr(f"flatten(array({', '.join(marked(s) for s in searches)}))").alias("_marks"),
+                        F.expr(S.APART).alias("_apart"))
+    found = marks.select(*df.columns, F.expr(
+        f"CASE WHEN size(_marks) = 0 OR _apart THEN {_NO_MARKS} ELSE filter(_marks, x -> x.marked != _markable) END"
+    ).alias("_found"))
+    spans = S.let("p", f"split(f.marked, '{S.MARK}', -1)", S.locate("p", "f.seq", "f.category", "f.source"))
+    return found.select(*df.columns, F.expr(f"""CASE WHEN size(_found) = 0 THEN {_HITS} ELSE
+        transform(_found, f -> named_struct('seq', f.seq, 'spans', {spans})) END""").alias("_hits"))
 
 
 _NINE_DIGITS = "[0-9](?:[^0-9]?[0-9]){8}"
@@ -100,45 +109,55 @@ def _with_families(df: DataFrame, text_col: str, config: MaskConfig) -> DataFram
         F.expr(f"{text_col} RLIKE {S.quote(_NINE_DIGITS)}").alias("_nine_digits"),
     )
     found = with_matches(shared, text_col, [
-        Search(f.name, java_pattern(f, config.id_min_length), SEQ[f.name], f.category, "regex",
-               _gate(f, text_col))
+        Search(java_pattern(f, config.id_min_length), SEQ[f.name], f.category, "regex", _gate(f, text_col))
         for f in families
     ])
     return found.drop("_lower", "_colons", "_hyphens", "_some_digits", "_nine_digits")
 
 
-def family_spans(family: Family, active: set[str]) -> str:
-    """The spans of one family that no raw match of its cancelling families touches."""
-    spans = f"_r_{family.name}"
-    rivals = [f"_r_{n}" for n in family.cancelled_by if n in active]
-    if rivals:
-        spans = S.drop_overlapping(spans, rivals)
-    if family.name == "code":
-        mails = "NOT exists(_r_email, m -> m.value = x.value) AND" if "email" in active else ""
-        spans = f"filter({spans}, x -> {mails} NOT x.value RLIKE '^[0-9]+$')"
-    return spans
+#: all spans of the searches, in their order
+_ALL_SPANS = "flatten(_hits.spans)"
 
 
-def _collect(found: DataFrame, keep: Sequence[str], text_col: str, parts: list[str],
-             out: str) -> DataFrame:
-    together = found.select(*keep, F.expr(S.concat_spans(parts)).alias("_together"))
+def _spans_of(seqs: str) -> str:
+    """The spans of some searches, of those that ``_hits`` has."""
+    return f"flatten(transform(filter(_hits, o -> array_contains({seqs}, o.seq)), o -> o.spans))"
+
+
+def uncancelled(families: Sequence[Family]) -> str:
+    """The spans that no raw match of their families' cancelling families touches."""
+    active = {f.name for f in families}
+    rivals = {SEQ[f.name]: [SEQ[n] for n in f.cancelled_by if n in active] for f in families}
+    rivals = {seq: others for seq, others in rivals.items() if others}
+    spans = "h.spans"
+    if rivals:
+        of = " ".join(f"WHEN {seq} THEN array({', '.join(map(str, others))})" for seq, others in rivals.items())
+        kept = S.let("rival", _spans_of(f"CASE h.seq {of} END"), S.drop_overlapping("h.spans", ["rival"]))
+        spans = f"CASE WHEN h.seq IN ({', '.join(map(str, rivals))}) THEN {kept} ELSE {spans} END"
+    if "code" in active:
+        mails = "NOT exists(mails, m -> m.value = x.value) AND" if "email" in active else ""
+        named = f"filter(s, x -> {mails} NOT x.value RLIKE '^[0-9]+$')"
+        if mails:
+            named = S.let("mails", _spans_of(f"array({SEQ['email']})"), named)
+        spans = S.let("s", spans, f"CASE WHEN h.seq = {SEQ['code']} THEN {named} ELSE s END")
+    return f"CASE WHEN size(_hits) = 0 THEN {S.NO_SPANS} ELSE flatten(transform(_hits, h -> {spans})) END"
+
+
+def _collect(found: DataFrame, keep: Sequence[str], text_col: str, spans: str, out: str) -> DataFrame:
+    together = found.select(*keep, F.expr(spans).alias("_together"))
     return together.select(*keep, F.expr(S.own_values(text_col, "_together")).alias(out))
 
 
 def detect_patterns(df: DataFrame, text_col: str = "text", config: MaskConfig = MaskConfig(),
                     out: str = "spans") -> DataFrame:
     """Spans of the enabled pattern families after cancellation, before the merge."""
-    families = config.families()
-    active = {f.name for f in families}
-    return _collect(_with_families(df, text_col, config), df.columns, text_col,
-                    [family_spans(f, active) for f in families], out)
+    return _collect(_with_families(df, text_col, config), df.columns, text_col, uncancelled(config.families()), out)
 
 
 def find_all_matches(df: DataFrame, text_col: str = "text",
                      config: MaskConfig = MaskConfig(), out: str = "spans") -> DataFrame:
     """Raw matches of every enabled family: no cancellation, no merge."""
-    return _collect(_with_families(df, text_col, config), df.columns, text_col,
-                    [f"_r_{f.name}" for f in config.families()], out)
+    return _collect(_with_families(df, text_col, config), df.columns, text_col, _ALL_SPANS, out)
 
 
 def term_pattern(term: str, case_sensitive: bool) -> str:
@@ -162,11 +181,10 @@ def detect_terms(df: DataFrame, rules: Sequence[Rule], text_col: str = "text",
         return f"contains(lower({text_col}), {S.quote(rule.term.lower())})"
 
     found = with_matches(df, text_col, [
-        Search(f"term{i}", term_pattern(r.term, r.case_sensitive), RULE_SEQ + i, r.category,
-               "manual", gate(r))
+        Search(term_pattern(r.term, r.case_sensitive), RULE_SEQ + i, r.category, "manual", gate(r))
         for i, r in enumerate(rules)
     ])
-    return _collect(found, df.columns, text_col, [f"_r_term{i}" for i in range(len(rules))], out)
+    return _collect(found, df.columns, text_col, _ALL_SPANS, out)
 
 
 def merge_span_column(df: DataFrame, spans_col: str = "spans", out: str = "spans") -> DataFrame:

@@ -44,7 +44,7 @@ def _with_groups(df: DataFrame, text_col: str, name: str, pattern: str, seq: int
         marked = f"CASE WHEN {gate} THEN {marked} END"
     df = _project(df, **{f"_x_{name}": marked})
     df = _project(df, **{f"_p_{name}": S.split_marked(f"_x_{name}", text_col)})
-    return _project(df, **{f"_r_{name}": S.locate(f"_p_{name}", seq, category, "ner")}, **{
+    return _project(df, **{f"_r_{name}": S.locate(f"_p_{name}", str(seq), S.quote(category), "'ner'")}, **{
         f"_{name}{k}": f"""CASE WHEN _p_{name} IS NULL THEN {S.NO_STRINGS}
           ELSE {S.extract_all(text_col, pattern, k)} END""" for k in range(1, n_groups + 1)
     })

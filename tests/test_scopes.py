@@ -67,3 +67,29 @@ def test_words_that_begin_no_term_do_not_travel_past_a_full_filter(spark, monkey
     found = terms.detect_term_table(df, table, "id").collect()
     assert sorted((r.id, r.start_idx, r.value) for r in found) == [(1, 3, "Customer#000000012"), (1, 26, "CUSTOMER#000000013")]
     assert joined[0].count() == 6  # two beginnings of each of three names, not of every word
+
+
+def test_shapes_stand_in_every_match():
+    import plain
+    from veilframe.functions.patterns import FAMILIES
+    shaped = {f.name: plain.python_pattern(f.shape, False) for f in FAMILIES if f.shape}
+    assert set(shaped) == {"address_fr", "address_en", "date_fr_long", "date_en"}
+    for text in plain.FIXTURES + plain.random_texts(3000, 31):
+        for name, found in plain.raw_matches(text).items():
+            assert not found or name not in shaped or shaped[name].search(text), (name, text)
+
+
+def test_few_and_many_spans_of_a_text_are_numbered_alike(spark):
+    """Few are compared pairwise and many sorted: every number of spans around the border, repeats included."""
+    import plain
+    texts = [" ".join(f"{'U' if i % 5 == 0 else 'u'}{i % 7}@mail.example 10.0.0.{i % 4}" for i in range(n)) for n in range(14)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r for r in M.anonymize(df, config=PATTERNS_ONLY).collect()}
+    for i, text in enumerate(texts):
+        spans = plain.merge(plain.pattern_spans(text))
+        mapping = plain.mapping_of(spans)
+        assert got[i].masked == plain.splice(text, spans, mapping)
+        assert [(m.key, m.original, m.placeholder, m["count"]) for m in got[i].mapping] == [
+            (k, m["original"], m["placeholder"], m["count"]) for k, m in mapping.items()]
+    plan = M.anonymize(df)._jdf.queryExecution().executedPlan().toString()
+    assert "_tokens" in plan and "Python" not in plan

@@ -93,3 +93,16 @@ def test_few_and_many_spans_of_a_text_are_numbered_alike(spark):
             (k, m["original"], m["placeholder"], m["count"]) for k, m in mapping.items()]
     plan = M.anonymize(df)._jdf.queryExecution().executedPlan().toString()
     assert "_tokens" in plan and "Python" not in plan
+
+
+def test_spans_of_a_large_scope_find_their_text_by_its_number(spark):
+    """Long texts and repeated rows too; neither hash nor item travels back with a piece."""
+    long = " ".join(f"é user{i % 300}@mail.example" for i in range(1500))
+    turns = [(1, 1, "user", long), (1, 2, "user", "USER7@mail.example"), (1, 1, "user", long), (1, 3, "user", "none")]
+    df = spark.createDataFrame(turns, SCHEMA)
+    got = M.anonymize_many(df, "conv_id", "turn", config=PATTERNS_ONLY, small=10)
+    masked, _ = _masked_plainly(turns)
+    assert sorted((r.turn, r.masked) for r in got.texts.collect()) == sorted((t[1], masked[1, t[1]]) for t in turns)
+    assert got.spans.where("value NOT LIKE '%@mail.example'").count() == 0 and got.spans.count() == 3001
+    back = _plan(got.texts.select("turn", "masked")).split("Initial Plan")[0]
+    assert "hashpartitioning(_row_id" in back
